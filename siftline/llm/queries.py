@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import lines, mixing
+from . import lines, mixing, substring
 
 WORDS_SQL = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
@@ -46,5 +46,21 @@ SELECT documents.doc_id, CAST(coalesce(len(string_split(documents.text, chr(10))
 FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id LEFT JOIN c ON documents.doc_id = c.doc_id
 """
 
-QUERIES = {"op4_mix": op4_mix, "op8_lines": op8_lines}
-ORACLES = {"op4_mix": OP4_SQL, "op8_lines": OP8_SQL}
+def op3_substrings(spark, sf_dir):
+    x = substring.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return x.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce({WORDS_SQL}, []) AS w FROM documents),
+o AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 34), ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n FROM o) WHERE n > 1),
+p AS (SELECT doc_id, w[i] AS word, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM r),
+k AS (SELECT p.doc_id, count(c.i) AS n_removed, string_agg(CASE WHEN c.i IS NULL THEN word END, ' ' ORDER BY p.i) AS kept FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.i = c.i GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+QUERIES = {"op3_substrings": op3_substrings, "op4_mix": op4_mix, "op8_lines": op8_lines}
+ORACLES = {"op3_substrings": OP3_SQL, "op4_mix": OP4_SQL, "op8_lines": OP8_SQL}
