@@ -19,33 +19,37 @@ from .common import col, fresh
 
 ROW = "part long, block long, keys binary, counts binary"
 ROW_ARROW = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 PART_KEYS = 1 << 21
 
 
 class Layout:
-    """Number of blocks, of hash partitions, and of hash bits kept."""
+    """Number of blocks, of hash partitions, and of hash bits kept.
 
-    def __init__(self, total_bytes: int, hashes_a_byte: float):
+    With ``spare`` bits, a hash agrees by chance with one of the others in
+    about one of 2**spare cases.
+    """
+
+    def __init__(self, total_bytes: int, hashes_a_byte: float, spare: int = 64):
         total = max(1, int(total_bytes * hashes_a_byte))
         self.blocks = max(1, math.ceil(total_bytes / BLOCK_BYTES))
         self.part_bits = max(0, math.ceil(math.log2(total / PART_KEYS))) if total > PART_KEYS else 0
-        #: Two of ``total`` hashes agree by chance in about one of a million.
-        self.bits = min(64, 20 + math.ceil(math.log2(total + 1)))
+        self.bits = min(64, spare + math.ceil(math.log2(total + 1)))
 
     def cut(self, hashes):
         return hashes >> np.uint64(64 - self.bits)
 
 
 def pack_ints(x) -> bytes:
-    """Non-negative integers in the narrowest of 1, 4 or 8 bytes, the width first."""
-    top = int(x.max()) if len(x) else 0
-    width = 1 if top < 1 << 8 else 4 if top < 1 << 32 else 8
-    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+    """Non-negative integers in as few bytes each as the largest needs, that width first."""
+    width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def unpack_ints(b: bytes):
-    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.uint64)
+    out = np.zeros(((len(b) - 1) // b[0], 8), np.uint8)
+    out[:, : b[0]] = np.frombuffer(b, np.uint8, offset=1).reshape(-1, b[0])
+    return out.view("<u8").ravel()
 
 
 def pack_sorted(x) -> bytes:
@@ -103,10 +107,10 @@ class Totals:
         return out
 
 
-def in_blocks(docs: DataFrame, text: str, hashes_a_byte: float) -> tuple[DataFrame, str, Layout]:
+def in_blocks(docs: DataFrame, text: str, hashes_a_byte: float, spare: int = 64) -> tuple[DataFrame, str, Layout]:
     """``docs`` with a block number, its name, and the layout for their size."""
     size = docs.agg(F.sum(F.octet_length(col(text)))).first()[0] or 0
-    layout = Layout(size, hashes_a_byte)
+    layout = Layout(size, hashes_a_byte, spare)
     block, = fresh(docs, "block")
     number = F.pmod(F.xxhash64(*(col(c) for c in docs.columns)), F.lit(layout.blocks))
     return docs.withColumn(block, number), block, layout
