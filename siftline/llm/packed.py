@@ -89,6 +89,25 @@ def answer(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), ROW_ARROW)], schema=ROW_ARROW) if rows else ROW_ARROW.empty_table()
 
 
+def answer_all(table: pa.Table) -> pa.Table:
+    """For one partition, what others add to each count of each block, in the block's own order."""
+    blocks, keys, counts = (table.column(c).to_pylist() for c in ("block", "keys", "counts"))
+    keys, counts = [unpack_sorted(k) for k in keys], [unpack_ints(c).astype(np.int64) for c in counts]
+    at = np.cumsum([0, *map(len, keys)])
+    _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    own = np.concatenate(counts)
+    more = np.bincount(inverse, own).astype(np.int64)[inverse] - own
+    part = table.column("part")[0].as_py()
+    rows = [(part, b, b"", pack_ints(more[i:j])) for b, i, j in zip(blocks, at, at[1:])]
+    return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), ROW_ARROW)], schema=ROW_ARROW)
+
+
+def added(table: pa.Table):
+    """What others add to a block's counts, for all of its sorted keys."""
+    rows = sorted(zip(table.column("part").to_pylist(), table.column("counts").to_pylist()))
+    return np.concatenate([np.zeros(0, np.int64), *(unpack_ints(c).astype(np.int64) for _, c in rows)])
+
+
 class Totals:
     """What a block has been told: totals of the keys that others have too."""
 
@@ -130,3 +149,13 @@ def count_round(docs: DataFrame, block: str, layout: Layout, extract, told: Data
     else:
         sent = docs.groupBy(block).cogroup(told.groupBy("block")).applyInArrow(lambda table, t: ask(table, Totals(t)), ROW)
     return sent.groupBy("part").applyInArrow(answer, ROW)
+
+
+def count_all(docs: DataFrame, block: str, layout: Layout, extract) -> DataFrame:
+    """One exchange that answers every key: ``extract(table)`` gives sorted keys, cut, and their counts."""
+
+    def ask(table: pa.Table) -> pa.Table:
+        keys, counts = extract(table)
+        return pa.Table.from_batches([send(layout, table.column(block)[0].as_py(), keys, counts)])
+
+    return docs.groupBy(block).applyInArrow(ask, ROW).groupBy("part").applyInArrow(answer_all, ROW)

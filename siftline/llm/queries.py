@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import lines, mixing, substring
+from . import lines, lm, mixing, substring
 
 WORDS_SQL = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
@@ -62,5 +62,29 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0)
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
-QUERIES = {"op3_substrings": op3_substrings, "op4_mix": op4_mix, "op8_lines": op8_lines}
-ORACLES = {"op3_substrings": OP3_SQL, "op4_mix": OP4_SQL, "op8_lines": OP8_SQL}
+def op5_lm(spark, sf_dir):
+    x = lm.lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return x.select("doc_id", "n_tokens", F.round("lm_score", 6).alias("lm_score"))
+
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce({WORDS_SQL}, []) AS l FROM documents),
+t AS (SELECT doc_id, i, l[i] AS w, CASE WHEN i >= 2 THEN l[i-1] END AS v, CASE WHEN i >= 3 THEN l[i-2] END AS u FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d)),
+g AS (SELECT doc_id, 1 AS n, w AS g FROM t UNION ALL SELECT doc_id, 2, v || ' ' || w FROM t WHERE v IS NOT NULL UNION ALL SELECT doc_id, 3, u || ' ' || v || ' ' || w FROM t WHERE u IS NOT NULL),
+own AS (SELECT doc_id, n, g, count(*) AS c FROM g GROUP BY doc_id, n, g),
+c AS (SELECT doc_id, n, g, sum(c) OVER (PARTITION BY n, g) - c AS c FROM own),
+s AS (SELECT doc_id, len(l) AS k, (SELECT sum(len(l)) FROM d) - len(l) AS rest FROM d),
+j AS (SELECT t.doc_id, i, CASE WHEN w1.c > 0 THEN w1.c / s.rest ELSE 1 / (s.rest + 1) END AS s1, c2.c AS c2, v1.c AS v1, c3.c AS c3, h2.c AS h2
+  FROM t JOIN s ON t.doc_id = s.doc_id
+  JOIN c AS w1 ON w1.n = 1 AND w1.doc_id = t.doc_id AND w1.g = w
+  LEFT JOIN c AS v1 ON v1.n = 1 AND v1.doc_id = t.doc_id AND v1.g = v
+  LEFT JOIN c AS c2 ON c2.n = 2 AND c2.doc_id = t.doc_id AND c2.g = v || ' ' || w
+  LEFT JOIN c AS h2 ON h2.n = 2 AND h2.doc_id = t.doc_id AND h2.g = u || ' ' || v
+  LEFT JOIN c AS c3 ON c3.n = 3 AND c3.doc_id = t.doc_id AND c3.g = u || ' ' || v || ' ' || w),
+k AS (SELECT doc_id, CASE WHEN c3 > 0 THEN c3 / h2 ELSE (CASE WHEN i >= 3 THEN 0.4::DOUBLE ELSE 1 END) *
+    (CASE WHEN c2 > 0 THEN c2 / v1 ELSE (CASE WHEN i >= 2 THEN 0.4::DOUBLE ELSE 1 END) * s1 END) END AS p FROM j)
+SELECT s.doc_id, CAST(max(s.k) AS BIGINT) AS n_tokens, round(avg(ln(p)), 6) AS lm_score FROM s LEFT JOIN k ON s.doc_id = k.doc_id GROUP BY s.doc_id
+"""
+
+QUERIES = {"op5_lm": op5_lm, "op3_substrings": op3_substrings, "op4_mix": op4_mix, "op8_lines": op8_lines}
+ORACLES = {"op5_lm": OP5_SQL, "op3_substrings": OP3_SQL, "op4_mix": OP4_SQL, "op8_lines": OP8_SQL}
