@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import lines, lm, mixing, substring
+from . import lines, lm, mixing, ngram_join, substring
 
 WORDS_SQL = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
@@ -86,5 +86,24 @@ k AS (SELECT doc_id, CASE WHEN c3 > 0 THEN c3 / h2 ELSE (CASE WHEN i >= 3 THEN 0
 SELECT s.doc_id, CAST(max(s.k) AS BIGINT) AS n_tokens, round(avg(ln(p)), 6) AS lm_score FROM s LEFT JOIN k ON s.doc_id = k.doc_id GROUP BY s.doc_id
 """
 
-QUERIES = {"op5_lm": op5_lm, "op3_substrings": op3_substrings, "op4_mix": op4_mix, "op8_lines": op8_lines}
-ORACLES = {"op5_lm": OP5_SQL, "op3_substrings": OP3_SQL, "op4_mix": OP4_SQL, "op8_lines": OP8_SQL}
+def op1_ngram_join(spark, sf_dir):
+    x = ngram_join.ngram_join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+    return x.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+OP1_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, '{UPPER}', '{UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + least(3, len(w)) - 1), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, least(len(w), 1) + 1))) AS i FROM d) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+r(doc_id, z) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.z = e.x),
+q AS (SELECT doc_id, count(*) AS n, string_agg(g, chr(10) ORDER BY g) AS k FROM s GROUP BY doc_id)
+SELECT documents.doc_id, CAST(coalesce(q.n, 0) AS BIGINT) AS n_shingles, (SELECT min(z) FROM r WHERE r.doc_id = documents.doc_id) AS component_id,
+  CASE WHEN q.k IS NULL THEN documents.doc_id ELSE min(documents.doc_id) OVER (PARTITION BY q.k) END AS class_id
+FROM documents LEFT JOIN q ON q.doc_id = documents.doc_id
+"""
+
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op5_lm": op5_lm, "op3_substrings": op3_substrings, "op4_mix": op4_mix, "op8_lines": op8_lines}
+ORACLES = {"op1_ngram_join": OP1_SQL, "op5_lm": OP5_SQL, "op3_substrings": OP3_SQL, "op4_mix": OP4_SQL, "op8_lines": OP8_SQL}
