@@ -52,6 +52,19 @@ def unpack_ints(b: bytes):
     return out.view("<u8").ravel()
 
 
+def pack_small(x) -> bytes:
+    """Counts, mostly under 255: a byte each, then the rest of the large ones."""
+    low = np.minimum(x, 255).astype(np.uint8)
+    return len(low).to_bytes(8, "little") + low.tobytes() + pack_ints((x[low == 255] - 255).astype(np.uint64))
+
+
+def unpack_small(b: bytes):
+    n = int.from_bytes(b[:8], "little")
+    out = np.frombuffer(b, np.uint8, n, 8).astype(np.int64)
+    out[out == 255] += unpack_ints(b[8 + n :]).astype(np.int64)
+    return out
+
+
 def pack_sorted(x) -> bytes:
     """Sorted distinct integers: the first, then the differences."""
     return int(x[0]).to_bytes(8, "little") + pack_ints(np.diff(x))
@@ -98,14 +111,14 @@ def answer_all(table: pa.Table) -> pa.Table:
     own = np.concatenate(counts)
     more = np.bincount(inverse, own).astype(np.int64)[inverse] - own
     part = table.column("part")[0].as_py()
-    rows = [(part, b, b"", pack_ints(more[i:j])) for b, i, j in zip(blocks, at, at[1:])]
+    rows = [(part, b, b"", pack_small(more[i:j])) for b, i, j in zip(blocks, at, at[1:])]
     return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), ROW_ARROW)], schema=ROW_ARROW)
 
 
 def added(table: pa.Table):
     """What others add to a block's counts, for all of its sorted keys."""
     rows = sorted(zip(table.column("part").to_pylist(), table.column("counts").to_pylist()))
-    return np.concatenate([np.zeros(0, np.int64), *(unpack_ints(c).astype(np.int64) for _, c in rows)])
+    return np.concatenate([np.zeros(0, np.int64), *(unpack_small(c) for _, c in rows)])
 
 
 class Totals:
