@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import lines, lm, mixing, ngram_join, substring
+from . import langid, lines, lm, mixing, ngram_join, quality, substring
 
 WORDS_SQL = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
@@ -105,5 +105,18 @@ SELECT documents.doc_id, CAST(coalesce(q.n, 0) AS BIGINT) AS n_shingles, (SELECT
 FROM documents LEFT JOIN q ON q.doc_id = documents.doc_id
 """
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op5_lm": op5_lm, "op3_substrings": op3_substrings, "op4_mix": op4_mix, "op8_lines": op8_lines}
+def op9_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out("doc_id", 4, 2))
+    net = langid.train(docs.where(~F.col("held_out") & F.col("doc_id").isNotNull()), "text", "lang")
+    return langid.identify(docs.select("doc_id", "text", "held_out"), net).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", langid.held_out("doc_id", 5, 0))
+    labelled = docs.where(~F.col("held_out")).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    scorer = quality.train(labelled, "text", "quality")
+    return quality.score(docs, scorer).select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {"op9_language": op9_language, "op10_quality": op10_quality, "op1_ngram_join": op1_ngram_join, "op5_lm": op5_lm, "op3_substrings": op3_substrings, "op4_mix": op4_mix, "op8_lines": op8_lines}
 ORACLES = {"op1_ngram_join": OP1_SQL, "op5_lm": OP5_SQL, "op3_substrings": OP3_SQL, "op4_mix": OP4_SQL, "op8_lines": OP8_SQL}
