@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import langid, lines, lm, mixing, ngram_join, quality, substring
+from . import decontaminate, langid, licenses, lines, lm, mixing, ngram_join, quality, substring
 
 WORDS_SQL = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
@@ -118,5 +118,15 @@ def op10_quality(spark, sf_dir):
     return quality.score(docs, scorer).select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {"op9_language": op9_language, "op10_quality": op10_quality, "op1_ngram_join": op1_ngram_join, "op5_lm": op5_lm, "op3_substrings": op3_substrings, "op4_mix": op4_mix, "op8_lines": op8_lines}
-ORACLES = {"op1_ngram_join": OP1_SQL, "op5_lm": OP5_SQL, "op3_substrings": OP3_SQL, "op4_mix": OP4_SQL, "op8_lines": OP8_SQL}
+def op2_decontaminate(spark, sf_dir):
+    x = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return x.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "at")
+
+
+def op6_licenses(spark, sf_dir):
+    x = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return x.select("doc_id", F.size("sentence_ids").alias("n_sentences"), F.array_join("licences", ",").alias("licences"))
+
+
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op6_licenses": op6_licenses, "op9_language": op9_language, "op10_quality": op10_quality, "op1_ngram_join": op1_ngram_join, "op5_lm": op5_lm, "op3_substrings": op3_substrings, "op4_mix": op4_mix, "op8_lines": op8_lines}
+ORACLES = {"op6_licenses": licenses.scan_sql(), "op1_ngram_join": OP1_SQL, "op5_lm": OP5_SQL, "op3_substrings": OP3_SQL, "op4_mix": OP4_SQL, "op8_lines": OP8_SQL}
