@@ -21,6 +21,11 @@ def word_count(text: Column) -> Column:
     return F.when(blank, F.lit(0)).otherwise(parts - ends).cast("long")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also where lambdas inside use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like ``names`` that no column of ``df`` has, whatever the case."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import broadcast
 
-from .common import SPACE, col, fresh
+from .common import SPACE, col, fresh, let
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -24,8 +24,12 @@ def words(text: Column) -> Column:
 
 def shingles(w: Column, k: int = SHINGLE) -> Column:
     """Hash of the k words from each place of an array of words."""
-    last = F.size(w) - (k - 1)
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(w, i, k)))).otherwise(F.array().cast("array<bigint>"))
+
+    def run(w):
+        last = F.size(w) - (k - 1)
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(w, i, k)))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(w, run)
 
 
 def simhash(hashes: Column) -> Column:
@@ -65,7 +69,7 @@ def items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
 
 def seeded(docs: DataFrame, id: str, text: str, known: DataFrame, k: int) -> DataFrame:
     """(id, th, grams, hits): documents with a benchmark shingle of ``k`` words; a hit is (place, sizes of items with it)."""
-    x = docs.select(col(id).alias("id"), F.xxhash64(col(text)).alias("th"), words(col(text)).alias("w")).select("id", "th", shingles(F.col("w"), k).alias("grams"))
+    x = docs.select(col(id).alias("id"), F.xxhash64(col(text)).alias("th"), shingles(words(col(text)), k).alias("grams"))
     sizes = known.where(F.least("size", F.lit(SHINGLE)) == k).select(F.explode("grams").alias("h"), "size").groupBy("h").agg(F.sort_array(F.collect_set("size")).alias("sizes"))
     rows = sizes.limit(INLINE + 1).collect()
     if len(rows) <= INLINE:
@@ -73,9 +77,14 @@ def seeded(docs: DataFrame, id: str, text: str, known: DataFrame, k: int) -> Dat
             return x.select("*", F.array().cast("array<struct<at:int,sizes:array<int>>>").alias("hits")).where("false")
         table = F.from_json(F.lit(json.dumps({str(r["h"]): r["sizes"] for r in rows})), "map<string,array<int>>")
         inside = [r["h"] for r in rows]
-        places = F.filter(F.transform("grams", lambda h, i: F.struct(i.alias("at"), h.alias("h"))), lambda p: p["h"].isin(inside))
-        x = x.select("*", places.alias("p")).where("size(p) > 0")
-        return x.select("id", "th", "grams", F.transform("p", lambda p: F.struct(p["at"].alias("at"), F.try_element_at(table, p["h"].cast("string")).alias("sizes"))).alias("hits"))
+
+        def hits(g):
+            places = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.get(g, i).isin(inside))
+            return F.when(F.size(g) > 0, F.transform(places, lambda i: F.struct(i.alias("at"), F.try_element_at(table, F.get(g, i).cast("string")).alias("sizes"))))
+
+        made = let(shingles(words(col(text)), k), lambda g: let(hits(g), lambda h: F.when(F.size(h) > 0, F.struct(g.alias("grams"), h.alias("hits")))))
+        x = docs.select(col(id).alias("id"), F.xxhash64(col(text)).alias("th"), F.explode(F.array_compact(F.array(made))).alias("m"))
+        return x.select("id", "th", "m.grams", "m.hits")
     found = x.select("th", F.posexplode("grams").alias("at", "h")).join(sizes, "h").groupBy("th").agg(F.array_sort(F.collect_set(F.struct("at", "sizes"))).alias("hits"))
     return x.join(found, "th")
 
