@@ -19,7 +19,7 @@ INLINE = 50_000
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE + "+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE + "+"), "")
 
 
 def shingles(w: Column, k: int = SHINGLE) -> Column:
@@ -63,28 +63,40 @@ def items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     """(item_id, size, grams, print) of the items with words; items under SHINGLE words are one shingle."""
     w = benchmark.select(col(item).alias("item_id"), words(col(text)).alias("w")).where("size(w) > 0")
     short = F.array(F.xxhash64("w"))
-    w = w.select("item_id", F.size("w").alias("size"), F.when(F.size("w") < SHINGLE, short).otherwise(shingles(F.col("w"))).alias("grams"))
+    k = F.least(F.size("w"), F.lit(SHINGLE))
+    ends = F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.struct(F.xxhash64(F.get("w", i)).alias("first"), F.xxhash64(F.get("w", i + k - 1)).alias("last")))
+    w = w.select("item_id", F.size("w").alias("size"), F.when(F.size("w") < SHINGLE, short).otherwise(shingles(F.col("w"))).alias("grams"), ends.alias("ends"))
     return w.withColumn("print", simhash(F.col("grams")))
 
 
+def inline(docs: DataFrame, id: str, text: str, rows: list, k: int) -> DataFrame:
+    """Documents with hits, from a benchmark small enough to travel in the plan.
+
+    The first and last words of a place are looked up before its shingle is
+    hashed; the hashes of all shingles are made only where there is a hit.
+    """
+    listed = lambda xs: ", ".join(f"{x}L" for x in sorted(set(xs))) or "NULL"
+    first, last = listed(r["ends"]["first"] for r in rows), listed(r["ends"]["last"] for r in rows)
+    table = json.dumps({str(r["h"]): r["sizes"] for r in rows})
+    name = "`" + text.replace("`", "``") + "`"
+    made = f"""element_at(transform(array(array_remove(split(lower(coalesce({name}, '')), r'{SPACE}+'), '')), w ->
+      element_at(transform(array(if(size(w) >= {k}, filter(sequence(0, size(w) - {k}), i ->
+          xxhash64(w[i]) IN ({first}) AND xxhash64(w[i + {k - 1}]) IN ({last}) AND xxhash64(slice(w, i + 1, {k})) IN ({listed(r["h"] for r in rows)})), array())), h ->
+        if(size(h) > 0, named_struct(
+          'grams', transform(sequence(1, size(w) - {k - 1}), i -> xxhash64(slice(w, i, {k}))),
+          'hits', transform(h, i -> named_struct('at', i, 'sizes', try_element_at(from_json('{table}', 'map<string,array<int>>'), cast(xxhash64(slice(w, i + 1, {k})) AS string))))), NULL)), 1)), 1)"""
+    x = docs.select(col(id).alias("id"), F.xxhash64(col(text)).alias("th"), F.explode(F.array_compact(F.array(F.expr(made)))).alias("m"))
+    return x.select("id", "th", "m.grams", "m.hits")
+
+
 def seeded(docs: DataFrame, id: str, text: str, known: DataFrame, k: int) -> DataFrame:
     """(id, th, grams, hits): documents with a benchmark shingle of ``k`` words; a hit is (place, sizes of items with it)."""
-    x = docs.select(col(id).alias("id"), F.xxhash64(col(text)).alias("th"), shingles(words(col(text)), k).alias("grams"))
-    sizes = known.where(F.least("size", F.lit(SHINGLE)) == k).select(F.explode("grams").alias("h"), "size").groupBy("h").agg(F.sort_array(F.collect_set("size")).alias("sizes"))
+    sizes = known.where(F.least("size", F.lit(SHINGLE)) == k).select(F.explode(F.arrays_zip("grams", "ends")).alias("g"), "size")
+    sizes = sizes.groupBy(F.col("g.grams").alias("h")).agg(F.sort_array(F.collect_set("size")).alias("sizes"), F.first("g.ends").alias("ends"))
     rows = sizes.limit(INLINE + 1).collect()
     if len(rows) <= INLINE:
-        if not rows:
-            return x.select("*", F.array().cast("array<struct<at:int,sizes:array<int>>>").alias("hits")).where("false")
-        table = F.from_json(F.lit(json.dumps({str(r["h"]): r["sizes"] for r in rows})), "map<string,array<int>>")
-        inside = [r["h"] for r in rows]
-
-        def hits(g):
-            places = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.get(g, i).isin(inside))
-            return F.when(F.size(g) > 0, F.transform(places, lambda i: F.struct(i.alias("at"), F.try_element_at(table, F.get(g, i).cast("string")).alias("sizes"))))
-
-        made = let(shingles(words(col(text)), k), lambda g: let(hits(g), lambda h: F.when(F.size(h) > 0, F.struct(g.alias("grams"), h.alias("hits")))))
-        x = docs.select(col(id).alias("id"), F.xxhash64(col(text)).alias("th"), F.explode(F.array_compact(F.array(made))).alias("m"))
-        return x.select("id", "th", "m.grams", "m.hits")
+        return inline(docs, id, text, rows, k)
+    x = docs.select(col(id).alias("id"), F.xxhash64(col(text)).alias("th"), shingles(words(col(text)), k).alias("grams"))
     found = x.select("th", F.posexplode("grams").alias("at", "h")).join(sizes, "h").groupBy("th").agg(F.array_sort(F.collect_set(F.struct("at", "sizes"))).alias("hits"))
     return x.join(found, "th")
 
