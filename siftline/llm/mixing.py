@@ -29,7 +29,8 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights=WEIGHTS, sh
     budget = F.lit(float(share)) * F.sum("source_size").over(all_rows)
     level = (budget - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(onward)
     s = s.withColumn("level", level)
-    level = F.min(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))).over(all_rows)
+    # past the first source that stays below its stop, levels only fall
+    level = F.max(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))).over(all_rows)
     return s.select("source", "source_size", F.least(F.col("cap"), F.coalesce(level * F.col("w"), F.col("cap"))).alias("target"))
 
 

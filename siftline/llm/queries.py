@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, lines, lm, mixing, ngram_join, quality, substring
+from . import ann, decontaminate, langid, licenses, lines, lm, mixing, ngram_join, quality, substring
 
 WORDS_SQL = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
@@ -22,7 +22,7 @@ w AS (SELECT source, source_size, CAST(CASE r % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 EL
 l AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM w)
         - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
         / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-t AS (SELECT source, source_size, least(cap, coalesce((SELECT min(level) FROM l WHERE level <= cap / w) * w, cap)) AS target FROM l),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT max(level) FROM l WHERE level <= cap / w) * w, cap)) AS target FROM l),
 q AS (SELECT doc_id, d.source, size, sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) - size AS b FROM d)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
   CAST(greatest(0, least(size, floor(target) - b)) + greatest(0, least(size, floor(target) - b - source_size)) AS BIGINT) AS taken
@@ -128,5 +128,10 @@ def op6_licenses(spark, sf_dir):
     return x.select("doc_id", F.size("sentence_ids").alias("n_sentences"), F.array_join("licences", ",").alias("licences"))
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op6_licenses": op6_licenses, "op9_language": op9_language, "op10_quality": op10_quality, "op1_ngram_join": op1_ngram_join, "op5_lm": op5_lm, "op3_substrings": op3_substrings, "op4_mix": op4_mix, "op8_lines": op8_lines}
+def op7_neighbours(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.top_neighbours(rows, rows.where("vec_id % 20 = 0")).select("query_id", "rank", "vec_id", "score")
+
+
+QUERIES = {"op7_neighbours": op7_neighbours, "op2_decontaminate": op2_decontaminate, "op6_licenses": op6_licenses, "op9_language": op9_language, "op10_quality": op10_quality, "op1_ngram_join": op1_ngram_join, "op5_lm": op5_lm, "op3_substrings": op3_substrings, "op4_mix": op4_mix, "op8_lines": op8_lines}
 ORACLES = {"op6_licenses": licenses.scan_sql(), "op1_ngram_join": OP1_SQL, "op5_lm": OP5_SQL, "op3_substrings": OP3_SQL, "op4_mix": OP4_SQL, "op8_lines": OP8_SQL}
