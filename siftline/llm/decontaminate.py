@@ -32,15 +32,36 @@ def shingles(w: Column, k: int = SHINGLE) -> Column:
     return let(w, run)
 
 
+#: One bit in each of four lanes of 16; a lane counts up to LANE shingles.
+LANES = 0x0001000100010001
+LANE = (1 << 14) - 1
+
+
 def simhash(hashes: Column) -> Column:
-    """64-bit fingerprint: each bit is that of most hashes, repeats counted."""
-    n = F.size(hashes)
+    """64-bit fingerprint: each bit is that of most hashes, repeats counted.
+
+    Four bits at a time are counted, in lanes of a long: a lane, moved up so
+    that more than half of the hashes reach its bit 14, gives the bit.  Arrays
+    of more than LANE hashes are counted bit by bit.
+    """
+
+    def lanes(hs):
+        lift = (F.lit(LANE) - F.floor(F.size(hs) / 2)).cast("bigint") * F.lit(LANES)
+
+        def four(acc, j):
+            total = F.aggregate(hs, F.lit(0).cast("bigint"), lambda c, h: c + F.call_function("shiftrightunsigned", h, j).bitwiseAND(F.lit(LANES)))
+            return acc.bitwiseOR(F.call_function("shiftleft", F.shiftright(total + lift, 14).bitwiseAND(F.lit(LANES)), j))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(0).cast("bigint"), four)
+
+    def bits(hs):
+        def bit(acc, j):
+            ones = F.aggregate(hs, F.lit(0), lambda c, h: c + F.getbit(h, j).cast("int"))
+            return acc.bitwiseOR(F.when(ones * 2 > F.size(hs), F.call_function("shiftleft", F.lit(1).cast("bigint"), j)).otherwise(F.lit(0).cast("bigint")))
 
-    def bit(acc, j):
-        ones = F.aggregate(hashes, F.lit(0), lambda c, h: c + F.getbit(h, j).cast("int"))
-        return acc.bitwiseOR(F.when(ones * 2 > n, F.call_function("shiftleft", F.lit(1).cast("bigint"), j)).otherwise(F.lit(0).cast("bigint")))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), bit)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), bit)
+    return let(hashes, lambda hs: F.when(F.size(hs) <= LANE, lanes(hs)).otherwise(bits(hs)))
 
 
 def masks() -> list[int]:
