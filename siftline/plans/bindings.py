@@ -602,3 +602,46 @@ def approval_states(s, d):
     op = F.when(F.col("turn") == 0, "queue").when(n == 0, "reply").when(n == 1, "approve").otherwise("expire")
     x = H.approvals(t(s, d, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("at"), F.lit(0).alias("ord"), op.alias("op")))
     return x.withColumn("status", F.coalesce("status", F.lit("")))
+
+
+# ---- events by time window; streams use the same functions
+
+@query("hourly_windows", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def hourly_windows(s, d):
+    from ..streaming.windows import windowed_counts
+
+    return windowed_counts(t(s, d, "events"), "ts", "event_type").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("user_sessions", "WITH p AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events), q AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p > INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM p) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM q GROUP BY user_id, island")
+def user_sessions(s, d):
+    from ..streaming.windows import sessions
+
+    return sessions(t(s, d, "events"), "ts", "user_id").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+# ---- folds in Python: held against fixtures in tests, no SQL
+
+@query("taint_candidates")
+def taint_candidates(s, d):
+    from ..operators.taint import taint
+
+    return taint(t(s, d, "pages"), "page_id", "html")
+
+
+@query("syntax_findings")
+def syntax_findings(s, d):
+    from ..operators.syntax import syntax_rules
+
+    return syntax_rules(t(s, d, "documents"), "doc_id", "text")
+
+
+@query("tolerant_json", "SELECT event_id AS response_id, 0 AS ord, event_type AS type, 'low' AS severity, 'f' || user_id AS file, CAST(event_id % 100 AS INTEGER) AS line FROM events")
+def tolerant_json(s, d):
+    from ..operators.responses import parse_responses
+
+    e = t(s, d, "events")
+    one = F.to_json(F.struct(F.col("event_type").alias("type"), F.lit("low").alias("severity"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file"), (F.col("event_id") % 100).alias("line")))
+    n = F.col("event_id") % 4
+    text = F.when(n == 0, F.concat(F.lit("["), one, F.lit("]"))).when(n == 1, F.concat(F.lit("Here:\n```json\n{\"issues\": ["), one, F.lit(",]}\n```"))).when(n == 2, F.concat(F.lit("["), one, F.lit(", {\"type\": \"cut"))).otherwise(one)
+    return parse_responses(e.select(F.col("event_id").alias("response_id"), text.alias("text")))
