@@ -118,12 +118,12 @@ def files_per_rule(s, d):
     return doc_findings(s, d).groupBy("type").agg(F.countDistinct("file").alias("files"), F.count("*").alias("n"))
 
 
-@query("context_snippets", f"{FOUND} SELECT f.file, f.line, f.rule, string_agg(l.line, chr(10) ORDER BY l.line_no) AS snippet FROM found f JOIN lines l ON l.file = f.file AND l.line_no BETWEEN f.line - 3 AND f.line + 3 WHERE f.type <> 'long_line' GROUP BY ALL")
+@query("context_snippets", f"{FOUND} SELECT f.file, f.line, f.rule, string_agg(l.line, chr(10) ORDER BY l.line_no) AS snippet FROM found f JOIN lines l ON l.file = f.file AND l.line_no BETWEEN f.line - 3 AND f.line + 3 GROUP BY ALL")
 def context_snippets(s, d):
     lines = doc_lines(s, d)
     w = Window.partitionBy("file").orderBy("line_no").rowsBetween(-3, 3)
     near = lines.select("file", F.col("line_no").alias("line"), F.array_join(F.collect_list("line").over(w), "\n").alias("snippet"))
-    return doc_findings(s, d).where("type <> 'long_line'").join(near, ["file", "line"]).select("file", "line", "rule", "snippet")
+    return doc_findings(s, d).join(near, ["file", "line"]).select("file", "line", "rule", "snippet")
 
 
 @query("lookback_absent", f"WITH {LINES}, n AS (SELECT *, max(contains(line, 'the')) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS near FROM lines) SELECT 'missing' AS type, 'low' AS severity, file, line_no AS line FROM n WHERE regexp_matches(stripped, '^[A-Z]') AND NOT coalesce(near, false)")
@@ -502,15 +502,17 @@ def content_hashes(s, d):
 TOKENS = r"list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))"
 
 
-@query("best_similarity", f"WITH b AS (SELECT item_id, {TOKENS} AS w FROM benchmark WHERE item_id < 10), d AS (SELECT doc_id, {TOKENS} AS w FROM documents), p AS (SELECT doc_id, item_id, round(len(list_intersect(d.w, b.w)) / (len(d.w) + len(b.w) - len(list_intersect(d.w, b.w))), 9) AS score FROM d, b), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS k FROM p) SELECT doc_id, item_id, score FROM r WHERE k = 1 AND score >= 0.03")
+@query("best_similarity", f"WITH b AS (SELECT item_id, {TOKENS} AS w FROM benchmark), d AS (SELECT doc_id, {TOKENS} AS w FROM documents), p AS (SELECT doc_id, item_id, round(len(list_intersect(d.w, b.w)) / (len(d.w) + len(b.w) - len(list_intersect(d.w, b.w))), 9) AS score FROM d, b), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS k FROM p) SELECT doc_id, item_id, score FROM r WHERE k = 1 AND score >= 0.3")
 def best_similarity(s, d):
-    items = t(s, d, "benchmark").where("item_id < 10").select("item_id", S.tokens(F.col("text")).alias("b"))
+    items = t(s, d, "benchmark").select("item_id", S.tokens(F.col("text")).alias("b"))
     docs = t(s, d, "documents").select("doc_id", S.tokens(F.col("text")).alias("w"))
-    # a pair that shares no token scores 0 and can't reach the threshold: join on tokens
-    shared = docs.select("doc_id", F.size("w").alias("n"), F.explode("w").alias("t")).join(items.select("item_id", F.size("b").alias("m"), F.explode("b").alias("t")), "t")
+    # a pair that shares no token, or whose sizes differ too much, can't reach the threshold: join on tokens
+    docs = docs.select("doc_id", F.size("w").alias("n"), F.explode("w").alias("t"))
+    items = items.select("item_id", F.size("b").alias("m"), F.explode("b").alias("t"))
+    shared = docs.join(items, (docs["t"] == items["t"]) & (F.col("m") >= 0.3 * F.col("n")) & (F.col("n") >= 0.3 * F.col("m")))
     x = shared.groupBy("doc_id", "item_id", "n", "m").agg(F.count("*").alias("c"))
     x = x.select("doc_id", "item_id", F.round(F.col("c") / (F.col("n") + F.col("m") - F.col("c")), 9).alias("score"))
-    return O.first_by(x, ["doc_id"], [F.desc("score"), "item_id"]).where("score >= 0.03")
+    return O.first_by(x, ["doc_id"], [F.desc("score"), "item_id"]).where("score >= 0.3")
 
 
 @query("path_similarity", "WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages), q AS (SELECT page_id, url, lag(url) OVER (ORDER BY page_id) AS prev FROM p) SELECT page_id, CASE WHEN url = prev THEN 1 WHEN regexp_extract(url, '^(.*)/[^/]*$', 1) = regexp_extract(prev, '^(.*)/[^/]*$', 1) THEN 0.5 ELSE 0.1 END::DOUBLE AS score FROM q WHERE prev IS NOT NULL")
@@ -547,9 +549,9 @@ def union_distinct(s, d):
     return t(s, d, "nation").select(F.col("n_nationkey").alias("k")).union(t(s, d, "supplier").select("s_nationkey")).distinct()
 
 
-@query("set_difference", "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 20")
+@query("set_difference", "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
 def set_difference(s, d):
-    return t(s, d, "customer").select(F.col("c_nationkey").alias("k")).subtract(t(s, d, "supplier").where("s_suppkey < 20").select("s_nationkey"))
+    return t(s, d, "customer").select(F.col("c_nationkey").alias("k")).subtract(t(s, d, "supplier").where("s_acctbal > 5000").select("s_nationkey"))
 
 
 @query("mtime_changes", "SELECT doc_id FROM documents WHERE doc_id % 7 = 0 OR n_chars % 5 = 0")
@@ -645,3 +647,78 @@ def tolerant_json(s, d):
     n = F.col("event_id") % 4
     text = F.when(n == 0, F.concat(F.lit("["), one, F.lit("]"))).when(n == 1, F.concat(F.lit("Here:\n```json\n{\"issues\": ["), one, F.lit(",]}\n```"))).when(n == 2, F.concat(F.lit("["), one, F.lit(", {\"type\": \"cut"))).otherwise(one)
     return parse_responses(e.select(F.col("event_id").alias("response_id"), text.alias("text")))
+
+
+# ---- tails, histories, pressure
+
+@query("queue_stats", ORACLES["approval_states"].replace("SELECT conv_id AS id,", "SELECT status, count(*) AS n FROM (SELECT conv_id AS id,").rstrip() + ") GROUP BY status")
+def queue_stats(s, d):
+    return approval_states(s, d).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("audit_tail", "SELECT conv_id, turn, role FROM conversations WHERE role = 'user' ORDER BY conv_id DESC, turn DESC LIMIT 20")
+def audit_tail(s, d):
+    return H.tail(t(s, d, "conversations").where("role = 'user'"), 20, ["conv_id", "turn"]).select("conv_id", "turn", "role")
+
+
+@query("phase_spans", "SELECT conv_id, count(*) AS phases, min(turn) AS first_turn, max(turn) AS last_turn, sum(length(text)) AS chars FROM conversations GROUP BY conv_id")
+def phase_spans(s, d):
+    return t(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("phases"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("heavy_rounds", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 300000 ORDER BY o_orderkey LIMIT 5")
+def heavy_rounds(s, d):
+    return t(s, d, "orders").where("o_totalprice > 300000").orderBy("o_orderkey").limit(5).select("o_orderkey", "o_totalprice")
+
+
+@query("history_overview", "SELECT o_orderstatus, count(*) AS total, count_if(o_totalprice > 150000) AS good, round_even(100 * count_if(o_totalprice > 150000) / count(*), 1) AS percent FROM orders GROUP BY o_orderstatus")
+def history_overview(s, d):
+    good = F.count_if(F.col("o_totalprice") > 150000)
+    return t(s, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("total"), good.alias("good"), F.bround(100 * good / F.count("*"), 1).alias("percent"))
+
+
+@query("latest_per_user", "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
+def latest_per_user(s, d):
+    return t(s, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"), F.max("event_id").alias("event_id"))
+
+
+@query("rolling_delegations", "SELECT event_id, count_if(event_type = 'purchase') OVER w AS recent, count(*) OVER w >= 3 AND count_if(event_type = 'purchase') OVER w = 0 AS warn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
+def rolling_delegations(s, d):
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-4, 0)
+    recent = F.count_if(F.col("event_type") == "purchase").over(w)
+    return t(s, d, "events").select("event_id", recent.alias("recent"), ((F.count("*").over(w) >= 3) & (recent == 0)).alias("warn"))
+
+
+@query("queue_pressure", "WITH b AS (SELECT user_id, event_id, ts, value >= 20 AS breach FROM events), g AS (SELECT *, count_if(NOT breach) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM b) SELECT user_id, CAST(island AS BIGINT) AS island, count(*) AS n FROM g WHERE breach GROUP BY user_id, island HAVING max(ts) - min(ts) >= INTERVAL 6 HOUR")
+def queue_pressure(s, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    x = t(s, d, "events").withColumn("breach", F.col("value") >= 20).withColumn("island", F.count_if(~F.col("breach")).over(w)).where("breach")
+    x = x.groupBy("user_id", "island").agg(F.count("*").alias("n"), (F.max("ts") - F.min("ts") >= F.expr("INTERVAL '6' HOUR")).alias("held"))
+    return x.where("held").select("user_id", "island", "n")
+
+
+@query("extension_histogram", "WITH p AS (SELECT regexp_extract(regexp_replace(url, '[?#].*$', ''), '[.]([A-Za-z0-9]+)$', 1) AS ext FROM pages) SELECT ext, count(*) AS n FROM p GROUP BY ext")
+def extension_histogram(s, d):
+    ext = F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), "[.]([A-Za-z0-9]+)$", 1)
+    return t(s, d, "pages").groupBy(ext.alias("ext")).agg(F.count("*").alias("n"))
+
+
+@query("primary_language", "SELECT lang, n FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang) ORDER BY n DESC, lang LIMIT 1")
+def primary_language(s, d):
+    return t(s, d, "documents").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1)
+
+
+@query("hardcoded_numbers", f"WITH {LINES} SELECT file, line_no AS line, regexp_extract(line, '[0-9]{{4,}}', 0) AS number FROM lines WHERE regexp_matches(line, '[0-9]{{4,}}')")
+def hardcoded_numbers(s, d):
+    x = doc_lines(s, d).where(F.rlike("line", F.lit("[0-9]{4,}")))
+    return x.select("file", F.col("line_no").alias("line"), F.regexp_extract("line", "[0-9]{4,}", 0).alias("number"))
+
+
+@query("imports_changed", "SELECT doc_id, len(list_filter(list_distinct(string_split(text, ' ')), lambda w: NOT list_contains(string_split(split_part(text, chr(10), 1), ' '), w))) AS added FROM documents")
+def imports_changed(s, d):
+    return t(s, d, "documents").select("doc_id", F.size(F.array_except(F.split("text", " "), F.split(F.substring_index("text", "\n", 1), " "))).alias("added"))
+
+
+@query("provider_percentiles", "SELECT c_mktsegment, count(*) AS n, round(quantile_cont(c_acctbal, 0.5), 4) AS median FROM customer GROUP BY c_mktsegment")
+def provider_percentiles(s, d):
+    return t(s, d, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.percentile("c_acctbal", 0.5), 4).alias("median"))
