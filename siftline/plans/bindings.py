@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from .. import values as V
 from ..functions import scalars as S
+from ..operators import calls as C
 from ..operators import findings as O
 from ..operators import history as H
+from ..operators import reviewers as R
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -722,3 +724,104 @@ def imports_changed(s, d):
 @query("provider_percentiles", "SELECT c_mktsegment, count(*) AS n, round(quantile_cont(c_acctbal, 0.5), 4) AS median FROM customer GROUP BY c_mktsegment")
 def provider_percentiles(s, d):
     return t(s, d, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.percentile("c_acctbal", 0.5), 4).alias("median"))
+
+
+# ---- review rules: events play the lines of a user's source file
+
+CODE_LINES = [
+    "for row in rows:", "    cur.execute(q)", "async def go():", "    time.sleep(3)", "", "        value = 12345", "def fetch(x):", "    try:", "        data = json.loads(x)", "seen = set()", "    seen.add(x)", "    seen.add(y)",
+    "    seen.clear()", "@lru_cache", "@lru_cache(maxsize=8)", "                        if x:", '"""', "    os.system('rm {}'.format(path))", "    subprocess.run(cmd, shell=True)", "    password = 'correcthorse'", "    token = 'your_token'",
+    "    url = 'https://shop.org/a'", "    cur.execute(f'SELECT {x}')", "    x.innerHTML = 'a'", "    def inner():", "        pass", "    q = 'SELECT a' + b", "    port = 8080", "    f.read()", "while True:", "    y = float(x) + float(z)", "# done", "def _hidden():",
+]
+CODE = rf"""cl AS (SELECT 'u' || user_id AS file, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS line_no, ([{listed(CODE_LINES)}])[(event_id * 7919 + event_id // 13) % {len(CODE_LINES)} + 1] AS line FROM events),
+lines AS (SELECT *, trim(line) AS stripped, length(line) - length(ltrim(line)) AS indent FROM cl)"""
+
+
+def code_files(s, d):
+    pick = F.element_at(F.array(*map(F.lit, CODE_LINES)), F.expr(f"CAST((event_id * 7919 + event_id DIV 13) % {len(CODE_LINES)} + 1 AS INT)"))
+    x = t(s, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", pick.alias("line")))).alias("ls"))
+    return x.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file"), F.array_join(F.col("ls.line"), "\n").alias("text"))
+
+
+def code_lines(s, d):
+    return O.source_lines(code_files(s, d), "file", "text")
+
+
+def text_rules_sql() -> str:
+    out = []
+    for i, (kind, severity, pattern, flag) in enumerate(V.REVIEW_RULES):
+        quoted = pattern.replace("'", "''")
+        test = {"": "true", "variable": f"regexp_matches(line, '{V.REVIEW_VARIABLE.replace(chr(39), chr(39) * 2)}')", "unescaped": "NOT contains(lower(line), 'escaped') AND NOT contains(lower(line), 'sanitize')", "untried": "coalesce(tries, 0) = 0"}[flag]
+        out.append(f"SELECT '{kind}' AS type, '{severity}' AS severity, file, line_no AS line, {i} AS rule FROM (SELECT *, unnest(regexp_extract_all(line, '{quoted}')) FROM n) WHERE {test}")
+    tries = r"n AS (SELECT *, count_if(regexp_matches(line, '^\s*try\s*:')) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN 11 PRECEDING AND 1 PRECEDING) AS tries FROM lines)"
+    return f"WITH {CODE}, {tries} " + " UNION ALL ".join(out)
+
+
+@query("review_text_rules", text_rules_sql())
+def review_text_rules(s, d):
+    return R.text_rules(code_files(s, d))
+
+
+def scope_sql(header: str, blank: str) -> str:
+    return f"""WITH {CODE}, h AS (SELECT *, regexp_matches(stripped, '{header}') AS head FROM lines), g AS (SELECT *, max(CASE WHEN head THEN line_no END) OVER (PARTITION BY file ORDER BY line_no) AS top FROM h),
+k AS (SELECT g.*, count_if(NOT g.head AND g.indent <= h.indent {blank}) OVER (PARTITION BY g.file, g.top ORDER BY g.line_no) AS ended FROM g JOIN h ON h.file = g.file AND h.line_no = g.top), x AS (SELECT * FROM k WHERE ended = 0)"""
+
+
+@query("review_queries_in_loops", scope_sql(r"^(for|while)\s.*:", "") + rf" SELECT 'n_plus_one' AS type, 'high' AS severity, file, line_no AS line FROM x WHERE regexp_matches(line, '{V.QUERY_CALLS}') AND NOT regexp_matches(left(line, 40), '(for|while|list comp|generator|map\()')")
+def review_queries_in_loops(s, d):
+    return R.queries_in_loops(code_lines(s, d))
+
+
+@query("review_blocking_in_async", scope_sql("^async def ", "AND g.stripped <> ''") + " " + " UNION ALL ".join(f"SELECT 'sync_io_in_async' AS type, '{v}' AS severity, file, line_no AS line FROM x WHERE NOT head AND NOT contains(stripped, 'asyncio') AND regexp_matches(stripped, '{p}')" for p, v in V.BLOCKING_CALLS))
+def review_blocking_in_async(s, d):
+    return R.blocking_in_async(code_lines(s, d))
+
+
+@query("review_secrets", f"""WITH {CODE}, k AS (SELECT *, lower(regexp_extract(stripped, '{V.SECRET_NAMES}')) AS key, regexp_extract(stripped, '=\\s*["''](.+?)["'']', 1) AS value FROM lines WHERE NOT regexp_matches(stripped, '^(#|//|/\\*)') AND NOT contains(stripped, 'import '))
+SELECT 'secret_leak' AS type, CASE WHEN contains(key, 'password') OR contains(key, 'secret') THEN 'critical' ELSE 'high' END AS severity, file, line_no AS line FROM k WHERE key <> '' AND value <> '' AND NOT regexp_matches(value, '{V.SECRET_SKIPPED.replace("'", "''")}')""")
+def review_secrets(s, d):
+    return R.secrets(code_lines(s, d))
+
+
+@query("review_nested_blocks", f"""WITH {CODE}, k AS (SELECT *, count_if(starts_with(stripped, '\"\"\"')) OVER (PARTITION BY file ORDER BY line_no) % 2 AS inside FROM lines)
+SELECT 'deep_nesting' AS type, 'medium' AS severity, file, line_no AS line FROM k WHERE inside = 0 AND NOT starts_with(stripped, '\"\"\"') AND NOT starts_with(stripped, '#') AND indent // 4 > 4 AND regexp_matches(line, '{V.NESTING}')""")
+def review_nested_blocks(s, d):
+    return R.nested_blocks(code_lines(s, d))
+
+
+@query("review_hardcoded", f"""WITH {CODE}, k AS (SELECT *, CAST(nullif(regexp_extract(stripped, '=\\s*(\\d{{4,}})\\s*(?:#|$|\\])', 1), '') AS BIGINT) AS n, regexp_extract(stripped, '["''](https?://[^"'']+)["'']', 1) AS url FROM lines WHERE NOT regexp_matches(stripped, '^(#|\"\"\")') AND NOT contains(stripped, 'import ')),
+v AS (SELECT *, CAST(n AS VARCHAR) AS value FROM k WHERE n NOT IN (0, 1, {', '.join(V.KNOWN_NUMBERS)}) UNION ALL SELECT *, url FROM k WHERE url <> '' AND NOT regexp_matches(url, 'localhost|127[.]0[.]0[.]1|example\\.com|test|cdn\\.'))
+SELECT 'hardcoded_value' AS type, 'low' AS severity, file, line_no AS line, value FROM v""")
+def review_hardcoded(s, d):
+    return R.hardcoded(code_lines(s, d))
+
+
+@query("review_growing_collections", f"""WITH {CODE}, c AS (SELECT file, count_if(contains(line, 'seen.add(')) AS adds, count_if(contains(line, 'seen.clear(')) AS gone, min(CASE WHEN contains(line, 'seen.add(') THEN line_no END) AS line FROM lines GROUP BY file)
+SELECT 'memory_leak' AS type, 'medium' AS severity, file, c.line FROM c JOIN lines l USING (file) WHERE l.line = 'seen = set()' AND adds > 3 AND gone < 2 UNION ALL SELECT 'memory_leak', 'low', file, line_no FROM lines WHERE line = '@lru_cache'""")
+def review_growing_collections(s, d):
+    return R.growing_collections(code_files(s, d))
+
+
+@query("review_long_functions", f"""WITH {CODE}, f AS (SELECT *, regexp_extract(line, '^\\s*def\\s+(\\w+)\\s*\\(', 1) AS name FROM lines), n AS (SELECT file, max(line_no) AS n FROM lines GROUP BY file),
+e AS (SELECT f.file, f.line_no, f.name, coalesce(min(l.line_no), max(n.n) + 1) AS stop FROM f JOIN n USING (file) LEFT JOIN lines l ON l.file = f.file AND l.line_no > f.line_no AND l.stripped <> '' AND l.indent <= f.indent WHERE f.name <> '' GROUP BY ALL)
+SELECT 'long_function' AS type, 'low' AS severity, file, line_no AS line, name, stop - line_no AS n FROM e WHERE stop - line_no > 6 AND NOT starts_with(name, '_') AND NOT EXISTS (SELECT 1 FROM e o WHERE o.file = e.file AND o.line_no < e.line_no AND e.line_no < o.stop)""")
+def review_long_functions(s, d):
+    return R.long_functions(code_files(s, d), most=6)
+
+
+MODULES = ["def load{}():\n    return 1\n", "from lib.a import load{} as f\nasync def go():\n    f()\n    await g.load{}()\n", "import asyncio\nasync def work():\n    pass\ndef call_sync():\n    asyncio.run(work())\n", "def broken(:\n"]
+
+
+def modules(s, d):
+    k = F.expr("CAST(event_id DIV 16 AS STRING)")
+    return t(s, d, "events").select(F.col("event_id").cast("string").alias("file"), F.replace(F.element_at(F.array(*map(F.lit, MODULES)), (F.col("event_id") % 4 + 1).cast("int")), F.lit("{}"), k).alias("text"))
+
+
+@query("boundary_findings", "SELECT unnest(['asyncio_run_in_loop', 'sync_calls_async']) AS type, 'high' AS severity, CAST(event_id AS VARCHAR) AS file, 5 AS line, 'call_sync' AS name, unnest([NULL, 'work']) AS target FROM events WHERE event_id % 4 = 2")
+def boundary_findings(s, d):
+    return C.boundary_findings(modules(s, d))
+
+
+@query("import_chain", "SELECT 'sync_calls_async_cross_file' AS type, 'high' AS severity, CAST(b.event_id AS VARCHAR) AS file, 3 AS line, 'go' AS caller, 'f' AS name, CAST(a.event_id AS VARCHAR) AS defined_in FROM events b JOIN events a ON a.event_id // 16 = b.event_id // 16 WHERE b.event_id % 4 = 1 AND a.event_id % 4 = 0")
+def import_chain(s, d):
+    return C.import_chain(C.code_facts(modules(s, d)))
