@@ -7,7 +7,9 @@ from .. import values as V
 from ..functions import scalars as S
 from ..operators import calls as C
 from ..operators import findings as O
+from ..operators import fixers as X
 from ..operators import history as H
+from ..operators import projects as P
 from ..operators import reviewers as R
 
 QUERIES: dict = {}
@@ -825,3 +827,66 @@ def boundary_findings(s, d):
 @query("import_chain", "SELECT 'sync_calls_async_cross_file' AS type, 'high' AS severity, CAST(b.event_id AS VARCHAR) AS file, 3 AS line, 'go' AS caller, 'f' AS name, CAST(a.event_id AS VARCHAR) AS defined_in FROM events b JOIN events a ON a.event_id // 16 = b.event_id // 16 WHERE b.event_id % 4 = 1 AND a.event_id % 4 = 0")
 def import_chain(s, d):
     return C.import_chain(C.code_facts(modules(s, d)))
+
+
+# ---- fixes, projects, comments and run states
+
+SNIPPETS = [("print_used", 1, "print(1)", "import logging\nlogging.info(1)"), ("bare_except", 3, "try:\n    a()\nexcept:\n    b()", "try:\n    a()\nexcept Exception:\n    b()"), ("missing_timeout_config", 1, "x = requests.get(u)", "x = requests.get(u, timeout=30)"), ("bare_except", 1, "a = 1", "a = 1")]
+TEXTS = "[" + ", ".join("'" + x[3].replace("\n", "' || chr(10) || '") + "'" for x in SNIPPETS) + "]"
+
+
+@query("fix_texts", f"SELECT CAST(event_id AS VARCHAR) AS file, ({TEXTS})[event_id % 4 + 1] AS text, event_id % 4 <> 3 AS success FROM events")
+def fix_texts(s, d):
+    of = lambda i: F.element_at(F.array(*(F.lit(x[i]) for x in SNIPPETS)), (F.col("event_id") % 4 + 1).cast("int"))
+    e = t(s, d, "events").select(F.col("event_id").cast("string").alias("file"), of(0).alias("type"), of(1).alias("line"), of(2).alias("text"), F.lit(0).alias("ord"))
+    return X.fix_files(e.select("file", "text"), e.select("file", "type", "line", "ord")).select("file", "text", F.get("results", F.lit(0))["success"].alias("success"))
+
+
+@query("first_success", "SELECT o_custkey, o_orderkey, tried FROM (SELECT *, row_number() OVER w AS tried, coalesce(count_if(o_totalprice > 200000) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS won FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) WHERE won = 0")
+def first_success(s, d):
+    x = t(s, d, "orders").withColumn("success", F.col("o_totalprice") > 200000)
+    return X.first_success(x, ["o_custkey"], ["o_orderkey"]).select("o_custkey", "o_orderkey", "tried")
+
+
+@query("line_edits", "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, CASE WHEN len(l) >= 2 THEN md5(array_to_string(list_concat(list_concat(l[1:1], ['x']), l[3:]), chr(10))) ELSE md5(array_to_string(l, chr(10))) END AS digest, CAST(greatest(3 - len(l), 0) AS INTEGER) AS added, CAST(greatest(len(l) - 3, 0) AS INTEGER) AS removed FROM l")
+def line_edits(s, d):
+    added, removed = X.lines_changed(F.col("text"), F.lit("a\nb\nc"))
+    return t(s, d, "documents").select("doc_id", F.md5(X.replace_lines(F.col("text"), 2, 2, F.lit("x"))).alias("digest"), added.alias("added"), removed.alias("removed"))
+
+
+PATHS = ["src/a.py", "tests/test_a.py", "web/b.js", "web/c.ts", "node_modules/d.js", ".git/e.py", "app.py", "src/core/f.go", "README.md", "src/__pycache__/g.py", "lib/Tests/h.py", "config.yaml"]
+TREE = f"p AS (SELECT 'u' || user_id AS project, ([{listed(PATHS)}])[(event_id * 7919 + event_id // 13) % {len(PATHS)} + 1] AS path, event_id FROM events)"
+
+
+def tree(s, d):
+    pick = F.element_at(F.array(*map(F.lit, PATHS)), F.expr(f"CAST((event_id * 7919 + event_id DIV 13) % {len(PATHS)} + 1 AS INT)"))
+    return t(s, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("project"), pick.alias("path"), F.when(F.col("event_id") % 50 == 0, "async def f(): pass").otherwise("").alias("text"))
+
+
+@query("module_batches", f"WITH {TREE}, m AS (SELECT project, CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/', 1) ELSE '(root)' END AS module_dir, path FROM p WHERE path LIKE '%.py' AND path NOT LIKE '.%' AND NOT contains(path, '__pycache__')) SELECT project, module_dir, string_agg(path, ',' ORDER BY path) AS files, contains(lower(module_dir), 'test') AS is_test, count(*) AS file_count FROM m GROUP BY project, module_dir")
+def module_batches(s, d):
+    return P.module_batches(tree(s, d), keys=["project"]).withColumn("files", F.array_join("files", ","))
+
+
+@query("project_blueprint", f"""WITH {TREE}, k AS (SELECT *, CASE WHEN path LIKE 'node_modules/%' OR path LIKE '.%' OR contains(path, '__pycache__') THEN NULL WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.js' THEN 'javascript' WHEN path LIKE '%.ts' THEN 'typescript' WHEN path LIKE '%.go' THEN 'go' END AS lang FROM p),
+c AS (SELECT project, lang, count(*) AS n FROM k WHERE lang IS NOT NULL GROUP BY project, lang), b AS (SELECT project, arg_min(lang, (-n, lang)) AS lang FROM c GROUP BY project)
+SELECT k.project, coalesce(any_value(b.lang), 'unknown') AS "primary", count(k.lang) AS total_files, CASE WHEN any_value(b.lang) = 'python' THEN concat_ws(',', CASE WHEN count_if(path = 'app.py') > 0 THEN 'fastapi' END, CASE WHEN count_if(path LIKE '%.py' AND event_id % 50 = 0) > 0 THEN 'asyncio' END) ELSE '' END AS frameworks,
+  coalesce(any_value(b.lang) IN ('python', 'javascript') AND count_if(path LIKE 'tests/%') > 0, false) AS has_tests FROM k LEFT JOIN b ON b.project = k.project GROUP BY k.project""")
+def project_blueprint(s, d):
+    return P.blueprint(tree(s, d)).select("project", "primary", "total_files", F.array_join("frameworks", ",").alias("frameworks"), "has_tests")
+
+
+@query("review_comments", f"""WITH {FIND}, e AS (SELECT file, type, severity, ord, '- **L' || line || '** [' || severity || ']: d' || chr(10) || '  - 💡 s' AS entry FROM f),
+b AS (SELECT file, min(ord) AS ord, bool_or(severity IN ('critical', 'high')) AS grave, '### ' || arg_min(CASE severity WHEN 'critical' THEN '🔴' WHEN 'high' THEN '🟠' WHEN 'medium' THEN '🟡' ELSE '⚪' END, ord) || ' ' || type || chr(10) || chr(10) || string_agg(entry, chr(10) ORDER BY ord) || chr(10) AS block FROM e GROUP BY file, type)
+SELECT file, md5('## Code review report' || chr(10) || chr(10) || string_agg(block, chr(10) ORDER BY ord) || CASE WHEN bool_or(grave) THEN '' ELSE chr(10) || '---' || chr(10) || '> ⚠️ 未发现严重问题，建议修复以上 low/medium 问题后合并。' END) AS digest FROM b GROUP BY file""")
+def review_comments(s, d):
+    x = finds(s, d).select("file", "type", "severity", "line", "ord", F.lit("d").alias("description"), F.lit("s").alias("suggestion"), F.lit(None).cast("string").alias("code"))
+    return P.review_comment(x, ["file"]).select("file", F.md5("comment").alias("digest"))
+
+
+@query("run_states", "WITH l AS (SELECT conv_id, turn, length(text) AS n, max(turn) OVER (PARTITION BY conv_id) AS top FROM conversations) SELECT conv_id AS run_id, CASE WHEN top = 0 THEN 'running' ELSE max(CASE WHEN turn = top THEN CASE WHEN n % 2 = 0 THEN 'succeeded' ELSE 'failed' END END) END AS state, CASE WHEN top > 0 THEN CAST(top AS DOUBLE) END AS duration_seconds, greatest(top - 1, 0) AS n_phases FROM l GROUP BY conv_id, top")
+def run_states(s, d):
+    x = t(s, d, "conversations").withColumn("top", F.max("turn").over(Window.partitionBy("conv_id")))
+    event = F.when(F.col("turn") == 0, "start").when(F.col("turn") < F.col("top"), "phase").when(F.length("text") % 2 == 0, "succeed").otherwise("fail")
+    e = x.select(F.col("conv_id").alias("run_id"), event.alias("event"), F.timestamp_seconds("turn").alias("at"), F.col("turn").alias("ord"), F.concat(F.lit("p"), F.col("turn").cast("string")).alias("phase"), F.lit(1.0).alias("seconds"), F.lit("e").alias("error"))
+    return P.run_states(e).select("run_id", "state", "duration_seconds", F.size("phase_timings").cast("long").alias("n_phases"))
