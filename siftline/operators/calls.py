@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import values as V
+from .syntax import parse
 
 FACTS = "fact string, file string, line int, name string, target string, severity string"
 
@@ -28,9 +29,8 @@ def facts(text: str) -> list[tuple]:
     stands for, the last of a name), call (inside an async function, by name),
     and findings, whose fact is their type.
     """
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError):
+    tree = parse(text)
+    if tree is None:
         return []
     nodes = list(ast.walk(tree))
     asynchronous, imports, out = {x.name for x in nodes if isinstance(x, ast.AsyncFunctionDef)}, {}, []

@@ -9,15 +9,22 @@ OUT = "type string, severity string, file string, line int, confidence double"
 BRANCHES = (ast.If, ast.For, ast.While, ast.ExceptHandler, ast.With, ast.Assert, ast.comprehension, ast.IfExp, ast.AsyncFor, ast.AsyncWith)
 
 
+def parse(text: str) -> ast.Module | None:
+    """The tree of a text; None if it doesn't parse or nests too deeply for the parser, which then reports want of memory."""
+    try:
+        return ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+
+
 def complexity(function: ast.AST) -> int:
     """1, one for each branch, and one for each further operand of and/or."""
     return 1 + sum(isinstance(x, BRANCHES) + (len(x.values) - 1 if isinstance(x, ast.BoolOp) else 0) for x in ast.walk(function))
 
 
 def findings(text: str) -> list[tuple]:
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError):
+    tree = parse(text)
+    if tree is None:
         return []
     out = []
     for x in ast.walk(tree):
@@ -37,9 +44,8 @@ def findings(text: str) -> list[tuple]:
 
 def unused_imports(text: str) -> list[tuple[str, int]]:
     """(name, line) of imports that no name of the file refers to."""
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError):
+    tree = parse(text)
+    if tree is None:
         return []
     used = {x.id for x in ast.walk(tree) if isinstance(x, ast.Name)}
     return [(a.asname or a.name.split(".")[0], x.lineno) for x in ast.walk(tree) if isinstance(x, (ast.Import, ast.ImportFrom)) for a in x.names if (a.asname or a.name.split(".")[0]) not in used]

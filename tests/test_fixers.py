@@ -29,7 +29,7 @@ def test_fix(kind, line, before, after):
     assert text == after and done[0][1]
 
 
-@pytest.mark.parametrize("kind,line,text", [("bare_except", 1, "a = 1"), ("print_used", 9, "print(1)"), ("print_used", None, "print(1)"), ("sync_sleep_in_async", 2, "def f():\n    time.sleep(1)"), ("missing_timeout_config", 1, "requests.get()"), ("other", 1, "a"), ("dead_code", 1, "def ("), ("unused_import", 1, "")])
+@pytest.mark.parametrize("kind,line,text", [("bare_except", 1, "a = 1"), ("print_used", 9, "print(1)"), ("print_used", None, "print(1)"), ("sync_sleep_in_async", 2, "def f():\n    time.sleep(1)"), ("missing_timeout_config", 1, "requests.get()"), ("other", 1, "a"), ("dead_code", 1, "def ("), ("unused_import", 1, ""), ("print_used", 1, "print(1)\n" + "(" * 10000)])
 def test_no_fix(kind, line, text):
     got, done = X.fix_text(text, [(0, kind, line)])
     assert got == text and not done[0][1]

@@ -50,7 +50,7 @@ def test_context_rules(lines):
 
 
 def test_syntax_rules(spark):
-    df = spark.createDataFrame([("a.py", CODE), ("bad.py", "def ("), ("loop.py", "s = ''\nfor i in x:\n    s += 'a'\n"), ("n.py", None)], "file string, text string")
+    df = spark.createDataFrame([("a.py", CODE), ("bad.py", "def ("), ("loop.py", "s = ''\nfor i in x:\n    s += 'a'\n"), ("n.py", None), ("deep.py", "(" * 10000 + "x")], "file string, text string")
     got = {(r.type, r.file, r.line) for r in syntax_rules(df).collect()}
     assert got == {("unused_import", "a.py", 1), ("unused_import", "a.py", 2), ("bare_except", "a.py", 8), ("swallowed_exception", "a.py", 8), ("loop_string_concat", "loop.py", 3)}
 
