@@ -108,15 +108,16 @@ def train(docs: DataFrame, text: str, lang: str) -> Network | None:
     """A network for the languages of the labelled ``docs``; None without any.
 
     The sample is bounded by MAX_LANGS languages (the most frequent),
-    about DOCS_A_LANG documents of each, picked by hash, and WINDOWS_A_DOC windows
-    of a document, spread over it.
+    about DOCS_A_LANG documents of each, picked by hash of the text, and
+    WINDOWS_A_DOC windows of a document, spread over it.  Copies count once, so
+    that a large group of them, picked or not as one, can't break the bound.
     """
     known = docs.select(col(lang).alias("lang"), col(text).alias("text")).where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not counts:
         return None
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, DOCS_A_LANG / n))))
-    picked = known.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 20)) < F.try_element_at(share, F.col("lang")) * (1 << 20))
+    picked = known.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 20)) < F.try_element_at(share, F.col("lang")) * (1 << 20)).distinct()
 
     def cut(batches):
         for batch in batches:

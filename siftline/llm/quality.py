@@ -107,12 +107,16 @@ class Scorer:
 
 
 def train(docs: DataFrame, text: str, label: str) -> Scorer | None:
-    """A scorer from rows with ``label`` 0 or 1, MAX_ROWS of them at most, picked by hash; None without both labels."""
+    """A scorer from rows with ``label`` 0 or 1; None without both labels.
+
+    About MAX_ROWS rows at most, picked by hash of the text; copies of the same
+    label count once, so that a large group of them can't break the bound.
+    """
     known = docs.select(col(label).cast("double").alias("y"), col(text).alias("text")).where("y in (0, 1)")
     n = known.count()
     if not n:
         return None
-    known = known.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 20)) < min(1.0, MAX_ROWS / n) * (1 << 20))
+    known = known.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 20)) < min(1.0, MAX_ROWS / n) * (1 << 20)).distinct()
 
     def gather(batches):
         hasher = kernel.Hasher()
