@@ -1,9 +1,12 @@
 """Licence scans: known sentences, then ordered rules over their identifiers."""
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, let
 
 # Normalised sentences of published licences, by identifier.
 SENTENCES = {
@@ -71,6 +74,30 @@ for kind in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND"):
 
 #: Where sentences end: closing marks before white space, or an empty line.
 END = r"[.!?;]+\s+|\n[ \t\r]*\n"
+#: Where a part that isn't known is cut further: a line without letters and digits, as in comments.
+MARKS = r"\n[^\p{L}\p{N}\n]*\n"
+
+TERMS = "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"
+LATER = "version {} of the License, or (at your option) any later version"
+# Published wordings that SENTENCES lacks, or that END cuts; the cut ones count where all their pieces follow each other.
+WORDINGS = [
+    *((name, f"you can {TERMS}; either {LATER.format(n)}") for name, n in (("gpl3-redistribute", 3), ("gpl2-redistribute", 2))),
+    *((name, f"This program is free software: you can {TERMS}; either {LATER.format(n)}") for name, n in (("gpl-free", 3), ("gpl2-free", 2))),
+    ("gpl-hope", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
+    ("apache-copy", "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0"),
+    ("mpl-terms", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mpl-copy", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"),
+]
+# Sequences that give a licence of RULES too, in its place.
+OTHER_RULES = [
+    ("GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-details"]),
+    ("GPL-2.0-or-later", ["gpl2-free", "gpl-hope", "gpl-details"]),
+]
+
+
+def pieces(wording: str) -> list[str]:
+    """The normalised parts into which END cuts a wording."""
+    return [re.sub("[^a-z0-9]+", " ", x.lower()).strip() for x in re.split(END, wording)]
 
 
 def normalised(s: Column) -> Column:
@@ -83,26 +110,47 @@ def scan(docs: DataFrame, text: str = "text", sentences: dict | None = None, rul
 
     A text is cut into sentences (see END) and each is normalised; a sentence
     that is known as a whole, list numbers aside, gives its identifier, else
-    each of its lines is looked up.  Unknown sentences drop out, and a rule
+    it is cut at lines without letters and digits, and of what isn't known as a
+    whole each line is looked up.  A sentence of WORDINGS that END cuts is known
+    where its pieces follow each other.  Unknown sentences drop out, and a rule
     holds where its identifiers follow each other in what is left.  licences
     has each licence of a rule that holds once, in the order of the rules.
     Null and empty texts give empty arrays.  All of it happens inside a row:
-    nothing is shuffled, and repeated rows are scanned alike.
+    nothing is shuffled, and repeated rows are scanned alike.  ``sentences``
+    and ``rules`` of one's own come without WORDINGS and OTHER_RULES.
     """
-    sentences, rules = sentences or SENTENCES, rules or RULES
-    known = F.map_from_arrays(F.array(*map(F.lit, sentences.values())), F.array(*map(F.lit, sentences)))
-    lookup = lambda s: F.coalesce(F.try_element_at(known, s), F.try_element_at(known, F.regexp_replace(s, "^[0-9]{1,2} ", "")))
+    wordings = [(i, pieces(w)) for i, w in WORDINGS] if sentences is None else []
+    if rules is None:
+        rules = [x for licence, seq in RULES for x in ((licence, seq), *((a, b) for a, b in OTHER_RULES if a == licence))]
+    cuts = [(i, ["+" + x for x in w]) for i, w in wordings if len(w) > 1]
+    # a piece's code is its text behind a plus sign
+    codes = {x[1:]: x for _, w in cuts for x in w} | {w[0]: i for i, w in wordings if len(w) == 1} | {s: i for i, s in (sentences or SENTENCES).items()}
+    known = F.map_from_arrays(F.array(*map(F.lit, codes)), F.array(*map(F.lit, codes.values())))
+    longest = max(map(len, codes)) * 2
+    lookup = lambda s: let(F.when(F.length(s) <= longest, normalised(s)).otherwise(F.lit("?")), lambda n: F.when(n != "", F.coalesce(F.try_element_at(known, n), F.try_element_at(known, F.regexp_replace(n, "^[0-9]{1,2} ", "")), F.lit("?"))))
+
+    def units(s, deeper):
+        """Codes of a text that is known as a whole, else of what it is cut into; ? is unknown, null blank."""
+        return let(lookup(s), lambda x: F.when((x == "?") & F.contains(s, F.lit("\n")), deeper(s)).otherwise(F.array(x)))
+
+    def each_line(s):
+        return F.transform(F.split(s, "\n"), lookup)
+
+    def each_passage(s):
+        return F.flatten(F.transform(F.split(s, MARKS), lambda x: units(x, each_line)))
+
+    def joined(us):
+        """Identifiers, with that of a cut sentence at its first piece."""
 
-    longest = max(map(len, sentences.values())) * 2
+        def one(u, i):
+            whole = [F.when(reduce(lambda a, b: a & b, (F.get(us, i + n).eqNullSafe(F.lit(x)) for n, x in enumerate(w))), F.lit(id)) for id, w in cuts]
+            return F.when(F.startswith(u, F.lit("+")), F.coalesce(*whole, F.lit(None).cast("string"))).when(u != "?", u)
 
-    def ids(part):
-        whole = F.when(F.length(part) <= longest, lookup(normalised(part)))
-        lines = F.filter(F.transform(F.split(part, "\n"), lambda line: F.when(F.length(line) <= longest, lookup(normalised(line)))), lambda x: x.isNotNull())
-        none = F.array().cast("array<string>")
-        return F.when(whole.isNotNull(), F.array(whole)).when(F.contains(part, F.lit("\n")), lines).otherwise(none)
+        return F.array_compact(F.transform(us, one))
 
     kept = [c for c in docs.columns if c.lower() not in ("sentence_ids", "licences")]
-    x = docs.select(*(col(c) for c in kept), F.flatten(F.transform(F.split(F.coalesce(col(text), F.lit("")), END), ids)).alias("sentence_ids"))
+    parts = F.transform(F.split(F.coalesce(col(text), F.lit("")), END), lambda s: units(s, each_passage))
+    x = docs.select(*(col(c) for c in kept), let(F.array_compact(F.flatten(parts)), joined).alias("sentence_ids"))
     row = F.concat(F.lit("|"), F.array_join("sentence_ids", "|"), F.lit("|"))
     held = F.array(*(F.when(F.contains(row, F.lit("|" + "|".join(seq) + "|")), F.lit(licence)) for licence, seq in rules))
     return x.withColumn("licences", F.when(F.size("sentence_ids") > 0, F.array_distinct(F.array_compact(held))).otherwise(F.array().cast("array<string>")))

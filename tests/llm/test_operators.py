@@ -336,3 +336,95 @@ def test_digest_of_op3(spark, tmp_path, docs):
     blank = hashlib.sha256(b"").hexdigest()
     got = queries.op3_substrings(spark, str(tmp_path)).where("n_words = 0").collect()
     assert len(got) == 4 and {r.kept_sha256 for r in got} == {blank}
+
+
+GPL_NOTICE = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at {}://mozilla.org/MPL/2.0/."""
+BSD_NOTICE = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+{}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE."""
+#: Official notices, each behind a copyright line, with the licences they give.
+NOTICES = [
+    (["GPL-3.0-or-later"], GPL_NOTICE.format(":", ",", 3)),
+    (["GPL-3.0-or-later"], GPL_NOTICE.format(";", ";", 3)),
+    (["GPL-2.0-or-later"], GPL_NOTICE.format(";", ";", 2)),
+    (["GPL-2.0-or-later"], GPL_NOTICE.format(":", ";", 2)),
+    (["Apache-2.0"], """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""),
+    (["MPL-2.0"], MPL_NOTICE.format("https")),
+    (["MPL-2.0"], MPL_NOTICE.format("http")),
+    (["MIT"], """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""),
+    (["ISC"], """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE."""),
+    (["BSD-2-Clause"], BSD_NOTICE.format("")),
+    (["BSD-3-Clause"], BSD_NOTICE.format("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n")),
+    (["Unlicense"], "This is free and unencumbered software released into the public domain."),
+    (["BSL-1.0"], "Distributed under the Boost Software License, Version 1.0.\n(See accompanying file LICENSE_1_0.txt)"),
+    (["Zlib"], "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software."),
+    (["Apache-2.0"], "Licensed under the Apache License, Version 2.0."),
+    (["GPL-2.0"], "This work is licensed under the GNU General Public License, version 2."),
+    (["GPL-3.0"], "This work is licensed under the GNU General Public License, version 3."),
+    (["CC0-1.0"], "This work is dedicated to the public domain under CC0 1.0."),
+]
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "   "])
+def test_official_notices(spark, mark):
+    assert {x for licences, _ in NOTICES for x in licences} | {x for x, _ in licenses.RULES if x.startswith("CC-")} == {x for x, _ in licenses.RULES}
+    texts = ["\n".join((mark + line).rstrip() for line in f"Copyright 2020 A. Person\n\n{t}\n\nimport x".split("\n")) for _, t in NOTICES]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in licenses.scan(df).collect()}
+    assert got == {i: licences for i, (licences, _) in enumerate(NOTICES)}
+
+
+def test_pieces_of_notices_alone(spark):
+    cases = {1: "This Source Code Form is subject to the terms of the Mozilla Public License, v. 3.0. x", 2: "2.0\n\n2.0. y", 3: MPL_NOTICE.format("https").replace("v. 2.0.", "v. or so. 2.0."), 4: "Foundation; either version 2 of the License, or (at your option) any later version."}
+    got = {r.doc_id: (r.sentence_ids, r.licences) for r in licenses.scan(spark.createDataFrame(list(cases.items()), "doc_id long, text string")).collect()}
+    assert got == {1: ([], []), 2: ([], []), 3: (["mpl-copy"], []), 4: ([], [])}
