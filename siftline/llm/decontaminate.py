@@ -126,7 +126,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", tex
     """The pairs of documents and benchmark items of which the document holds a near copy.
 
     Words are lower-cased.  A window of a document has as many words as an
-    item; a window that shares no shingle of five words with the benchmark has
+    item, or is the whole of a document that has fewer; a window that shares no shingle of five words with the benchmark has
     similarity 0 with all of it and is passed over, every other one gets a
     64-bit SimHash of its shingles.  The fingerprints of items of its size
     within Hamming distance RADIUS are found by blocks of bits, complete by the
@@ -158,6 +158,9 @@ def windows(x: DataFrame, known: DataFrame, k: int) -> DataFrame:
         def of(size):
             lo = F.greatest(F.lit(0), hit["at"] - (size - k))
             hi = F.least(hit["at"], F.size("grams") - (size - k) - 1)
+            # a shorter text is one window, unless it is too short to reach SIMILARITY
+            hi = F.when((hi < 0) & (F.size("grams") / (size - (k - 1)) >= SIMILARITY), F.lit(0)).otherwise(hi)
+            lo = F.when(F.size("grams") < size - (k - 1), F.lit(0)).otherwise(lo)
             return F.when(lo <= hi, F.transform(F.sequence(lo, F.greatest(lo, hi)), lambda s: s.cast("bigint") + size.cast("bigint") * wide)).otherwise(F.array().cast("array<bigint>"))
 
         return F.flatten(F.transform(hit["sizes"], of))

@@ -428,3 +428,26 @@ def test_pieces_of_notices_alone(spark):
     cases = {1: "This Source Code Form is subject to the terms of the Mozilla Public License, v. 3.0. x", 2: "2.0\n\n2.0. y", 3: MPL_NOTICE.format("https").replace("v. 2.0.", "v. or so. 2.0."), 4: "Foundation; either version 2 of the License, or (at your option) any later version."}
     got = {r.doc_id: (r.sentence_ids, r.licences) for r in licenses.scan(spark.createDataFrame(list(cases.items()), "doc_id long, text string")).collect()}
     assert got == {1: ([], []), 2: ([], []), 3: (["mpl-copy"], []), 4: ([], [])}
+
+
+def test_texts_shorter_than_the_item(spark, monkeypatch):
+    r = random.Random(12)
+    item = ["q%d" % r.randrange(900) for _ in range(46)]
+    texts = {1: item[:42], 2: item[4:], 3: item[:20] + item[21:], 4: item[:38], 5: item[:37], 6: item[:-1], 7: item[:30], 8: item[:36] + ["x"] * 4, 9: item[:4], 10: item[1:43] + ["x"], 11: ["a", "b", "c", "d"], 12: ["a", "b", "c", "d", "e"], 13: item}
+    bench = {1: item, 2: ["a", "b", "c", "d", "e"], 3: ["a", "b", "c", "d", "e", "f"], 4: item[:44]}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in bench.items()], "item_id long, text string")
+    want = {}
+    for d, w in texts.items():
+        for i, b in bench.items():
+            grams = lambda x: Counter(tuple(x[j : j + 5]) for j in range(len(x) - 4))
+            for j in range(max(1, len(w) - len(b) + 1)):
+                x, y = grams(w[j : j + len(b)]), grams(b)
+                s = sum((x & y).values()) / sum((x | y).values())
+                if s >= 0.8:
+                    want[d, i] = max(want.get((d, i), (0, 0)), (round(s, 9), -j))
+    assert {(1, 1), (2, 1), (6, 1), (1, 4)} <= set(want) and not {(5, 1), (7, 1), (12, 3)} & set(want)
+    key = lambda: {(x.doc_id, x.item_id): (round(x.similarity, 9), -x["at"]) for x in decontaminate.decontaminate(df, items).collect()}
+    assert key() == want
+    monkeypatch.setattr(decontaminate, "INLINE", 3)  # the joined way
+    assert key() == want
