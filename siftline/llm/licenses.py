@@ -126,8 +126,7 @@ def scan(docs: DataFrame, text: str = "text", sentences: dict | None = None, rul
     # a piece's code is its text behind a plus sign
     codes = {x[1:]: x for _, w in cuts for x in w} | {w[0]: i for i, w in wordings if len(w) == 1} | {s: i for i, s in (sentences or SENTENCES).items()}
     known = F.map_from_arrays(F.array(*map(F.lit, codes)), F.array(*map(F.lit, codes.values())))
-    longest = max(map(len, codes)) * 2
-    lookup = lambda s: let(F.when(F.length(s) <= longest, normalised(s)).otherwise(F.lit("?")), lambda n: F.when(n != "", F.coalesce(F.try_element_at(known, n), F.try_element_at(known, F.regexp_replace(n, "^[0-9]{1,2} ", "")), F.lit("?"))))
+    lookup = lambda s: let(normalised(s), lambda n: F.when(n != "", F.coalesce(F.try_element_at(known, n), F.try_element_at(known, F.regexp_replace(n, "^[0-9]{1,2} ", "")), F.lit("?"))))
 
     def units(s, deeper):
         """Codes of a text that is known as a whole, else of what it is cut into; ? is unknown, null blank."""
