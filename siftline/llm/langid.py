@@ -13,7 +13,7 @@ from .common import col
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
-#: Bounds of the training sample: languages, documents of each, windows of a document.
+#: Bounds of the training sample: languages up to which each gets as many documents, those, windows of a document.
 MAX_LANGS = 64
 DOCS_A_LANG = 800
 WINDOWS_A_DOC = 6
@@ -107,17 +107,21 @@ class Network:
 def train(docs: DataFrame, text: str, lang: str) -> Network | None:
     """A network for the languages of the labelled ``docs``; None without any.
 
-    The sample is bounded by MAX_LANGS languages (the most frequent),
-    about DOCS_A_LANG documents of each, picked by hash of the text, and
-    WINDOWS_A_DOC windows of a document, spread over it.  Copies count once, so
-    that a large group of them, picked or not as one, can't break the bound.
+    All languages are learned.  The sample is bounded by about DOCS_A_LANG
+    documents of each, fewer where there are more than MAX_LANGS languages but
+    one at least, picked by hash of the text, and WINDOWS_A_DOC windows of a
+    document, spread over it.  Copies count once, in the share as in the sample,
+    so that a large group of them can neither break the bound nor shrink the
+    sample.
     """
     known = docs.select(col(lang).alias("lang"), col(text).alias("text")).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    place = F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 20))
+    counts = known.select("lang", F.xxhash64("text", F.lit(SEED)).alias("h")).distinct().groupBy("lang").agg(F.count("*").alias("n"), F.min(F.pmod("h", F.lit(1 << 20))).alias("least")).collect()
     if not counts:
         return None
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, DOCS_A_LANG / n))))
-    picked = known.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 20)) < F.try_element_at(share, F.col("lang")) * (1 << 20)).distinct()
+    each = DOCS_A_LANG * min(1.0, MAX_LANGS / len(counts))
+    share = docs.sparkSession.createDataFrame([(r["lang"], max(min(1.0, each / r["n"]) * (1 << 20), r["least"] + 1.0)) for r in counts], "lang string, below double")
+    picked = known.join(F.broadcast(share), "lang").where(place < F.col("below")).select("lang", "text").distinct()
 
     def cut(batches):
         for batch in batches:
@@ -132,11 +136,12 @@ def train(docs: DataFrame, text: str, lang: str) -> Network | None:
     rows = sorted((r["lang"], bytes(r["bytes"])) for r in picked.mapInArrow(cut, "lang string, bytes binary").collect())
     if not rows:
         return None
-    langs = sorted(counts)
+    langs = sorted(r["lang"] for r in counts)
     rng = np.random.default_rng(SEED)
     net = Network(langs, rng)
     x = np.frombuffer(b"".join(b for _, b in rows), np.uint8).reshape(-1, WINDOW)
-    y = np.array([langs.index(k) for k, _ in rows])
+    number = {k: i for i, k in enumerate(langs)}
+    y = np.array([number[k] for k, _ in rows])
     # languages count alike, whatever their windows
     weight = 1 / np.bincount(y, minlength=len(langs))[y]
     at = rng.choice(len(y), len(y), p=weight / weight.sum())

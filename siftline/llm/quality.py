@@ -2,7 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructType
@@ -16,6 +16,8 @@ NONZERO = 4
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 48, 60, 128, 0.004, 10
 #: Bound of the labelled sample.
 MAX_ROWS = 12000
+#: Rows of a label that are taken at least, as far as there are as many.
+LEAST_ROWS = MAX_ROWS // 20
 #: One labelled row in this many sets the temperature.
 CALIBRATE = 5
 
@@ -70,6 +72,9 @@ def pooled(hasher, buf, offsets):
 class Scorer:
     """Standardised inputs, one hidden layer of rectifiers, a logistic output with a temperature."""
 
+    #: Log odds added for a sample that took the labels in unequal shares.
+    shift = 0.0
+
     def fit(self, x, y, seed=SEED):
         rng = np.random.default_rng(seed)
         keep = rng.permutation(len(x))
@@ -103,20 +108,33 @@ class Scorer:
         return np.maximum(z @ self.params[0] + self.params[1], 0) @ self.params[2] + self.params[3]
 
     def __call__(self, x):
-        return 1 / (1 + np.exp(-np.clip(self.logit(x) / self.temperature, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.logit(x) / self.temperature + self.shift, -30, 30)))
+
+
+def lot(text: Column) -> Column:
+    """The hash by which texts are picked."""
+    return F.xxhash64(text, F.lit(SEED))
 
 
-def train(docs: DataFrame, text: str, label: str) -> Scorer | None:
+def train(docs: DataFrame, text: str, label: str, drawn: str | None = None) -> Scorer | None:
     """A scorer from rows with ``label`` 0 or 1; None without both labels.
 
-    About MAX_ROWS rows at most, picked by hash of the text; copies of the same
-    label count once, so that a large group of them can't break the bound.
+    About MAX_ROWS rows at most, picked by hash of the text, and of a rare label
+    LEAST_ROWS as far as there are as many, for which the score is put right;
+    copies of the same label count once, in the share as in the sample, so that
+    a large group of them can neither break the bound nor shrink the sample.
+    ``drawn`` may name a column with ``lot`` of the text; texts then aren't read to be counted.
     """
-    known = docs.select(col(label).cast("double").alias("y"), col(text).alias("text")).where("y in (0, 1)")
-    n = known.count()
-    if not n:
+    known = docs.select(col(label).cast("double").alias("y"), col(text).alias("text"), (lot(col(text)) if drawn is None else col(drawn)).alias("h")).where("y in (0, 1)")
+    place = F.pmod("h", F.lit(1 << 20))
+    counts = known.select("y", "h").distinct().groupBy("y").agg(F.count("*").alias("n"), F.min(place).alias("least")).collect()
+    if len(counts) < 2:
         return None
-    known = known.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 20)) < min(1.0, MAX_ROWS / n) * (1 << 20)).distinct()
+    n = sum(r["n"] for r in counts)
+    share = {r["y"]: max(min(1.0, max(MAX_ROWS / n, LEAST_ROWS / r["n"])), (r["least"] + 1) / (1 << 20)) for r in counts}
+    below = F.when(F.col("y") == 1, F.lit(share[1.0])).otherwise(F.lit(share[0.0]))
+    # the first condition needs the text alone and so holds back rows before a join
+    known = known.where(place < max(share.values()) * (1 << 20)).where(place < below * (1 << 20)).select("y", "text").distinct()
 
     def gather(batches):
         hasher = kernel.Hasher()
@@ -130,7 +148,9 @@ def train(docs: DataFrame, text: str, label: str) -> Scorer | None:
     y = np.array([r[1] for r in rows])
     if not len(y) or y.min() == y.max():
         return None
-    return Scorer().fit(np.frombuffer(b"".join(r[0] for r in rows), np.float32).reshape(len(y), -1).astype(float), y)
+    scorer = Scorer().fit(np.frombuffer(b"".join(r[0] for r in rows), np.float32).reshape(len(y), -1).astype(float), y)
+    scorer.shift = float(np.log(share[0.0] / share[1.0]))
+    return scorer
 
 
 def score(docs: DataFrame, scorer: Scorer | None, text: str = "text") -> DataFrame:

@@ -451,3 +451,27 @@ def test_texts_shorter_than_the_item(spark, monkeypatch):
     assert key() == want
     monkeypatch.setattr(decontaminate, "INLINE", 3)  # the joined way
     assert key() == want
+
+
+def test_sample_of_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(langid, "DOCS_A_LANG", 20)
+    monkeypatch.setattr(langid, "MAX_LANGS", 2)
+    monkeypatch.setattr(langid, "STEPS", 3)
+    monkeypatch.setattr(quality, "MAX_ROWS", 40)
+    monkeypatch.setattr(quality, "LEAST_ROWS", 10)
+    monkeypatch.setattr(quality, "EPOCHS", 2)
+    seen = []
+    fit = langid.Network.fit
+    monkeypatch.setattr(langid.Network, "fit", lambda self, x, y, rng: (seen.append((self.langs, y)), fit(self, x, y, rng)))
+    # 20,000 rows over 8 texts, and a language and a label of one text
+    rows = [("xx", "copied text %d" % (i % 8), i % 8 % 2) for i in range(20000)] + [("yy", "other words %d" % i, 0) for i in range(500)] + [("zz", "single", 1)]
+    df = spark.createDataFrame(rows, "lang string, text string, y int")
+    net = langid.train(df, "text", "lang")
+    assert net.langs == ["xx", "yy", "zz"] and set(seen[0][1]) == {0, 1, 2}
+    got = []
+    scorer = quality.Scorer.fit
+    monkeypatch.setattr(quality.Scorer, "fit", lambda self, x, y, seed=quality.SEED: (got.append(y), scorer(self, x, y, seed))[1])
+    assert quality.train(df.where("lang = 'xx'"), "text", "y") is not None and len(got[0]) == 8
+    rare = quality.train(df.where("lang <> 'xx'"), "text", "y")
+    assert rare is not None and set(got[1]) == {0.0, 1.0} and len(got[1]) < 100 and rare.shift < 0
+    assert quality.train(df.where("y = 0"), "text", "y") is None
