@@ -48,7 +48,7 @@ def lm_scores(docs: DataFrame, text: str = "text") -> DataFrame:
     when it is scored.  A word scores c(uvw) / c(uv) if c(uvw) > 0, else 0.4
     times the shorter history's score, down to c(w) / N; a word that no other
     document holds counts 1 / (N + 1) there.  Histories stop at the document's
-    start.  The n-gram tables are partitioned by hash, and each document's
+    start.  N-grams are told apart by 64-bit hashes.  The n-gram tables are partitioned by hash, and each document's
     n-grams, packed by block, are joined to them and summed per document.
 
     Adds n_tokens and lm_score (null without words) to the columns of
@@ -57,7 +57,7 @@ def lm_scores(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     kept = [f for f in docs.schema.fields if f.name.lower() not in ("n_tokens", "lm_score")]
     docs = docs.select(*(f"`{f.name}`" for f in kept))
-    blocked, block, layout = packed.in_blocks(docs, text, 0.5, 20)
+    blocked, block, layout = packed.in_blocks(docs, text, 0.5)
     all_words = (1 << layout.bits) - 1
 
     def ask(table):
