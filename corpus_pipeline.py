@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import decontaminate, langid, lines, mixing, ngram_join
-from siftline.llm.common import col, shared_table
+from siftline.llm.common import col, fresh, shared_table
 
 #: The least probability at which a language is taken as recognised.
 LEAST_SCORE = 0.3
@@ -40,10 +40,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group linked by five-word shingles at similarity 0.8."""
-    groups = shared_table(ngram_join.ngram_join(docs.select("doc_id", "text")))
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*(col(c) for c in docs.columns))
+    """The document of the smallest id of each group linked by five-word shingles at similarity 0.8.
+
+    Rows are told apart by a key of their own, so that null and repeated ids
+    cost no row but copies; null ids come last.
+    """
+    row, = fresh(docs, "row")
+    keyed = shared_table(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = shared_table(ngram_join.ngram_join(keyed.select(row, "text"), id=row)).select(F.col(row), F.col("component_id").alias("c"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row))
+    kept = groups.join(keyed.select(row, "doc_id"), row).groupBy("c").agg(first.alias("first")).select(F.col(f"first.{row}").alias(row))
+    gone = groups.select(row).join(kept, row, "left_anti")
+    return keyed.join(gone, row, "left_anti").select(*(col(c) for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
