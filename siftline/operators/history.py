@@ -1,5 +1,7 @@
 """Experience, calibration, strategy ranking, trends, gates, logs, costs."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,6 +131,41 @@ def top_inner_product(vectors: DataFrame, query: list[float], id: str, vector: s
     return vectors.select(F.col(id), dot.alias("score")).orderBy(F.desc("score"), id).limit(k).where(F.col("score") >= least)
 
 
+#: Queries and rows that meet at a time.
+QUERY_BLOCK, ROW_BLOCK = 512, 4096
+
+
+def top_inner_products(vectors: DataFrame, queries: DataFrame, id: str, vector: str, k: int = 3, least: float = 0.3) -> DataFrame:
+    """(vec_id, neighbour, score): for each query the ``k`` rows of largest inner product, of these those of ``least`` or more.
+
+    Every block of queries meets every block of rows of its dimension.  Vectors
+    that are null or hold nulls take no part.  Ties go to the smaller id.
+    """
+    usable = lambda x: x.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL AND NOT exists(v, e -> e IS NULL)").withColumn("d", F.size("v"))
+    rows, asked = usable(vectors), usable(queries)
+    n_rows, n_asked = -(-rows.count() // ROW_BLOCK) or 1, -(-asked.count() // QUERY_BLOCK) or 1
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_asked)).cast("int")).withColumn("rb", span(n_rows))
+    right = rows.withColumn("rb", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_rows)).cast("int")).withColumn("qb", span(n_asked))
+    schema = pa.schema([("vec_id", pa.int64()), ("neighbour", pa.int64()), ("score", pa.float64())])
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            return schema.empty_table()
+        b = b.sort_by("id")
+        q, x = (np.array(t.column("v").combine_chunks().flatten()).reshape(len(t), -1) for t in (a, b))
+        score = np.zeros((len(q), len(x)))
+        for j in range(q.shape[1]):  # in the order of the elements, so that equal vectors score alike
+            score += q[:, j, None] * x[None, :, j]
+        best = np.argsort(-score, 1, kind="stable")[:, :k]
+        ids = a.column("id").to_numpy(), b.column("id").to_numpy()
+        return pa.table([np.repeat(ids[0], best.shape[1]), ids[1][best.ravel()], np.take_along_axis(score, best, 1).ravel()], schema=schema)
+
+    found = left.groupBy("d", "qb", "rb").cogroup(right.groupBy("d", "qb", "rb")).applyInArrow(meet, "vec_id long, neighbour long, score double")
+    place = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "neighbour"))
+    return found.withColumn("place", place).where((F.col("place") <= k) & (F.col("score") >= least)).drop("place")
+
+
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, level): 0 without dependencies, else one more than the deepest; raises on a cycle.
 

@@ -578,8 +578,16 @@ def wildcard_dispatch(s, d):
 @query("vector_top_k", "WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 1), x AS (SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), q), 6) AS score FROM embeddings, q ORDER BY list_dot_product(CAST(embedding AS DOUBLE[]), q) DESC, vec_id LIMIT 10) SELECT * FROM x WHERE score >= 0.3")
 def vector_top_k(s, d):
     e = t(s, d, "embeddings")
-    q = e.where("vec_id = 1").first()["embedding"]
-    return H.top_inner_product(e, q, "vec_id", "embedding", 10).select("vec_id", F.round("score", 6).alias("score"))
+    row = e.where("vec_id = 1").first()
+    if row is None:
+        return e.limit(0).select("vec_id", F.lit(0.0).alias("score"))
+    return H.top_inner_product(e, row["embedding"], "vec_id", "embedding", 10).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("vector_top_k_all", "WITH q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 50 = 0), x AS (SELECT query, vec_id AS neighbour, list_dot_product(CAST(embedding AS DOUBLE[]), q) AS s FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, neighbour) AS k FROM x) SELECT query AS vec_id, neighbour, round(s, 6) AS score FROM r WHERE k <= 10 AND s >= 0.3")
+def vector_top_k_all(s, d):
+    e = t(s, d, "embeddings")
+    return H.top_inner_products(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", 10).select("vec_id", "neighbour", F.round("score", 6).alias("score"))
 
 
 @query("dag_levels", "WITH RECURSIVE g AS (SELECT n_nationkey AS node FROM nation), e AS (SELECT a.node AS src, b.node AS dst FROM g a JOIN g b ON b.node IN (2 * a.node + 1, 2 * a.node + 2)), l(node, level) AS (SELECT node, 0 FROM g WHERE node NOT IN (SELECT dst FROM e) UNION ALL SELECT e.dst, l.level + 1 FROM l JOIN e ON e.src = l.node) SELECT node, max(level) AS level FROM l GROUP BY node")
