@@ -134,9 +134,13 @@ class Graph:
             graph[part] = pick(cand, s, v, graph.shape[1])
 
     def entries(self, queries, level):
-        """Nodes at which to enter a level."""
-        at = np.zeros((len(queries), 1), int)
-        for upper in reversed(range(level + 1, len(self.sizes))):
+        """Nodes at which to enter a level; those of the top level, all compared, by nearness."""
+        top = len(self.sizes) - 1
+        at = np.argsort(-(queries @ self.vectors[: self.sizes[top]].T), 1, kind="stable")
+        if level == top:
+            return at
+        at = at[:, :EF_UPPER]
+        for upper in reversed(range(level + 1, top)):
             n = self.sizes[upper]
             at, _ = beam(self.levels[upper], self.vectors[:n], queries, at, EF_UPPER)
         return at
