@@ -45,12 +45,15 @@ def col(name: str) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor can reach.
 
-    The setting is the cluster's; where it is unset (tests, one machine) a
-    folder of the system's temporary directory takes its place.
+    The setting is the cluster's.  Only where it is unset and all runs on one
+    machine, as in tests, a folder of the system's temporary directory takes its
+    place; elsewhere other executors couldn't read it, and that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext.getCheckpointDir()
+        if not held and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = held if held else "file://" + os.path.join(tempfile.gettempdir(), "siftline-checkpoints")
     return f"{root.rstrip('/')}/siftline-{uuid.uuid4().hex}"
 

@@ -3,11 +3,13 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, fresh, word_count
+from .common import col, drop_tables, fresh, shared_table, word_count
 
 WEIGHTS = (3, 1, 2)
 #: Digits of the shuffle key that name a bucket; 16**3 buckets split each source.
 BUCKET_DIGITS = 3
+#: Ranges of finish in a unit of virtual time; the last one up to 2 holds all behind.
+RANGES = 1 << 12
 
 
 def source_targets(sizes: DataFrame, source: str, size: str, weights=WEIGHTS, share: float = 1.5, repeats: float = 2.0) -> DataFrame:
@@ -34,9 +36,33 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights=WEIGHTS, sh
     return s.select("source", "source_size", F.least(F.col("cap"), F.coalesce(level * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def served(before: Column, size: Column, target: Column) -> Column:
-    """Words of a document served when its source has had ``target`` words, ``before`` of them earlier ones."""
-    return F.greatest(F.lit(0).cast("long"), F.least(size, F.floor(target).cast("long") - before))
+def served(before: Column, size: Column, total: Column) -> Column:
+    """Words of a document among the first ``total`` of its source's queue, ``before`` of which are earlier ones."""
+    return F.greatest(F.lit(0).cast("long"), F.least(size, total - before))
+
+
+def whole_words(x: Column) -> Column:
+    return F.floor(x).cast("long")
+
+
+def cut_at_budget(queue: DataFrame, budget: int) -> DataFrame:
+    """(name, none, served): words of each source in the global order by finish up to ``budget`` words.
+
+    ``queue`` has name, none, begin, size and finish, a row a copy.  It is
+    sorted by ranges of finish: totals of the ranges, one row each, are summed
+    up; ranges that end within the budget are served whole, those behind it
+    not, and only the range in which it ends is sorted and summed row by row.
+    """
+    x = queue.withColumn("range", F.least(F.floor(F.col("finish") * RANGES), F.lit(2 * RANGES)).cast("int"))
+    upto = F.sum("words").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
+    ranges = x.groupBy("range").agg(F.sum("size").alias("words")).withColumn("upto", upto)
+    cut = ranges.where(F.col("upto") > budget).orderBy("range").first()
+    if cut is None:
+        return x.groupBy("name", "none").agg(F.sum("size").alias("served"))
+    order = Window.partitionBy("range").orderBy("finish", "none", "name", "begin").rowsBetween(Window.unboundedPreceding, 0)
+    last = x.where(F.col("range") == cut["range"]).withColumn("upto", F.sum("size").over(order) + (cut["upto"] - cut["words"]))
+    last = last.select("name", "none", served(F.col("upto") - F.col("size"), F.col("size"), F.lit(budget)).alias("size"))
+    return x.where(F.col("range") < cut["range"]).select("name", "none", "size").union(last).groupBy("name", "none").agg(F.sum("size").alias("served"))
 
 
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = 1.5, repeats: int = 2, seed: str = "mix") -> DataFrame:
@@ -45,10 +71,11 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     A source's documents queue in shuffled order (by MD5 of seed and id), again
     and again up to ``repeats`` rounds.  A copy's virtual finish time is the
     words queued in its source up to its end, divided by the source's target.
-    Words are served in order of virtual time, so the total budget (the sum of
-    targets) ends at virtual time 1, where every source has had its target; the
-    document in service there is cut.  Rows come range-sorted by ``finish``,
-    that of the first copy.
+    All copies are sorted by finish over all sources and the order is cut where
+    its words reach the total budget, the whole words of all targets.  A copy
+    that virtual time 1 finds in service is queued word by word, each with its
+    finish, so that the cut leaves every source within a word of its target.
+    Rows come range-sorted by ``finish``, that of the first copy.
 
     Adds to the columns of ``docs``: size, source_size, target, taken (words
     the mix takes, repeats counted) and finish; columns of ``docs`` so named
@@ -59,28 +86,39 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     """
     added = {"size", "source_size", "target", "taken", "finish"}
     kept = [c for c in docs.columns if c.lower() not in added]
-    key, name, none, bucket, before, pre, target, total = fresh(docs, "q_key", "q_source", "q_null", "q_bucket", "q_before", "q_pre", "q_target", "q_total")
+    key, name, none, bucket, before, pre, target, total, got = fresh(docs, "q_key", "q_source", "q_null", "q_bucket", "q_before", "q_pre", "q_target", "q_total", "q_served")
     size, = fresh(docs, "q_size")
-    x = docs.select(
-        *(col(c) for c in kept),
-        word_count(col(text)).alias(size),
-        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(col(id).cast("string"), F.lit("")))).alias(key),
-        F.coalesce(col(source), F.lit("")).alias(name),
-        col(source).isNull().alias(none),
-    ).withColumn(bucket, F.substring(key, 1, BUCKET_DIGITS))
+    shuffled = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(col(id).cast("string"), F.lit(""))))
     group = [name, none, bucket]
-    heads = docs.select(word_count(col(text)).alias(size), col(source).alias("source"), F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(col(id).cast("string"), F.lit("")))), 1, BUCKET_DIGITS).alias(bucket))
-    heads = heads.groupBy("source", bucket).agg(F.sum(size).alias(size))
-    targets = source_targets(heads, "source", size, weights, share, repeats)
+    order = Window.partitionBy(*group).orderBy(key, col(id).asc_nulls_last(), size)
+
+    def queued(columns):
+        """Rows with the words of their bucket that come before."""
+        x = docs.select(*(col(c) for c in columns), word_count(col(text)).alias(size), shuffled.alias(key), F.coalesce(col(source), F.lit("")).alias(name), col(source).isNull().alias(none))
+        x = x.withColumn(bucket, F.substring(key, 1, BUCKET_DIGITS))
+        return x.withColumn(before, F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col(size))
+
+    heads = docs.select(word_count(col(text)).alias(size), col(source).alias("source"), F.substring(shuffled, 1, BUCKET_DIGITS).alias(bucket))
+    heads = shared_table(heads.groupBy("source", bucket).agg(F.sum(size).alias(size)))
+    targets = shared_table(source_targets(heads, "source", size, weights, share, repeats).select(F.coalesce("source", F.lit("")).alias(name), F.col("source").isNull().alias(none), F.col("source_size").alias(total), F.col("target").alias(target)))
     heads = heads.select(
         F.coalesce("source", F.lit("")).alias(name), F.col("source").isNull().alias(none), bucket,
         (F.sum(size).over(Window.partitionBy("source").orderBy(bucket)) - F.col(size)).alias(pre),
-    ).join(targets.select(F.coalesce("source", F.lit("")).alias(name), F.col("source").isNull().alias(none), F.col("source_size").alias(total), F.col("target").alias(target)), [name, none])
-    order = Window.partitionBy(*group).orderBy(key, col(id).asc_nulls_last(), size)
-    x = x.withColumn(before, F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col(size))
-    x = x.join(heads, group)
-    at = F.col(before) + F.col(pre)
-    taken = sum((served(at + F.col(total) * k, F.col(size), F.col(target)) for k in range(1, repeats)), served(at, F.col(size), F.col(target)))
+    )
+    x = queued([id]).where(F.col(size) > 0).join(heads.join(targets, [name, none]), group)
+    x = x.select(F.col(name).alias("name"), F.col(none).alias("none"), F.col(target).alias("target"), F.col(size).alias("size"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda k: F.col(before) + F.col(pre) + k * F.col(total))).alias("begin"))
+    end = F.col("begin") + F.col("size")
+    split = (F.col("begin") < F.col("target")) & (end > F.col("target"))
+    one = F.transform(F.sequence(F.lit(1).cast("long"), F.col("size")), lambda k: F.struct((F.col("begin") + k - 1).alias("begin"), F.lit(1).cast("long").alias("size")))
+    x = x.where("target > 0").select("name", "none", "target", F.explode(F.when(split, one).otherwise(F.array(F.struct("begin", "size")))).alias("q"))
+    x = shared_table(x.select("name", "none", "q.begin", "q.size", ((F.col("q.begin") + F.col("q.size")) / F.col("target")).alias("finish")))
+    budget = targets.agg(F.sum(whole_words(F.col(target)))).first()[0] or 0
+    sold = shared_table(cut_at_budget(x, budget))
+    drop_tables(x)
+    sold = sold.select(F.col("name").alias(name), F.col("none").alias(none), F.col("served").alias(got))
+    x = queued(kept).join(heads.join(targets.join(sold, [name, none], "left"), [name, none]), group)
+    at, words = F.col(before) + F.col(pre), F.coalesce(F.col(got), F.lit(0).cast("long"))
+    taken = sum((served(at + F.col(total) * k, F.col(size), words) for k in range(1, repeats)), served(at, F.col(size), words))
     finish = F.when(F.col(target) > 0, (at + F.col(size)) / F.col(target)).otherwise(F.lit(float("inf")))
     out = x.select(*(col(c) for c in kept), F.col(size).alias("size"), F.col(total).alias("source_size"), F.col(target).alias("target"), taken.alias("taken"), finish.alias("finish"))
     return out.orderBy("finish", col(id).asc_nulls_last())
