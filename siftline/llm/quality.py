@@ -10,9 +10,12 @@ from pyspark.sql.types import DoubleType, StructType
 from . import kernel
 from .common import col
 
-#: Dimensions of the index vectors by kind: word, word in context, ends of the word, its shape.
-DIMS = (64, 32, 64, 48)
-NONZERO = 4
+#: Dimensions of index and context vectors, entries of an index vector that aren't 0, words to each side that are context.
+DIM, NONZERO, REACH = 64, 4, 2
+#: Rows of the table of context vectors; words of equal hash share a row, so that the table is as large for any corpus.
+ROWS = 1 << 14
+#: Tokens pooled at a time.
+BLOCK = 1 << 16
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 48, 60, 128, 0.004, 10
 #: Bound of the labelled sample.
 MAX_ROWS = 12000
@@ -22,51 +25,102 @@ LEAST_ROWS = MAX_ROWS // 20
 CALIBRATE = 5
 
 
-def shapes(hasher, buf, start, end):
-    """A number for the kinds of characters in each word."""
-    kinds = []
-    for mask in ((buf >= 65) & (buf <= 90), (buf >= 97) & (buf <= 122), (buf >= 48) & (buf <= 57), buf >= 128):
-        c = np.concatenate([[0], np.cumsum(mask)])
-        kinds.append(c[end] - c[start])
-    size = end - start
-    upper, lower, digit, wide = kinds
-    other = size - upper - lower - digit - wide
-    level = lambda x: np.minimum(x, 3)
-    return (((level(upper) * 4 + level(lower)) * 4 + level(digit)) * 4 + level(wide)) * 4 + level(other)
+def kinds():
+    """0 for white space, 1 for letters, digits and bytes beyond ASCII, 2 for marks."""
+    out = np.full(256, 2, np.uint8)
+    out[[32, 9, 10, 11, 12, 13]] = 0
+    out[48:58] = out[65:91] = out[97:123] = out[128:] = 1
+    return out
 
 
-def pooled(hasher, buf, offsets):
-    """One row per text: mean index vector of its words by kind, their lengths, and counts.
+KINDS = kinds()
 
-    A word's index vector has NONZERO entries of +1 or -1, placed by its hash.  In context, the word
-    before is added, as a pair.
+
+def tokens(hasher, buf, offsets):
+    """(hash, document) of the runs of bytes of one kind, white space aside, A-Z as a-z."""
+    if not len(buf):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    kind = KINDS[buf]
+    edge = np.ones(len(buf), bool)
+    edge[1:] = kind[1:] != kind[:-1]
+    edge[offsets[(offsets > 0) & (offsets < len(buf))]] = True
+    start = np.flatnonzero(edge)
+    end = np.append(start[1:], len(buf))
+    word = kind[start] > 0
+    start, end = start[word], end[word]
+    return hasher.hash_spans(buf, start, end), np.searchsorted(offsets, start, "right") - 1
+
+
+def row_of(words):
+    return (words >> np.uint64(64 - (ROWS.bit_length() - 1))).astype(np.int64)
+
+
+def index_vectors(words):
+    """(dimension, sign) of each entry of the words' index vectors, drawn from their hashes."""
+    h = kernel.mix64(words + np.uint64(DIM))
+    for k in range(NONZERO):
+        x = h >> np.uint64(16 * k)
+        yield (x & np.uint64(0x7FFF)).astype(np.int64) % DIM, np.where(x & np.uint64(0x8000), 1.0, -1.0)
+
+
+def add_contexts(table, words, doc):
+    """Add to each word's row the index vectors of the words up to REACH away in its document."""
+    row = row_of(words) * DIM
+    for at, sign in index_vectors(words):
+        for d in range(1, REACH + 1):
+            same = doc[d:] == doc[:-d]
+            for left, right in ((slice(None, -d), slice(d, None)), (slice(d, None), slice(None, -d))):
+                table += np.bincount(row[left][same] + at[right][same], sign[right][same], len(table)).astype(np.int64)
+
+
+def word_vectors(docs: DataFrame, text: str = "text"):
+    """Context vectors by random indexing over all of ``docs``: ROWS unit vectors, zero where no word fell.
+
+    A word has a sparse index vector drawn from its hash; its context vector is
+    the sum, over all its places in the corpus, of the index vectors of the
+    words near it.  Tasks sum their part and the parts are added by row; the table has
+    ROWS x DIM numbers whatever the corpus, and sums of whole numbers, so that
+    the order of addition doesn't matter.
     """
+    names = [f"c{i}" for i in range(DIM)]
+
+    def gather(batches):
+        hasher, table = kernel.Hasher(True), np.zeros(ROWS * DIM, np.int64)
+        for batch in batches:
+            for _, buf, offsets in kernel.chunks(batch.column(0)):
+                add_contexts(table, *tokens(hasher, buf, offsets))
+        part = table.reshape(ROWS, DIM)
+        some = np.flatnonzero(part.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(part[some, i]) for i in range(DIM))], ["row", *names])
+
+    parts = docs.select(col(text).alias("text")).mapInArrow(gather, "row int, " + ", ".join(f"{n} long" for n in names))
+    sums = parts.groupBy("row").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+    out = np.zeros((ROWS, DIM))
+    out[np.array(sums.column("row"), dtype=np.int64)] = np.stack([np.array(sums.column(n), dtype=float) for n in names], 1).reshape(-1, DIM)
+    return (out / np.maximum(np.sqrt((out**2).sum(1, keepdims=True)), 1e-9)).astype(np.float32)
+
+
+def pooled(hasher, buf, offsets, vectors):
+    """One row per text: the mean of its words' vectors and of the products of neighbours', with their lengths, and the log of its words."""
     n = len(offsets) - 1
-    start, end, doc = hasher.split(buf, offsets)
-    words = hasher.hash_spans(buf, start, end)
-    size = np.bincount(doc, minlength=n)
-    shape = kernel.mix64(shapes(hasher, buf, start, end).astype(np.uint64) + np.uint64(1))
-    first, last = hasher.hash_spans(buf, start, np.minimum(start + 2, end)), hasher.hash_spans(buf, np.maximum(end - 3, start), end)
-    pair = np.concatenate([np.zeros(min(1, len(shape)), np.uint64), shape[:-1]]) * np.uint64(3) + shape
-    same = np.zeros(len(words), bool)
-    same[1:] = (words[1:] == words[:-1]) & (doc[1:] == doc[:-1])
-    out = []
-    for dim, hashes in zip(DIMS, ([words], [kernel.mix64(pair)], [first, last], [shape])):
-        total = np.zeros(n * dim)
-        for h in hashes:
-            h = kernel.mix64(h + np.uint64(dim))
-            for k in range(NONZERO):
-                x = h >> np.uint64(16 * k)
-                sign = ((x >> np.uint64(15)) & np.uint64(1)).astype(np.float64) * 2 - 1
-                total += np.bincount(doc * dim + (x & np.uint64(0x7FFF)).astype(np.int64) % dim, sign, n * dim)
-        total = total.reshape(n, dim) / np.maximum(size, 1)[:, None]
-        out += [total, np.sqrt((total**2).sum(1, keepdims=True))]
-    edge = kernel.bounds(doc, n)
-    kinds = np.array([len(np.unique(words[i:j])) for i, j in zip(edge, edge[1:])], float).reshape(-1)
-    some = np.maximum(size, 1)
-    lengths = np.bincount(doc, end - start, n) / some
-    extra = [np.log1p(size), kinds / some, np.log1p(kinds), lengths / 10, np.bincount(doc, same, n) / some]
-    return np.concatenate([*out, np.stack(extra, 1)], 1).astype(np.float32)
+    words, doc = tokens(hasher, buf, offsets)
+    row, size = row_of(words), np.bincount(doc, minlength=n)
+    mean, beside = np.zeros((n, DIM)), np.zeros((n, DIM))
+
+    def add(total, x, of):
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        if len(first):
+            total[of[first]] += np.add.reduceat(x, first, 0, np.float64)
+
+    for i in range(0, len(row), BLOCK):
+        # one word more, so that no pair is lost between blocks
+        v, d = vectors[row[i : i + BLOCK + 1]], doc[i : i + BLOCK + 1]
+        add(mean, v[:BLOCK], d[:BLOCK])
+        same = d[1:] == d[:-1]
+        add(beside, (v[1:] * v[:-1])[same], d[1:][same])
+    mean /= np.maximum(size, 1)[:, None]
+    beside /= np.maximum(size - 1, 1)[:, None]
+    return np.concatenate([mean, 8 * beside, beside.sum(1, keepdims=True), np.sqrt((mean**2).sum(1, keepdims=True)), np.log1p(size)[:, None]], 1).astype(np.float32)
 
 
 class Scorer:
@@ -74,6 +128,8 @@ class Scorer:
 
     #: Log odds added for a sample that took the labels in unequal shares.
     shift = 0.0
+    #: The word vectors that its inputs are pooled from.
+    vectors = None
 
     def fit(self, x, y, seed=SEED):
         rng = np.random.default_rng(seed)
@@ -116,8 +172,8 @@ def lot(text: Column) -> Column:
     return F.xxhash64(text, F.lit(SEED))
 
 
-def train(docs: DataFrame, text: str, label: str, drawn: str | None = None) -> Scorer | None:
-    """A scorer from rows with ``label`` 0 or 1; None without both labels.
+def train(docs: DataFrame, text: str, label: str, vectors, drawn: str | None = None) -> Scorer | None:
+    """A scorer over pooled word ``vectors`` from rows with ``label`` 0 or 1; None without both labels.
 
     About MAX_ROWS rows at most, picked by hash of the text, and of a rare label
     LEAST_ROWS as far as there are as many, for which the score is put right;
@@ -137,11 +193,11 @@ def train(docs: DataFrame, text: str, label: str, drawn: str | None = None) -> S
     known = known.where(place < max(share.values()) * (1 << 20)).where(place < below * (1 << 20)).select("y", "text").distinct()
 
     def gather(batches):
-        hasher = kernel.Hasher()
+        hasher = kernel.Hasher(True)
         for batch in batches:
             y = batch.column("y").to_numpy(zero_copy_only=False)
             for lo, buf, offsets in kernel.chunks(batch.column("text")):
-                x = pooled(hasher, buf, offsets)
+                x = pooled(hasher, buf, offsets, vectors)
                 yield pa.RecordBatch.from_arrays([pa.array(y[lo : lo + len(x)]), pa.array([r.tobytes() for r in x], pa.binary())], ["y", "x"])
 
     rows = sorted((bytes(r["x"]), r["y"]) for r in known.mapInArrow(gather, "y double, x binary").collect())
@@ -149,6 +205,7 @@ def train(docs: DataFrame, text: str, label: str, drawn: str | None = None) -> S
     if not len(y) or y.min() == y.max():
         return None
     scorer = Scorer().fit(np.frombuffer(b"".join(r[0] for r in rows), np.float32).reshape(len(y), -1).astype(float), y)
+    scorer.vectors = vectors
     scorer.shift = float(np.log(share[0.0] / share[1.0]))
     return scorer
 
@@ -165,11 +222,11 @@ def score(docs: DataFrame, scorer: Scorer | None, text: str = "text") -> DataFra
     spot = next(i for i, f in enumerate(kept) if f.name == text)
 
     def mark(batches):
-        hasher = kernel.Hasher()
+        hasher = kernel.Hasher(True)
         for batch in batches:
             out = np.full(len(batch), 0.5)
             for lo, buf, offsets in kernel.chunks(batch.column(spot)) if scorer is not None else ():
-                out[lo : lo + len(offsets) - 1] = scorer(pooled(hasher, buf, offsets))
+                out[lo : lo + len(offsets) - 1] = scorer(pooled(hasher, buf, offsets, scorer.vectors))
             columns = [*(batch.column(i) for i in range(len(kept))), pa.array(out)]
             yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(columns, arrow)], schema=arrow)
 

@@ -114,7 +114,7 @@ def op9_language(spark, sf_dir):
 def op10_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", langid.held_out("doc_id", 5, 0))
     labelled = docs.where(~F.col("held_out")).withColumn("lot", quality.lot(F.col("text"))).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    scorer = quality.train(labelled, "text", "quality", "lot")
+    scorer = quality.train(labelled, "text", "quality", quality.word_vectors(docs), "lot")
     return quality.score(docs, scorer).select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

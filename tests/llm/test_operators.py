@@ -316,7 +316,7 @@ def test_held_out_accuracy(spark, none):
     rank, good = y.score.rank(), y.quality == 1
     auc = (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / good.sum() / (~good).sum()
     assert auc >= 0.9 and (y.predicted == (y.score >= 0.3)).all()
-    assert langid.train(none, "text", "lang") is None and quality.train(none.selectExpr("text", "n_chars as y"), "text", "y") is None
+    assert langid.train(none, "text", "lang") is None and quality.train(none.selectExpr("text", "n_chars as y"), "text", "y", quality.word_vectors(none)) is None
 
 
 def test_language_edges(spark, docs):
@@ -471,7 +471,8 @@ def test_sample_of_many_copies(spark, monkeypatch):
     got = []
     scorer = quality.Scorer.fit
     monkeypatch.setattr(quality.Scorer, "fit", lambda self, x, y, seed=quality.SEED: (got.append(y), scorer(self, x, y, seed))[1])
-    assert quality.train(df.where("lang = 'xx'"), "text", "y") is not None and len(got[0]) == 8
-    rare = quality.train(df.where("lang <> 'xx'"), "text", "y")
+    vectors = quality.word_vectors(df)
+    assert quality.train(df.where("lang = 'xx'"), "text", "y", vectors) is not None and len(got[0]) == 8
+    rare = quality.train(df.where("lang <> 'xx'"), "text", "y", vectors)
     assert rare is not None and set(got[1]) == {0.0, 1.0} and len(got[1]) < 100 and rare.shift < 0
-    assert quality.train(df.where("y = 0"), "text", "y") is None
+    assert quality.train(df.where("y = 0"), "text", "y", vectors) is None
