@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, LongType, StructType
 
@@ -12,24 +13,28 @@ ORDER = 3
 BACKOFF = 0.4
 
 
-def block_grams(table, text: str, layout):
-    """N-grams of a block: (sorted keys, counts, place of each occurrence, by order; document and place of each word)."""
-    hasher, hashes, docs, base = kernel.Hasher(), [[] for _ in range(ORDER)], [], 0
+def block_grams(table, text: str):
+    """(hashes, whole) of the 1- to 3-grams that start at each word, by order, and the document of each word.
+
+    A run that leaves its document isn't whole; its hash means nothing.
+    """
+    hasher, grams, docs = kernel.Hasher(), [[] for _ in range(ORDER)], [np.zeros(0, np.int64)]
     for lo, buf, offsets in kernel.chunks(table.column(text)):
         start, end, d = hasher.split(buf, offsets)
         words = hasher.hash_spans(buf, start, end)
         docs.append(d + lo)
         for n in range(1, ORDER + 1):
-            # a run that leaves its document stands under its first word's own hash; nothing reads it
-            h = words.copy()
+            h, whole = words.copy(), np.zeros(len(words), bool)
             g = hasher.ngrams(words, n)
-            whole = d[: len(g)] == d[n - 1 :] if len(g) else np.zeros(0, bool)
-            h[: len(g)][whole] = g[whole]
-            ok = np.zeros(len(h), bool)
-            ok[: len(g)] = whole
-            hashes[n - 1].append((h, ok))
-    doc = np.concatenate([np.zeros(0, np.int64), *docs])
-    grams = [(np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in x)]), np.concatenate([np.zeros(0, bool), *(ok for _, ok in x)])) for x in hashes]
+            h[: len(g)] = g
+            whole[: len(g)] = d[: len(g)] == d[n - 1 :] if len(g) else False
+            grams[n - 1].append((h, whole))
+    join = lambda xs, t: np.concatenate([np.zeros(0, t), *xs])
+    return [(join((h for h, _ in x), np.uint64), join((w for _, w in x), bool)) for x in grams], np.concatenate(docs)
+
+
+def counted(layout, grams):
+    """(sorted keys, counts, place of each gram's key): places by order, -1 where no gram stands."""
     cut = [layout.cut(h[ok]) for h, ok in grams]
     keys, inverse, counts = np.unique(np.concatenate(cut), return_inverse=True, return_counts=True)
     places, lo = [], 0
@@ -38,7 +43,20 @@ def block_grams(table, text: str, layout):
         at[ok] = inverse[lo : lo + len(c)]
         places.append(at)
         lo += len(c)
-    return keys, counts, places, doc
+    return keys, counts, places
+
+
+def elsewhere(total, at, doc, n: int):
+    """Count, in other documents, of the gram at each place; 0 where none stands."""
+    if not len(at):
+        return at
+    _, inverse, own = np.unique(at * (n + 1) + doc, return_inverse=True, return_counts=True)
+    return np.where(at >= 0, total[at] - own[inverse], 0) if len(total) else np.zeros(len(at), np.int64)
+
+
+def back(x, k):
+    """Values of the gram that starts k words earlier."""
+    return np.concatenate([np.zeros(min(k, len(x)), x.dtype), x[: max(0, len(x) - k)]])
 
 
 def lm_scores(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -48,8 +66,14 @@ def lm_scores(docs: DataFrame, text: str = "text") -> DataFrame:
     when it is scored.  A word scores c(uvw) / c(uv) if c(uvw) > 0, else 0.4
     times the shorter history's score, down to c(w) / N; a word that no other
     document holds counts 1 / (N + 1) there.  Histories stop at the document's
-    start.  N-grams are told apart by 64-bit hashes.  The n-gram tables are partitioned by hash, and each document's
-    n-grams, packed by block, are joined to them and summed per document.
+    start.  N-grams are told apart by 64-bit hashes.
+
+    The count tables are partitioned by hash and summed there; a document's
+    n-grams meet them and its scores are summed.  Exploded to rows, the n-grams
+    would take several times the disk of the texts, so they travel packed, a row for
+    each block of documents and hash partition.  Words and pairs go first; a
+    triple goes only if other documents hold both of its pairs, without which
+    its count there is 0.
 
     Adds n_tokens and lm_score (null without words) to the columns of
     ``docs``, replacing columns so named.  Words are unchanged; repeated rows
@@ -61,37 +85,39 @@ def lm_scores(docs: DataFrame, text: str = "text") -> DataFrame:
     all_words = (1 << layout.bits) - 1
 
     def ask(table):
-        keys, counts, _, doc = block_grams(table, text, layout)
+        grams, doc = block_grams(table, text)
+        keys, counts, _ = counted(layout, grams[:2])
         if len(keys) and int(keys[-1]) == all_words:
             keys, counts = keys[:-1], counts[:-1]
         return np.append(keys, np.uint64(all_words)), np.append(counts, len(doc))
 
-    schema = StructType(list(kept)).add("n_tokens", LongType()).add("lm_score", DoubleType())
-    arrow = to_arrow_schema(schema)
-
-    def score(table: pa.Table, told: pa.Table) -> pa.Table:
-        n = len(table)
-        keys, counts, (one, two, three), doc = block_grams(table, text, layout)
-        more = packed.added(told)
+    def short(table, more):
+        """Grams, documents, counts elsewhere of words and pairs, triples that go, and words of the corpus."""
+        grams, doc = block_grams(table, text)
+        keys, counts, (one, two) = counted(layout, grams[:2])
         words = len(doc) + (int(more[-1]) if len(more) else 0)
         if len(more) == len(keys):  # the last key is that of all words itself
             more = np.append(more[:-1], 0)
         total = counts + more[: len(keys)]
-        size = np.bincount(doc, minlength=n)
+        c1, c2 = (elsewhere(total, at, doc, len(table)) for at in (one, two))
+        h, whole = grams[2]
+        go = whole & (c2 > 0) & (np.append(c2[1:], 0) > 0)
+        return doc, c1, c2, (h, go), words
 
-        def elsewhere(at):
-            """Count of the n-gram at each place in other documents; 0 where none stands."""
-            pair = at * (n + 1) + doc
-            _, inverse, own = np.unique(pair, return_inverse=True, return_counts=True)
-            return np.where(at >= 0, total[at] - own[inverse], 0) if len(at) else at
-
-        c1, c2, c3 = elsewhere(one), elsewhere(two), elsewhere(three)
-        place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    def ask_triples(table, told):
+        _, _, _, triples, _ = short(table, packed.added(told))
+        return counted(layout, [triples])[:2]
 
-        def back(x, k):
-            """Values of the n-gram that starts k words earlier."""
-            return np.concatenate([np.zeros(min(k, len(x)), x.dtype), x[: len(x) - k]])
+    schema = StructType(list(kept)).add("n_tokens", LongType()).add("lm_score", DoubleType())
+    arrow = to_arrow_schema(schema)
 
+    def score(table: pa.Table, told: pa.Table) -> pa.Table:
+        n, first = len(table), np.array(told.column("first"))
+        doc, c1, c2, triples, words = short(table, packed.added(told.filter(pa.array(first))))
+        _, counts, (three,) = counted(layout, [triples])
+        c3 = elsewhere(counts + packed.added(told.filter(pa.array(~first))), three, doc, n)
+        size = np.bincount(doc, minlength=n)
+        place = np.arange(len(doc)) - np.searchsorted(doc, doc)
         rest = words - size[doc]
         with np.errstate(divide="ignore", invalid="ignore"):
             s1 = np.where(c1 > 0, c1 / rest, 1.0 / (rest + 1))
@@ -105,4 +131,6 @@ def lm_scores(docs: DataFrame, text: str = "text") -> DataFrame:
         return pa.Table.from_arrays([c.cast(t.type) for c, t in zip(columns, arrow)], schema=arrow)
 
     told = packed.count_all(blocked, block, layout, ask)
-    return blocked.groupBy(block).cogroup(told.groupBy("block")).applyInArrow(score, schema)
+    more = packed.count_all(blocked, block, layout, ask_triples, told)
+    both = told.withColumn("first", F.lit(True)).union(more.withColumn("first", F.lit(False)))
+    return blocked.groupBy(block).cogroup(both.groupBy("block")).applyInArrow(score, schema)

@@ -41,30 +41,24 @@ class Layout:
 
 
 def pack_ints(x) -> bytes:
-    """Non-negative integers in as few bytes each as the largest needs, that width first."""
+    """Non-negative integers, byte by byte of equal place: the low bytes, which are as good as random, as they are, the rest compressed."""
     width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
-    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    plain = min(width, (int(x.mean()).bit_length() - 1) // 8) if len(x) and x.any() else 0
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    rest = pa.compress(planes[plain:].tobytes(), codec="zstd", asbytes=True) if plain < width and len(x) else b""
+    return bytes([width, max(0, plain)]) + len(x).to_bytes(8, "little") + planes[: max(0, plain)].tobytes() + rest
 
 
 def unpack_ints(b: bytes):
-    out = np.zeros(((len(b) - 1) // b[0], 8), np.uint8)
-    out[:, : b[0]] = np.frombuffer(b, np.uint8, offset=1).reshape(-1, b[0])
+    width, plain, n = b[0], b[1], int.from_bytes(b[2:10], "little")
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        at = 10 + plain * n
+        rest = pa.decompress(b[at:], (width - plain) * n, codec="zstd", asbytes=True) if plain < width else b""
+        out[:, :width] = np.frombuffer(b[10:at] + rest, np.uint8).reshape(width, n).T
     return out.view("<u8").ravel()
 
 
-def pack_small(x) -> bytes:
-    """Counts, mostly under 255: a byte each, then the rest of the large ones."""
-    low = np.minimum(x, 255).astype(np.uint8)
-    return len(low).to_bytes(8, "little") + low.tobytes() + pack_ints((x[low == 255] - 255).astype(np.uint64))
-
-
-def unpack_small(b: bytes):
-    n = int.from_bytes(b[:8], "little")
-    out = np.frombuffer(b, np.uint8, n, 8).astype(np.int64)
-    out[out == 255] += unpack_ints(b[8 + n :]).astype(np.int64)
-    return out
-
-
 def pack_sorted(x) -> bytes:
     """Sorted distinct integers: the first, then the differences."""
     return int(x[0]).to_bytes(8, "little") + pack_ints(np.diff(x))
@@ -111,14 +105,14 @@ def answer_all(table: pa.Table) -> pa.Table:
     own = np.concatenate(counts)
     more = np.bincount(inverse, own).astype(np.int64)[inverse] - own
     part = table.column("part")[0].as_py()
-    rows = [(part, b, b"", pack_small(more[i:j])) for b, i, j in zip(blocks, at, at[1:])]
+    rows = [(part, b, b"", pack_ints(more[i:j])) for b, i, j in zip(blocks, at, at[1:])]
     return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), ROW_ARROW)], schema=ROW_ARROW)
 
 
 def added(table: pa.Table):
     """What others add to a block's counts, for all of its sorted keys."""
     rows = sorted(zip(table.column("part").to_pylist(), table.column("counts").to_pylist()))
-    return np.concatenate([np.zeros(0, np.int64), *(unpack_small(c) for _, c in rows)])
+    return np.concatenate([np.zeros(0, np.int64), *(unpack_ints(c).astype(np.int64) for _, c in rows)])
 
 
 class Totals:
@@ -164,11 +158,14 @@ def count_round(docs: DataFrame, block: str, layout: Layout, extract, told: Data
     return sent.groupBy("part").applyInArrow(answer, ROW)
 
 
-def count_all(docs: DataFrame, block: str, layout: Layout, extract) -> DataFrame:
-    """One exchange that answers every key: ``extract(table)`` gives sorted keys, cut, and their counts."""
+def count_all(docs: DataFrame, block: str, layout: Layout, extract, told: DataFrame | None = None) -> DataFrame:
+    """One exchange that answers every key: ``extract(table)``, or ``extract(table, told)``, gives sorted keys, cut, and their counts."""
 
-    def ask(table: pa.Table) -> pa.Table:
-        keys, counts = extract(table)
+    def ask(table: pa.Table, *more) -> pa.Table:
+        if not len(table):
+            return ROW_ARROW.empty_table()
+        keys, counts = extract(table, *more)
         return pa.Table.from_batches([send(layout, table.column(block)[0].as_py(), keys, counts)])
 
-    return docs.groupBy(block).applyInArrow(ask, ROW).groupBy("part").applyInArrow(answer_all, ROW)
+    sent = docs.groupBy(block).applyInArrow(lambda table: ask(table), ROW) if told is None else docs.groupBy(block).cogroup(told.groupBy("block")).applyInArrow(lambda table, t: ask(table, t), ROW)
+    return sent.groupBy("part").applyInArrow(answer_all, ROW)
