@@ -16,6 +16,8 @@ RADIUS = 19
 BLOCKS = 10
 #: Benchmark shingles up to which they travel inside the plan; beyond, they are joined.
 INLINE = 50_000
+#: Texts of more bytes are cut into pieces of STEP words that overlap by the longest item, each a row of its own.
+LONG, STEP = 1 << 20, 1 << 15
 
 
 def words(text: Column) -> Column:
@@ -90,8 +92,21 @@ def items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     return w.withColumn("print", simhash(F.col("grams")))
 
 
-def inline(docs: DataFrame, id: str, text: str, rows: list, k: int) -> DataFrame:
-    """Documents with hits, from a benchmark small enough to travel in the plan.
+def pieces(docs: DataFrame, id: str, text: str, longest: int) -> DataFrame:
+    """(id, th, base, last, text): whole texts, and the pieces of long ones with the place of their first word."""
+    t = col(text)
+
+    def cut(w):
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(STEP))
+        return F.transform(starts, lambda s: F.struct(s.alias("base"), (s + STEP >= F.size(w)).alias("last"), F.array_join(F.slice(w, s + 1, STEP + longest), " ").alias("text")))
+
+    whole = F.array(F.struct(F.lit(0).alias("base"), F.lit(True).alias("last"), t.alias("text")))
+    x = docs.select(col(id).alias("id"), F.xxhash64(t).alias("th"), F.explode(F.when(F.octet_length(t) > LONG, let(words(t), cut)).otherwise(whole)).alias("p"))
+    return x.select("id", "th", "p.base", "p.last", "p.text")
+
+
+def inline(x: DataFrame, rows: list, k: int) -> DataFrame:
+    """Pieces with hits, from a benchmark small enough to travel in the plan.
 
     The first and last words of a place are looked up before its shingle is
     hashed; the hashes of all shingles are made only where there is a hit.
@@ -99,27 +114,26 @@ def inline(docs: DataFrame, id: str, text: str, rows: list, k: int) -> DataFrame
     listed = lambda xs: ", ".join(f"{x}L" for x in sorted(set(xs))) or "NULL"
     first, last = listed(r["ends"]["first"] for r in rows), listed(r["ends"]["last"] for r in rows)
     table = json.dumps({str(r["h"]): r["sizes"] for r in rows})
-    name = "`" + text.replace("`", "``") + "`"
-    made = f"""element_at(transform(array(array_remove(split(lower(coalesce({name}, '')), r'{SPACE}+'), '')), w ->
+    made = f"""element_at(transform(array(array_remove(split(lower(coalesce(text, '')), r'{SPACE}+'), '')), w ->
       element_at(transform(array(if(size(w) >= {k}, filter(sequence(0, size(w) - {k}), i ->
           xxhash64(w[i]) IN ({first}) AND xxhash64(w[i + {k - 1}]) IN ({last}) AND xxhash64(slice(w, i + 1, {k})) IN ({listed(r["h"] for r in rows)})), array())), h ->
         if(size(h) > 0, named_struct(
           'grams', transform(sequence(1, size(w) - {k - 1}), i -> xxhash64(slice(w, i, {k}))),
           'hits', transform(h, i -> named_struct('at', i, 'sizes', try_element_at(from_json('{table}', 'map<string,array<int>>'), cast(xxhash64(slice(w, i + 1, {k})) AS string))))), NULL)), 1)), 1)"""
-    x = docs.select(col(id).alias("id"), F.xxhash64(col(text)).alias("th"), F.explode(F.array_compact(F.array(F.expr(made)))).alias("m"))
-    return x.select("id", "th", "m.grams", "m.hits")
+    x = x.select("id", "th", "base", "last", F.explode(F.array_compact(F.array(F.expr(made)))).alias("m"))
+    return x.select("id", "th", "base", "last", "m.grams", "m.hits")
 
 
-def seeded(docs: DataFrame, id: str, text: str, known: DataFrame, k: int) -> DataFrame:
-    """(id, th, grams, hits): documents with a benchmark shingle of ``k`` words; a hit is (place, sizes of items with it)."""
+def seeded(x: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """(id, th, base, last, grams, hits): pieces with a benchmark shingle of ``k`` words; a hit is (place, sizes of items with it)."""
     sizes = known.where(F.least("size", F.lit(SHINGLE)) == k).select(F.explode(F.arrays_zip("grams", "ends")).alias("g"), "size")
     sizes = sizes.groupBy(F.col("g.grams").alias("h")).agg(F.sort_array(F.collect_set("size")).alias("sizes"), F.first("g.ends").alias("ends"))
     rows = sizes.limit(INLINE + 1).collect()
     if len(rows) <= INLINE:
-        return inline(docs, id, text, rows, k)
-    x = docs.select(col(id).alias("id"), F.xxhash64(col(text)).alias("th"), shingles(words(col(text)), k).alias("grams"))
-    found = x.select("th", F.posexplode("grams").alias("at", "h")).join(sizes, "h").groupBy("th").agg(F.array_sort(F.collect_set(F.struct("at", "sizes"))).alias("hits"))
-    return x.join(found, "th")
+        return inline(x, rows, k)
+    x = x.select("id", "th", "base", "last", shingles(words(F.col("text")), k).alias("grams"))
+    found = x.select("th", "base", F.posexplode("grams").alias("at", "h")).join(sizes, "h").groupBy("th", "base").agg(F.array_sort(F.collect_set(F.struct("at", "sizes"))).alias("hits"))
+    return x.join(found, ["th", "base"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -137,12 +151,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", tex
     best window, from 0) and n_windows, one row per document and item.  Null
     and blank texts and items match nothing; items of fewer than five words are
     one shingle and match only as they are; rows alike in id and text count as
-    one document.  Only matches are shuffled.
+    one document.  Texts of more than LONG bytes are searched in overlapping
+    pieces, so that the work of a row has a bound and that of a text grows with
+    its length.  Only matches are shuffled.
     """
     known = items(benchmark, item, item_text)
-    short = sorted({r["k"] for r in known.select(F.least("size", F.lit(SHINGLE)).alias("k")).distinct().collect()})
-    parts = [windows(seeded(docs, id, text, known, k), known, k) for k in short]
-    found = parts[0] if parts else windows(seeded(docs, id, text, known, SHINGLE), known, SHINGLE)
+    sizes = known.groupBy(F.least("size", F.lit(SHINGLE)).alias("k")).agg(F.max("size").alias("longest")).collect()
+    cut = pieces(docs, id, text, max((r["longest"] for r in sizes), default=1))
+    parts = [windows(seeded(cut, known, k), known, k) for k in sorted(r["k"] for r in sizes)]
+    found = parts[0] if parts else windows(seeded(cut, known, SHINGLE), known, SHINGLE)
     for p in parts[1:]:
         found = found.unionByName(p)
     best = F.max(F.struct("similarity", (-F.col("at")).alias("at"))).alias("best")
@@ -159,15 +176,17 @@ def windows(x: DataFrame, known: DataFrame, k: int) -> DataFrame:
             lo = F.greatest(F.lit(0), hit["at"] - (size - k))
             hi = F.least(hit["at"], F.size("grams") - (size - k) - 1)
             # a shorter text is one window, unless it is too short to reach SIMILARITY
-            hi = F.when((hi < 0) & (F.size("grams") / (size - (k - 1)) >= SIMILARITY), F.lit(0)).otherwise(hi)
+            whole = (F.col("base") == 0) & F.col("last") & (hi < 0) & (F.size("grams") / (size - (k - 1)) >= SIMILARITY)
+            hi = F.when(whole, F.lit(0)).when(F.col("last"), hi).otherwise(F.least(hi, F.lit(STEP - 1)))
             lo = F.when(F.size("grams") < size - (k - 1), F.lit(0)).otherwise(lo)
             return F.when(lo <= hi, F.transform(F.sequence(lo, F.greatest(lo, hi)), lambda s: s.cast("bigint") + size.cast("bigint") * wide)).otherwise(F.array().cast("array<bigint>"))
 
         return F.flatten(F.transform(hit["sizes"], of))
 
-    x = x.select("id", "th", "grams", F.explode(F.array_distinct(F.flatten(F.transform("hits", starts)))).alias("code"))
-    x = x.select("id", "th", (F.col("code") % wide).cast("int").alias("at"), (F.col("code") / wide).cast("int").alias("size"), "grams")
-    x = x.select("id", "th", "at", "size", F.slice("grams", F.col("at") + 1, F.col("size") - (k - 1)).alias("part"))
+    # a window takes its own shingles along, not those of the text
+    own = lambda at, size: F.struct(at.alias("at"), size.alias("size"), F.slice("grams", at + 1, size - (k - 1)).alias("part"))
+    part = F.transform(F.array_distinct(F.flatten(F.transform("hits", starts))), lambda c: own((c % wide).cast("int"), (c / wide).cast("int")))
+    x = x.select("id", "th", "base", F.explode(part).alias("w")).select("id", "th", (F.col("base") + F.col("w.at")).alias("at"), F.col("w.size").alias("size"), F.col("w.part").alias("part"))
     x = x.withColumn("mark", simhash(F.col("part")))
     cut = F.array(*(F.lit(signed(m)).cast("bigint") for m in masks()))
     bits = F.array(*(F.array(*(F.lit(signed(1 << j)).cast("bigint") for j in range(64) if m >> j & 1)) for m in masks()))

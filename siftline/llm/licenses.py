@@ -72,6 +72,12 @@ for kind in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND"):
         SENTENCES[name] = f"licensed under cc {kind} {version}".lower().replace("-", " ").replace(".", " ")
         RULES.append((f"CC-{kind}-{version}", [name]))
 
+# Notices of the same frame as GPL's, as (identifier, licence, what is licensed, name, version).
+FRAMED = [
+    ("lgpl21", "LGPL-2.1-or-later", "library", "GNU Lesser General Public License", "2.1"),
+    ("lgpl3", "LGPL-3.0-or-later", "library", "GNU Lesser General Public License", "3"),
+    ("agpl3", "AGPL-3.0-or-later", "program", "GNU Affero General Public License", "3"),
+]
 #: Where sentences end: closing marks before white space, or an empty line.
 END = r"[.!?;]+\s+|\n[ \t\r]*\n"
 #: Where a part that isn't known is cut further: a line without letters and digits, as in comments.
@@ -83,6 +89,9 @@ LATER = "version {} of the License, or (at your option) any later version"
 WORDINGS = [
     *((name, f"you can {TERMS}; either {LATER.format(n)}") for name, n in (("gpl3-redistribute", 3), ("gpl2-redistribute", 2))),
     *((name, f"This program is free software: you can {TERMS}; either {LATER.format(n)}") for name, n in (("gpl-free", 3), ("gpl2-free", 2))),
+    *((f"{i}-redistribute", f"you can {TERMS.replace('GNU General Public License', name)}; either {LATER.format(n)}") for i, _, _, name, n in FRAMED),
+    *((f"{i}-free", f"This {what} is free software: you can {TERMS.replace('GNU General Public License', name)}; either {LATER.format(n)}") for i, _, what, name, n in FRAMED),
+    ("library-hope", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
     ("gpl-hope", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
     ("apache-copy", "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0"),
     ("mpl-terms", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
@@ -100,6 +109,15 @@ def pieces(wording: str) -> list[str]:
     return [re.sub("[^a-z0-9]+", " ", x.lower()).strip() for x in re.split(END, wording)]
 
 
+# the same in one sentence, and the rules of the framed notices
+for i, licence, what, name, n in FRAMED:
+    whole = {w: " ".join(pieces(t)) for w, t in WORDINGS}
+    SENTENCES.update({f"{i}-redistribute": whole[f"{i}-redistribute"], f"{i}-free": whole[f"{i}-free"], f"{i[:4]}-details": f"see the {name.lower()} for more details", "free-library": "this library is free software", "library-hope": whole["library-hope"]})
+    hope = "gpl-hope" if what == "program" else "library-hope"
+    RULES.append((licence, [f"free-{what}", f"{i}-redistribute", hope, f"{i[:4]}-details"]))
+    OTHER_RULES.append((licence, [f"{i}-free", hope, f"{i[:4]}-details"]))
+
+
 def normalised(s: Column) -> Column:
     """Lower case, every run of other characters than a-z and 0-9 one space, none at the ends."""
     return F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))

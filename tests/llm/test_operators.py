@@ -366,6 +366,7 @@ NOTICES = [
     (["GPL-3.0-or-later"], GPL_NOTICE.format(";", ";", 3)),
     (["GPL-2.0-or-later"], GPL_NOTICE.format(";", ";", 2)),
     (["GPL-2.0-or-later"], GPL_NOTICE.format(":", ";", 2)),
+    *((licence, GPL_NOTICE.format(a, b, n).replace("General Public", kind + " General Public").replace("This program", "This " + what)) for licence, kind, what, n in ((["LGPL-2.1-or-later"], "Lesser", "library", "2.1"), (["LGPL-3.0-or-later"], "Lesser", "library", "3"), (["AGPL-3.0-or-later"], "Affero", "program", "3")) for a, b in ((":", ","), (";", ";"))),
     (["Apache-2.0"], """Licensed under the Apache License, Version 2.0 (the "License");
 you may not use this file except in compliance with the License.
 You may obtain a copy of the License at
