@@ -18,6 +18,14 @@ def lookup(table: dict, key: Column, default: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key), default)
 
 
+def lookup_struct(table: dict, key: Column, default: Column) -> Column:
+    """The same where the values are columns."""
+    out = None
+    for k, v in table.items():
+        out = F.when(key == k, v) if out is None else out.when(key == k, v)
+    return default if out is None else out.otherwise(default)
+
+
 def family(kind: Column) -> Column:
     """Family of a finding type; unknown types are their own."""
     return lookup({t: f for f, ts in V.TYPE_FAMILIES.items() for t in ts}, kind, kind)
@@ -56,8 +64,16 @@ def redact(text: Column, keys: list[str]) -> Column:
 
 
 def first_line(text: Column, most: int = 80) -> Column:
-    line = F.trim(F.substring_index(text, "\n", 1))
-    return F.when(F.length(line) > most, F.concat(F.left(line, F.lit(most)), F.lit("..."))).otherwise(line)
+    """The first line, cut to ``most`` characters with three dots."""
+    line = F.trim(F.substring_index(F.trim(text), "\n", 1))
+    return F.when(F.length(line) > most, F.concat(F.left(line, F.lit(most - 3)), F.lit("..."))).otherwise(line)
+
+
+def summary(text: Column, most: int = 80) -> Column:
+    """The first five keys of a JSON object, else the first line; empty for nothing."""
+    keys = F.when(F.startswith(F.trim(text), F.lit("{")), F.json_object_keys(text))
+    listed = F.concat(F.lit("JSON: keys=["), F.array_join(F.transform(F.slice(keys, 1, 5), lambda k: F.concat(F.lit("'"), k, F.lit("'"))), ", "), F.lit("]"))
+    return F.coalesce(listed, first_line(text, most), F.lit(""))
 
 
 def time_part(ts: Column) -> Column:

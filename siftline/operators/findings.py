@@ -38,6 +38,8 @@ def scan_lines(lines: DataFrame, rules=V.LINE_RULES) -> DataFrame:
             test = test & ~F.rlike("stripped", F.lit(r"[\"'](0\.0\.0\.0|127\.0\.0\.1)(:\d+)?[\"']"))
         if kind == "missing_timeout":
             test = test & ~F.contains("stripped", F.lit("timeout"))
+        if kind == "naked_env":
+            test = test & ~F.contains(F.lower("stripped"), F.lit("default")) & ~F.contains("stripped", F.lit("or "))
         hits.append(F.when(test, F.struct(F.lit(i).alias("rule"), F.lit(kind).alias("type"), F.lit(severity).alias("severity"), F.lit(dimension).alias("dimension"))))
     x = lines.select("file", F.col("line_no").alias("line"), F.explode(F.array_compact(F.array(*hits))).alias("f"))
     return x.select("f.type", "f.severity", "f.dimension", "file", "line", "f.rule")
@@ -59,10 +61,78 @@ def after_header(lines: DataFrame, header: str, call: str, kind: str, severity:
 def empty_except(lines: DataFrame) -> DataFrame:
     """``except`` lines whose next line is blank, ``pass`` or ``...``."""
     nxt = F.lead("stripped").over(Window.partitionBy("file").orderBy("line_no"))
-    x = lines.withColumn("next", nxt).where(F.rlike("stripped", F.lit(r"^except\b.*:$")) & F.col("next").isin("", "pass", "..."))
+    x = lines.withColumn("next", nxt).where(((F.col("stripped") == "except:") | F.startswith("stripped", F.lit("except Exception"))) & F.col("next").isin("", "pass", "..."))
     return x.select(F.lit("empty_except").alias("type"), F.lit("high").alias("severity"), "file", F.col("line_no").alias("line"))
 
 
+def opening(lines: DataFrame, header: str, most: int) -> DataFrame:
+    """Header lines with the stripped lines of their body: the next ``most`` lines up to the first that is not deeper, the first of them whatever its depth."""
+    by = Window.partitionBy("file").orderBy("line_no").rowsBetween(1, most - 1)
+    near = F.collect_list(F.struct("stripped", "indent")).over(by)
+    x = lines.withColumn("_near", near).where(F.rlike("stripped", F.lit(header)))
+    shallow = F.transform("_near", lambda l, i: F.when((i > 0) & (l["indent"] <= F.col("indent")), i).otherwise(F.lit(most)))
+    return x.withColumn("body", F.slice(F.col("_near.stripped"), F.lit(1), F.least(F.coalesce(F.array_min(shallow), F.lit(0)), F.size("_near")))).drop("_near")
+
+
+def finding(lines: DataFrame, kind: str, severity: str, line="line_no") -> DataFrame:
+    return lines.select(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), "file", F.col(line).alias("line"))
+
+
+def empty_tests(lines: DataFrame) -> DataFrame:
+    """Tests whose body within 50 lines is nothing but blanks, comments and ``pass``."""
+    x = opening(lines, r"^def test_\w+\s*\(", 51)
+    return finding(x.where(~F.exists("body", lambda b: (b != "") & ~F.startswith(b, F.lit("#")) & (b != "pass"))), "empty_test", "high")
+
+
+def missing_asserts(lines: DataFrame) -> DataFrame:
+    """Tests without an assertion in the next 20 lines of their body."""
+    x = opening(lines, r"^def test_\w+\s*\(", 21)
+    return finding(x.where(~F.exists("body", lambda b: F.contains(b, F.lit("assert")) | F.contains(b, F.lit("pytest.raises")))), "missing_assert", "medium")
+
+
+def missing_docstrings(lines: DataFrame) -> DataFrame:
+    """Classes and public functions without triple quotes in the next three lines."""
+    return missing_nearby(lines, r"^class .*:$|^def [^_]|^def $", "\"\"\"|\'\'\'", 1, 3, "missing_docstring", "low")
+
+
+def unreachable(lines: DataFrame) -> DataFrame:
+    """Deeper lines behind a bare return, raise, break or continue: the first line with code of the next five."""
+    by = Window.partitionBy("file").orderBy("line_no").rowsBetween(1, 5)
+    x = lines.withColumn("_near", F.collect_list(F.struct("line_no", "stripped", "indent")).over(by)).where(F.col("stripped").isin("return", "raise", "break", "continue"))
+    other = F.filter("_near", lambda l: (l["stripped"] != "") & ~F.startswith(l["stripped"], F.lit("#")) & ~((l["indent"] > F.col("indent")) & F.rlike(l["stripped"], F.lit(r"^(else:|elif |except:|except |finally:)"))))
+    x = x.withColumn("_first", F.get(other, F.lit(0))).where(F.col("_first.indent") > F.col("indent")).withColumn("at", F.col("_first.line_no"))
+    return finding(x, "unreachable_code", "medium", "at")
+
+
+def unused_import_lines(lines: DataFrame) -> DataFrame:
+    """Import lines whose name stands at most once in the rest of the file, as a part of words too."""
+    x = lines.where(F.rlike("stripped", F.lit("^(import |from )")) & ~F.contains("stripped", F.lit("import *")))
+    part = lambda i: F.regexp_extract("stripped", r"import\s+(\w+)(?:\s+as\s+(\w+))?", i)
+    x = x.select("file", "line_no", "line", F.coalesce(F.nullif(part(2), F.lit("")), F.nullif(part(1), F.lit(""))).alias("name")).where("name IS NOT NULL")
+    count = lambda c: ((F.length(c) - F.length(F.replace(c, F.col("name"), F.lit("")))) / F.length("name")).cast("long")
+    held = lines.select("file", F.col("line").alias("_other"), F.col("line_no").alias("_n")).join(x.select("file", "name").distinct(), "file").where(F.contains("_other", F.col("name")))
+    whole = held.groupBy("file", "name").agg(F.sum(count(F.col("_other"))).alias("n"))
+    x = x.join(whole, ["file", "name"]).where(F.col("n") - count(F.col("line")) <= 1)
+    return finding(x, "unused_import", "medium")
+
+
+#: Rules of calls below a header: (type, severity, header, call).
+SCOPED = [
+    ("sync_sleep_in_async", "high", r"^async def ", r"time\.sleep\s*\("), ("re_compile_in_loop", "medium", r"^(for|while)\b.*:$", r"re\.compile\s*\("),
+    ("sync_http_in_async", "high", r"^async def ", r"requests\.(get|post|put|delete|patch)\s*\("), ("blocking_in_async", "high", r"^async def ", r"time\.sleep\s*\("),
+]
+
+
+def all_dimensions(lines: DataFrame) -> DataFrame:
+    """Findings (type, severity, file, line) of every line rule: single lines, lines below headers, lines and what follows them."""
+    parts = [scan_lines(lines).select("type", "severity", "file", "line"), *(after_header(lines, header, call, kind, severity) for kind, severity, header, call in SCOPED)]
+    parts += [f(lines) for f in (empty_except, empty_tests, missing_asserts, missing_docstrings, unreachable, unused_import_lines)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def missing_nearby(lines: DataFrame, header: str, wanted: str, lo: int, hi: int, kind: str, severity: str) -> DataFrame:
     """``header`` lines with nothing that matches ``wanted`` among the lines lo to hi away."""
     near = F.max(F.rlike("line", F.lit(wanted))).over(Window.partitionBy("file").orderBy("line_no").rowsBetween(lo, hi))
@@ -76,17 +146,18 @@ def normalise(findings: DataFrame, least: float = 0.8, strict: bool = False) ->
     return x.where(F.col("type").isin(V.VALID_TYPES)) if strict else x
 
 
-def first_by(df: DataFrame, keys: list, order: list) -> DataFrame:
-    """The first row of each key."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_n", n).where("_n = 1").drop("_n")
+def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The first row of each key, by columns of ascending order; partial aggregation keeps one row a key and task."""
+    rest = [c for c in df.columns if c not in keys]
+    x = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    return x.select(*keys, "_r.*").select(*df.columns)
 
 
 def most_severe(findings: DataFrame) -> DataFrame:
-    """One finding of each fingerprint, the most severe, of equals the first; in order of first sight."""
+    """One finding of each fingerprint, the most severe, of equals the first; ``seen`` is the place of its first sight."""
     x = findings.withColumn("fingerprint", S.fingerprint(F.col("type"), F.col("file"), F.col("line")))
-    x = x.withColumn("seen", F.min("ord").over(Window.partitionBy("fingerprint")))
-    return first_by(x, ["fingerprint"], [S.rank(F.col("severity"), 9), "ord"])
+    first = F.min_by(F.struct(*findings.columns), F.struct(S.rank(F.col("severity"), 9).alias("r"), "ord"))
+    return x.groupBy("fingerprint").agg(first.alias("_f"), F.min("ord").alias("seen")).select("_f.*", "fingerprint", "seen")
 
 
 def signature(findings: DataFrame) -> DataFrame:
@@ -95,7 +166,7 @@ def signature(findings: DataFrame) -> DataFrame:
 
 def merge_layers(findings: DataFrame) -> DataFrame:
     """One finding of each signature: the lowest layer's first."""
-    return first_by(signature(findings), ["signature"], ["layer", "ord"])
+    return first_by(signature(findings), ["signature"], [F.col("layer"), F.col("ord")])
 
 
 def unknown_only(findings: DataFrame, known: DataFrame) -> DataFrame:
@@ -127,6 +198,16 @@ def clusters(findings: DataFrame, gap: int = 3, most: int = 1) -> DataFrame:
     return x.withColumn("_n", n).where(F.col("_n") <= most).drop("_n")
 
 
+def snippets(findings: DataFrame, lines: DataFrame, around: int = 3, most: int | None = None) -> DataFrame:
+    """(file, line, rule, snippet): the lines around each finding; only lines near one are sorted and joined, ``most`` characters at most."""
+    where = findings.select("file", "line").distinct()
+    near = where.select("file", F.col("line").alias("at"), F.explode(F.sequence(F.col("line") - around, F.col("line") + around)).alias("line_no"))
+    text = near.join(lines.select("file", "line_no", F.col("line").alias("_l")), ["file", "line_no"]).groupBy("file", F.col("at").alias("line")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("line_no", "_l")))["_l"], "\n").alias("snippet"))
+    if most is not None:
+        text = text.withColumn("snippet", F.left("snippet", F.lit(most)))
+    return findings.join(text, ["file", "line"]).select("file", "line", "rule", "snippet")
+
+
 def project_score(findings: DataFrame) -> DataFrame:
     """One row: counts of the four severities and 100 - 20 * sqrt(weight / 20), between 0 and 100."""
     counts = [F.count_if(F.col("severity") == s).alias(s) for s in V.SEVERITIES]
@@ -157,7 +238,8 @@ def review(findings: DataFrame, key: str = "file") -> DataFrame:
 def assessed(findings: DataFrame) -> DataFrame:
     """Valid findings, once each, with related counts, complexity, effort and risk, in priority order."""
     x = findings.where("file <> '' AND type <> '' AND type <> 'unknown'")
-    x = most_severe(x).withColumn("related", F.count("*").over(Window.partitionBy("file")).cast("int") - 1)
+    x = most_severe(x)
+    x = x.join(x.groupBy("file").agg((F.count("*").cast("int") - 1).alias("related")), "file")
     kind = F.col("type")
     x = x.withColumn("complexity", S.complexity(kind)).withColumn("effort", S.effort(kind, F.col("related"))).withColumn("risk", S.risk(kind, F.col("severity")))
     place: Column = F.when(F.col("complexity") == "simple", 0).when(F.col("complexity") == "medium", 1).otherwise(2)

@@ -1,5 +1,7 @@
 """Experience, calibration, strategy ranking, trends, gates, logs, costs."""
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -34,6 +36,18 @@ def tail(df: DataFrame, n: int, order: list, keys: list[str] = ()) -> DataFrame:
     return x.where(F.col("_n") <= n).drop("_n")
 
 
+def running_mean(df: DataFrame, keys: list[str], value: str, ord: str, width: int = 4096) -> DataFrame:
+    """Rows with the mean of the values up to each and their number; sums of ranges of ``ord`` come first, so that no key is one task's work alone."""
+    x = df.withColumn("_b", F.floor(F.col(ord) / width))
+    heads = x.groupBy(*keys, "_b").agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(*keys, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"))
+    upto = Window.partitionBy(*keys, "_b").orderBy(ord).rowsBetween(Window.unboundedPreceding, 0)
+    samples = F.count(value).over(upto) + F.col("_n")
+    x = x.join(heads, [*keys, "_b"])
+    return x.withColumn("mean", (F.coalesce(F.sum(value).over(upto), F.lit(0.0)) + F.col("_s")) / F.nullif(samples, F.lit(0))).withColumn("samples", samples).drop("_b", "_s", "_n")
+
+
 def best_strategy(candidates: DataFrame, stats: DataFrame, key: str, fixer: str) -> DataFrame:
     """Candidates of each key in order: those with a record by rate, then the others as registered; place from 1."""
     x = candidates.join(stats.select(key, fixer, "rate"), [key, fixer], "left").withColumn("rate", F.coalesce("rate", F.lit(-1.0)))
@@ -170,16 +184,18 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, level): 0 without dependencies, else one more than the deepest; raises on a cycle.
 
     Each wave settles the nodes whose dependencies are all settled; edges to
-    unknown nodes are ignored.  The waves are as many as the longest chain.
+    unknown nodes are ignored.  The waves are as many as the longest chain; each
+    is checkpointed, so that its plan doesn't hold those before.
     """
-    e = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
-    done, wave, left = None, 0, nodes.select("node").distinct()
+    keep = (lambda x: x.checkpoint()) if nodes.sparkSession.sparkContext.getCheckpointDir() else (lambda x: x.persist())
+    e = keep(edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst").distinct())
+    left, settled, wave = keep(nodes.select("node").distinct()), [], 0
     while left.take(1):
-        open_edges = e if done is None else e.join(done.select(F.col("node").alias("src")), "src", "left_anti")
-        ready = left.join(open_edges.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("level", F.lit(wave)).persist()
+        ready = keep(left.join(e.select(F.col("dst").alias("node")), "node", "left_anti"))
         if not ready.take(1):
             raise ValueError("the graph has a cycle")
-        done = ready if done is None else done.union(ready)
-        left = left.join(ready.select("node"), "node", "left_anti")
+        settled.append(ready.withColumn("level", F.lit(wave)))
+        e = keep(e.join(ready.select(F.col("node").alias("src")), "src", "left_anti"))
+        left = keep(left.join(ready, "node", "left_anti"))
         wave += 1
-    return done if done is not None else nodes.select("node", F.lit(0).alias("level"))
+    return reduce(DataFrame.union, settled) if settled else nodes.select("node", F.lit(0).alias("level"))

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from .. import values as V
 from ..functions import scalars as S
 from ..operators import calls as C
+from ..operators import experience as E
 from ..operators import findings as O
 from ..operators import fixers as X
 from ..operators import history as H
+from ..operators import issues as I
 from ..operators import projects as P
 from ..operators import reviewers as R
 
@@ -60,6 +62,8 @@ def rules_sql() -> str:
             test += r""" AND NOT regexp_matches(stripped, '["''](0\.0\.0\.0|127\.0\.0\.1)(:\d+)?["'']')"""
         if kind == "missing_timeout":
             test += " AND NOT contains(stripped, 'timeout')"
+        if kind == "naked_env":
+            test += " AND NOT contains(lower(stripped), 'default') AND NOT contains(stripped, 'or ')"
         out.append(f"SELECT '{kind}' AS type, '{severity}' AS severity, '{dimension}' AS dimension, file, line_no AS line, {i} AS rule FROM lines WHERE {test}")
     return "found AS (" + " UNION ALL ".join(out) + ")"
 
@@ -124,10 +128,7 @@ def files_per_rule(s, d):
 
 @query("context_snippets", f"{FOUND} SELECT f.file, f.line, f.rule, string_agg(l.line, chr(10) ORDER BY l.line_no) AS snippet FROM found f JOIN lines l ON l.file = f.file AND l.line_no BETWEEN f.line - 3 AND f.line + 3 GROUP BY ALL")
 def context_snippets(s, d):
-    lines = doc_lines(s, d)
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(-3, 3)
-    near = lines.select("file", F.col("line_no").alias("line"), F.array_join(F.collect_list("line").over(w), "\n").alias("snippet"))
-    return doc_findings(s, d).join(near, ["file", "line"]).select("file", "line", "rule", "snippet")
+    return O.snippets(doc_findings(s, d), doc_lines(s, d), 3)
 
 
 @query("lookback_absent", f"WITH {LINES}, n AS (SELECT *, max(contains(line, 'the')) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS near FROM lines) SELECT 'missing' AS type, 'low' AS severity, file, line_no AS line FROM n WHERE regexp_matches(stripped, '^[A-Z]') AND NOT coalesce(near, false)")
@@ -430,8 +431,7 @@ def relevant_experiences(s, d):
 
 @query("running_mean", f"WITH {EX} SELECT ord, round(avg(value) OVER (PARTITION BY type, fixer ORDER BY ord ROWS UNBOUNDED PRECEDING), 10) AS mean, count(*) OVER (PARTITION BY type, fixer ORDER BY ord ROWS UNBOUNDED PRECEDING) AS samples FROM x")
 def running_mean(s, d):
-    w = Window.partitionBy("type", "fixer").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    return experience(s, d).select("ord", F.round(F.avg("value").over(w), 10).alias("mean"), F.count("*").over(w).alias("samples"))
+    return H.running_mean(experience(s, d), ["type", "fixer"], "value", "ord").select("ord", F.round("mean", 10).alias("mean"), "samples")
 
 
 @query("retention_tail", f"WITH {EX}, r AS (SELECT ord, type, row_number() OVER (PARTITION BY type ORDER BY ord DESC) AS k FROM x) SELECT ord, type FROM r WHERE k <= 50")
@@ -483,7 +483,7 @@ def redaction(s, d):
     return x.select("doc_id", F.md5("new").alias("digest"), (F.col("new") != F.col("text")).alias("changed"))
 
 
-@query("summaries", "WITH f AS (SELECT doc_id, trim(split_part(text, chr(10), 1)) AS l FROM documents) SELECT doc_id, CASE WHEN length(l) > 80 THEN left(l, 80) || '...' ELSE l END AS summary FROM f")
+@query("summaries", "WITH f AS (SELECT doc_id, trim(split_part(trim(text), chr(10), 1)) AS l FROM documents) SELECT doc_id, CASE WHEN length(l) > 80 THEN left(l, 77) || '...' ELSE l END AS summary FROM f")
 def summaries(s, d):
     return t(s, d, "documents").select("doc_id", S.first_line(F.col("text")).alias("summary"))
 
@@ -508,15 +508,7 @@ TOKENS = r"list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))"
 
 @query("best_similarity", f"WITH b AS (SELECT item_id, {TOKENS} AS w FROM benchmark), d AS (SELECT doc_id, {TOKENS} AS w FROM documents), p AS (SELECT doc_id, item_id, round(len(list_intersect(d.w, b.w)) / (len(d.w) + len(b.w) - len(list_intersect(d.w, b.w))), 9) AS score FROM d, b), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS k FROM p) SELECT doc_id, item_id, score FROM r WHERE k = 1 AND score >= 0.3")
 def best_similarity(s, d):
-    items = t(s, d, "benchmark").select("item_id", S.tokens(F.col("text")).alias("b"))
-    docs = t(s, d, "documents").select("doc_id", S.tokens(F.col("text")).alias("w"))
-    # a pair that shares no token, or whose sizes differ too much, can't reach the threshold: join on tokens
-    docs = docs.select("doc_id", F.size("w").alias("n"), F.explode("w").alias("t"))
-    items = items.select("item_id", F.size("b").alias("m"), F.explode("b").alias("t"))
-    shared = docs.join(items, (docs["t"] == items["t"]) & (F.col("m") >= 0.3 * F.col("n")) & (F.col("n") >= 0.3 * F.col("m")))
-    x = shared.groupBy("doc_id", "item_id", "n", "m").agg(F.count("*").alias("c"))
-    x = x.select("doc_id", "item_id", F.round(F.col("c") / (F.col("n") + F.col("m") - F.col("c")), 9).alias("score"))
-    return O.first_by(x, ["doc_id"], [F.desc("score"), "item_id"]).where("score >= 0.3")
+    return E.most_similar(t(s, d, "documents").select("doc_id", "text"), t(s, d, "benchmark").select("item_id", "text"), 0.3)
 
 
 @query("path_similarity", "WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages), q AS (SELECT page_id, url, lag(url) OVER (ORDER BY page_id) AS prev FROM p) SELECT page_id, CASE WHEN url = prev THEN 1 WHEN regexp_extract(url, '^(.*)/[^/]*$', 1) = regexp_extract(prev, '^(.*)/[^/]*$', 1) THEN 0.5 ELSE 0.1 END::DOUBLE AS score FROM q WHERE prev IS NOT NULL")
@@ -570,7 +562,7 @@ def mtime_changes(s, d):
 @query("wildcard_dispatch", "WITH f(fixer, type, reg) AS (VALUES ('a', 'error', 0), ('b', '*', 1), ('c', 'click', 2), ('d', 'error', 3)) SELECT event_id, fixer FROM (SELECT event_id, fixer, row_number() OVER (PARTITION BY event_id ORDER BY type = '*', reg) AS k FROM events JOIN f ON f.type = event_type OR f.type = '*') WHERE k = 1")
 def wildcard_dispatch(s, d):
     f = s.createDataFrame([("a", "error", 0), ("b", "*", 1), ("c", "click", 2), ("d", "error", 3)], "fixer string, type string, reg int")
-    exact = O.first_by(f.where("type <> '*'"), ["type"], ["reg"]).select(F.col("type").alias("event_type"), "fixer")
+    exact = O.first_by(f.where("type <> '*'"), ["type"], [F.col("reg")]).select(F.col("type").alias("event_type"), "fixer")
     any_type = f.where("type = '*'").orderBy("reg").limit(1).select(F.col("fixer").alias("other"))
     return t(s, d, "events").join(exact, "event_type", "left").join(F.broadcast(any_type), F.lit(True), "left").select("event_id", F.coalesce("fixer", "other").alias("fixer"))
 
@@ -578,10 +570,7 @@ def wildcard_dispatch(s, d):
 @query("vector_top_k", "WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 1), x AS (SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), q), 6) AS score FROM embeddings, q ORDER BY list_dot_product(CAST(embedding AS DOUBLE[]), q) DESC, vec_id LIMIT 10) SELECT * FROM x WHERE score >= 0.3")
 def vector_top_k(s, d):
     e = t(s, d, "embeddings")
-    row = e.where("vec_id = 1").first()
-    if row is None:
-        return e.limit(0).select("vec_id", F.lit(0.0).alias("score"))
-    return H.top_inner_product(e, row["embedding"], "vec_id", "embedding", 10).select("vec_id", F.round("score", 6).alias("score"))
+    return H.top_inner_products(e, e.where("vec_id = 1"), "vec_id", "embedding", 10).select(F.col("neighbour").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
 @query("vector_top_k_all", "WITH q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 50 = 0), x AS (SELECT query, vec_id AS neighbour, list_dot_product(CAST(embedding AS DOUBLE[]), q) AS s FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, neighbour) AS k FROM x) SELECT query AS vec_id, neighbour, round(s, 6) AS score FROM r WHERE k <= 10 AND s >= 0.3")
@@ -597,10 +586,11 @@ def dag_levels(s, d):
     return H.levels(edges, nodes)
 
 
-@query("batch_plan", "WITH r AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS k FROM orders) SELECT o_orderkey, CAST(ceil(k / 3) AS BIGINT) AS batch FROM r")
+@query("batch_plan", "WITH x AS (SELECT o_orderkey, CASE o_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'a' WHEN 2 THEN 'a,b' ELSE o_orderpriority END AS g FROM orders), r AS (SELECT o_orderkey, g, row_number() OVER (PARTITION BY g ORDER BY o_orderkey) AS k FROM x) SELECT o_orderkey, CAST(ceil(k / 3) AS BIGINT) AS batch FROM r")
 def batch_plan(s, d):
-    k = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey"))
-    return t(s, d, "orders").select("o_orderkey", F.ceil(k / 3).alias("batch"))
+    k = F.col("o_custkey") % 4
+    waits = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array(F.lit("a"))).when(k == 2, F.array(F.lit("b"), F.lit("a"))).otherwise(F.array("o_orderpriority"))
+    return I.batches(t(s, d, "orders").select(F.col("o_orderkey").alias("task_id"), waits.alias("depends"), F.col("o_orderkey").alias("ord"))).select(F.col("task_id").alias("o_orderkey"), "batch")
 
 
 @query("status_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")

@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import scalars as S
+
 # Directories that are never entered.
 SKIP_DIRS = [".git", "node_modules", "__pycache__", "venv", ".venv", "dist", "build", ".tox"]
 LOG_SCHEMA = "timestamp string, level string, request_id string, message string, task_id string, status string, module string, _corrupt_record string"
@@ -53,6 +55,29 @@ def append_json(df: DataFrame, path: str, rows_a_file: int = 100_000) -> None:
     df.write.mode("append").option("maxRecordsPerFile", rows_a_file).json(path)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``old`` with the rows of ``new`` in place of those of their keys."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """``old`` with the rows of ``new`` in place of those of their keys; of rows of ``new`` alike in key the last by ``order``, or else the greatest."""
+    rest = F.struct(*(c for c in new.columns if c != key))
+    one = new.groupBy(key).agg(F.max_by(rest, F.col(order) if order else rest).alias("_r")).select(key, "_r.*").select(*new.columns)
+    return old.join(one.select(key), key, "left_anti").unionByName(one, allowMissingColumns=True)
+
+
+def patched(rows: DataFrame, id: str, value, changes: dict) -> DataFrame:
+    """Rows with fields of those of one id changed."""
+    hit = F.col(id).eqNullSafe(F.lit(value))
+    return rows.withColumns({k: F.when(hit, F.lit(v)).otherwise(F.col(k)) for k, v in changes.items()})
+
+
+def write_state(df: DataFrame, path: str) -> None:
+    """Replace a state by JSON files; readers see the old or the new ones, as the commit moves them in one step."""
+    df.write.mode("overwrite").json(path)
+
+
+def audit_row(at, operation, target, outcome, text):
+    """One audit record as JSON: what was done to what, with a summary and the start of a hash of the text."""
+    return F.to_json(F.struct(at.alias("at"), operation.alias("operation"), target.alias("target"), outcome.alias("outcome"), S.summary(text).alias("summary"), S.short_hash(text).alias("content_hash")))
+
+
+def log_line(at, level, module, message):
+    """A log record as a line of text, its level in five places."""
+    return F.format_string("%s %-5s [%s] %s", at, level, module, message)

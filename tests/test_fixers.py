@@ -13,10 +13,13 @@ from siftline.operators import projects as P
         ("swallowed_exception", 3, "try:\n    a()\nexcept E:\n    # why\n    pass\nb()", "import logging\ntry:\n    a()\nexcept E:\n    logging.exception('异常捕获: ')\n    # why\nb()"),
         ("bare_except", 3, "try:\n    a()\nexcept:\n    b()", "try:\n    a()\nexcept Exception:\n    b()"),
         ("print_used", 3, "import os\ndef f():\n    print(os.x, 1)", "import os\nimport logging\ndef f():\n    logging.info(os.x, 1)"),
-        ("resource_not_managed", 1, "data = open(p).read()", "with open(p) as data:\n    data = data .read()"),
+        ("resource_not_managed", 1, "data = open(p).read()", "with open(p) as data:\n    data = data.read()"),
         ("missing_timeout_config", 2, "if a:\n    r = requests.get(u).json()", "if a:\n    r = requests.get(u, timeout=30).json()"),
+        ("resource_not_managed", 2, "def g():\n    h = open(p, 'w')", "def g():\n    with open(p, 'w') as h:\n        pass"),
+        ("resource_not_managed", 1, "use(open(p))", "with open(p) as f:\n    use(f)"),
+        ("missing_return_type", 1, "def f(a,\n      b):\n    def g():\n        return 1\n    g()", "def f(a,\n      b) -> None:\n    def g():\n        return 1\n    g()"),
         ("missing_return_type", 2, "class C:\n    def f(self):\n        return 1", "from typing import Any\nclass C:\n    def f(self) -> Any:\n        return 1"),
-        ("missing_return_type", 1, "def f(a): pass", "def f(a) -> None:  pass"),
+        ("missing_return_type", 1, "def f(a): pass", "def f(a) -> None: pass"),
         ("missing_param_type", 2, "from typing import List\ndef f(self, a, b: int, c=(1, 2), *d): pass", "from typing import List, Any\ndef f(self, a: Any, b: int, c=(1, 2), *d): pass"),
         ("sync_sleep_in_async", 3, "import time\nasync def f():\n    time.sleep(2)", "import time\nimport asyncio\nasync def f():\n    await asyncio.sleep(2)"),
         ("unused_import", 1, "from a import b, c\nc()", "from a import c\nc()"),
