@@ -18,7 +18,7 @@ def file_pattern(path: Column) -> Column:
     parts = F.split(path, "/")
     suffix = F.coalesce(F.nullif(F.regexp_extract(path, r"[^/.](\.[^./]+)$", 1), F.lit("")), F.lit("*"))
     folder = F.slice(parts, F.greatest(F.size(parts) - 2, F.lit(1)), F.least(F.size(parts), F.lit(3)) - 1)
-    return F.concat(F.when(F.size(folder) > 0, F.concat(F.array_join(folder, "/"), F.lit("/"))).otherwise(""), F.lit("*"), suffix)
+    return F.when(path.isNotNull(), F.concat(F.when(F.size(folder) > 0, F.concat(F.array_join(folder, "/"), F.lit("/"))).otherwise(""), F.lit("*"), suffix))
 
 
 def common_folder(paths: Column) -> Column:
@@ -81,7 +81,7 @@ def best_patterns(issues: DataFrame, patterns: DataFrame, least: float = 0.3) ->
 def apply_patterns(files: DataFrame) -> DataFrame:
     """Files (file, text, code_before, code_after) with the first occurrence replaced, where the result still parses; else as they were, and whether it was done."""
     known = (F.coalesce("code_before", F.lit("")) != "") & (F.coalesce("code_after", F.lit("")) != "")
-    at = F.when(known, F.locate(F.col("code_before"), F.col("text"))).otherwise(0)
+    at = F.when(known, F.position(F.col("code_before"), F.col("text"))).otherwise(0)
     x = files.withColumn("new", F.when(at > 0, F.concat(F.left("text", at - 1), F.col("code_after"), F.substring(F.col("text"), at + F.length("code_before"), F.length("text")))))
 
     @F.pandas_udf("boolean")
@@ -135,12 +135,12 @@ def propagated(calibration: DataFrame, least: int = 3) -> DataFrame:
 
 def feature(code: Column) -> Column:
     """The first line with code, 120 characters at most."""
-    lines = F.filter(F.transform(F.split(F.coalesce(code, F.lit("")), "\n"), F.trim), lambda x: (x != "") & ~F.startswith(x, F.lit("#")) & ~F.startswith(x, F.lit('"""')))
+    lines = F.filter(F.transform(F.split(F.coalesce(code, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.startswith(x, F.lit("#")) & ~F.startswith(x, F.lit('"""')))
     return F.left(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), F.lit(120))
 
 
-def description(experience: DataFrame) -> Column:
-    """The sentence by which an experience is found."""
+def description() -> Column:
+    """The sentence by which an experience (its columns) is found."""
     kind, code = F.col("type"), feature(F.col("code_before"))
     has = lambda *words: F.greatest(F.lit(False), *(F.contains(code, F.lit(w)) for w in words))
     plain = F.concat(F.lit("代码上下文: "), code, F.lit("。"))

@@ -96,7 +96,7 @@ def round_times(events: DataFrame, keys: list[str] = ()) -> DataFrame:
     """
     x = events.where("round >= 0").groupBy(*keys, "round").agg(F.min(F.when(F.col("event") == "start", F.col("at"))).alias("start"), F.max(F.when(F.col("event") == "end", F.col("at"))).alias("end")).where("start IS NOT NULL")
     end = F.when(F.col("end") >= F.col("start"), F.col("end"))
-    return x.select(*keys, "round", "start", end.alias("end"), F.bround((F.unix_micros(end) - F.unix_micros("start")) / 1e6, 3).alias("seconds"))
+    return x.select(*keys, "round", "start", end.alias("end"), F.bround((F.unix_micros(end.cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))) / 1e6, 3).alias("seconds"))
 
 
 def current_and_last(times: DataFrame, keys: list[str] = ()) -> DataFrame:
@@ -122,7 +122,7 @@ def stale(beats: DataFrame, now: Column, timeout: int, most: int = 3) -> DataFra
 
 def expired(items: DataFrame, now: Column, hours: float) -> DataFrame:
     """Items with their age in hours and whether it passes ``hours``."""
-    age = (F.unix_micros(now) - F.unix_micros("at")) / 3.6e9
+    age = (F.unix_micros(now) - F.unix_micros(F.col("at").cast("timestamp"))) / 3.6e9
     return items.withColumn("age_hours", age).withColumn("expired", age > hours)
 
 

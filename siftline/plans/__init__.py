@@ -1,0 +1,3 @@
+"""Queries by name; importing the package registers all of them."""
+
+from . import bindings, sources, workflow  # noqa: F401

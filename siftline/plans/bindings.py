@@ -624,22 +624,6 @@ def user_sessions(s, d):
     return sessions(t(s, d, "events"), "ts", "user_id").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-# ---- folds in Python: held against fixtures in tests, no SQL
-
-@query("taint_candidates")
-def taint_candidates(s, d):
-    from ..operators.taint import taint
-
-    return taint(t(s, d, "pages"), "page_id", "html")
-
-
-@query("syntax_findings")
-def syntax_findings(s, d):
-    from ..operators.syntax import syntax_rules
-
-    return syntax_rules(t(s, d, "documents"), "doc_id", "text")
-
-
 @query("tolerant_json", "SELECT event_id AS response_id, 0 AS ord, event_type AS type, 'low' AS severity, 'f' || user_id AS file, CAST(event_id % 100 AS INTEGER) AS line FROM events")
 def tolerant_json(s, d):
     from ..operators.responses import parse_responses
@@ -716,11 +700,6 @@ def hardcoded_numbers(s, d):
     return x.select("file", F.col("line_no").alias("line"), F.regexp_extract("line", "[0-9]{4,}", 0).alias("number"))
 
 
-@query("imports_changed", "SELECT doc_id, len(list_filter(list_distinct(string_split(text, ' ')), lambda w: NOT list_contains(string_split(split_part(text, chr(10), 1), ' '), w))) AS added FROM documents")
-def imports_changed(s, d):
-    return t(s, d, "documents").select("doc_id", F.size(F.array_except(F.split("text", " "), F.split(F.substring_index("text", "\n", 1), " "))).alias("added"))
-
-
 @query("provider_percentiles", "SELECT c_mktsegment, count(*) AS n, round(quantile_cont(c_acctbal, 0.5), 4) AS median FROM customer GROUP BY c_mktsegment")
 def provider_percentiles(s, d):
     return t(s, d, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.percentile("c_acctbal", 0.5), 4).alias("median"))

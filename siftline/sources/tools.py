@@ -33,7 +33,7 @@ def todo_tasks(texts: DataFrame, keys: list[str], text: str = "text") -> DataFra
     x = texts.select(*keys, F.posexplode(parts).alias("ord", "part"))
     last = lambda p: F.try_element_at(F.regexp_extract_all("part", F.lit(p), F.lit(1)), F.lit(-1))
     waits = F.trim(last(r"\n[ \t]+依赖:[ \t]*([^\n]+)"))
-    listed = F.filter(F.transform(F.split(waits, ","), F.trim), lambda d: d != "")
+    listed = F.filter(F.transform(F.split(waits, ","), lambda d: F.trim(d)), lambda d: d != "")
     none = F.array().cast("array<string>")
     x = x.select(
         *keys, "ord", F.regexp_extract("part", r"^\s*(\S+)", 1).alias("task_id"), F.when(waits.isNull() | (waits == "无") | F.startswith(waits, F.lit("无（")), none).otherwise(listed).alias("depends"),
