@@ -43,10 +43,10 @@ class Layout:
 def pack_ints(x) -> bytes:
     """Non-negative integers, byte by byte of equal place: the low bytes, which are as good as random, as they are, the rest compressed."""
     width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
-    plain = min(width, (int(x.mean()).bit_length() - 1) // 8) if len(x) and x.any() else 0
+    plain = max(0, min(width, (int(x.mean()).bit_length() - 1) // 8)) if len(x) else 0
     planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
     rest = pa.compress(planes[plain:].tobytes(), codec="zstd", asbytes=True) if plain < width and len(x) else b""
-    return bytes([width, max(0, plain)]) + len(x).to_bytes(8, "little") + planes[: max(0, plain)].tobytes() + rest
+    return bytes([width, plain]) + len(x).to_bytes(8, "little") + planes[:plain].tobytes() + rest
 
 
 def unpack_ints(b: bytes):
