@@ -189,13 +189,18 @@ def most_similar(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
     those are paired, and common words join nothing.
     """
     words = items.select("item_id", S.tokens(F.col("text")).alias("b"))
-    docs = docs.select("doc_id", S.tokens(F.col("text")).alias("w"))
+    span = words.agg(F.min(F.size("b")), F.max(F.size("b"))).first()
+    docs = docs.select("doc_id", S.tokens(F.col("text")).alias("w")).where(F.size("w").between(least * (span[0] or 0), (span[1] or 0) / least))
     need = F.ceil(F.lit(least) * F.size("b"))
     every = words.select("item_id", F.explode("b").alias("t"))
     held = docs.select(F.explode("w").alias("t")).join(every.select("t").distinct(), "t").groupBy("t").agg(F.count("*").alias("f"))
     ranked = every.join(held, "t").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("ts"))
     keep = words.join(ranked, "item_id").select("item_id", "b", F.explode(F.slice(F.col("ts.t"), F.lit(1), F.greatest(F.size("b") - need + 1, F.lit(1)).cast("int"))).alias("t"))
-    pairs = docs.select("doc_id", F.explode("w").alias("t")).join(keep.select("item_id", "t"), "t").select("doc_id", "item_id").distinct()
+    # sizes bound the share too: most pairs of a long and a short text end here
+    sized = (F.col("n") >= F.lit(least) * F.col("m")) & (F.col("m") >= F.lit(least) * F.col("n"))
+    keep = keep.select("item_id", F.size("b").alias("m"), F.col("t").alias("kt"))
+    posts = docs.select("doc_id", F.size("w").alias("n"), F.explode("w").alias("t"))
+    pairs = posts.join(keep, (F.col("t") == F.col("kt")) & sized).select("doc_id", "item_id").distinct()
     x = pairs.join(docs, "doc_id").join(words, "item_id")
     shared = F.size(F.array_intersect("w", "b"))
     x = x.select("doc_id", "item_id", F.round(shared / (F.size("w") + F.size("b") - shared), 9).alias("score"))
