@@ -1,8 +1,10 @@
 """One query per operator, over its whole table, and its SQL where SQL can say it."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, licenses, lines, lm, mixing, ngram_join, quality, substring
+from . import ann, decontaminate, langid, licenses, lines, lm, mixing, ngram_join, quality, resampling, spelling, substring, tokens
+from .common import shared_dir
 
 WORDS_SQL = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
@@ -133,5 +135,67 @@ def op7_neighbours(spark, sf_dir):
     return ann.top_neighbours(rows, rows.where("vec_id % 20 = 0")).select("query_id", "rank", "vec_id", "score")
 
 
-QUERIES = {"op7_neighbours": op7_neighbours, "op2_decontaminate": op2_decontaminate, "op6_licenses": op6_licenses, "op9_language": op9_language, "op10_quality": op10_quality, "op1_ngram_join": op1_ngram_join, "op5_lm": op5_lm, "op3_substrings": op3_substrings, "op4_mix": op4_mix, "op8_lines": op8_lines}
-ORACLES = {"op6_licenses": licenses.scan_sql(), "op1_ngram_join": OP1_SQL, "op5_lm": OP5_SQL, "op3_substrings": OP3_SQL, "op4_mix": OP4_SQL, "op8_lines": OP8_SQL}
+def op11_spelling(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), misspell=97)
+
+
+#: CRC-32 in SQL: the table of its bytes, and the fold over a string's.
+CRC_SQL = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
+def crc_sql(string: str) -> str:
+    """CRC-32 of a string's UTF-8 bytes, where ``t`` is the table."""
+    hex = f"hex(encode({string}))"
+    code = f"list_transform(range(CAST(len({hex}) / 2 AS BIGINT)), lambda i: CAST('0x' || substr({hex}, 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295], {code}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE {CRC_SQL},
+d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{UPPER.lower()}'), '[A-Za-z\u00C0-\u00FF]+')) AS w FROM documents),
+c AS (SELECT doc_id, w, count(*) AS n FROM d GROUP BY doc_id, w),
+h AS (SELECT w, n, {crc_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w")} AS h FROM c, crc),
+m AS (SELECT CASE WHEN h % 97 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM m WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+k AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS cut FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+p AS (SELECT DISTINCT a.word AS a, a.n AS na, b.word AS b, b.n AS nb FROM k a JOIN k b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT k.word, k.n, v.word, v.n FROM k JOIN v ON k.cut = v.word
+  UNION SELECT v.word, v.n, k.word, k.n FROM k JOIN v ON k.cut = v.word),
+b AS (SELECT a AS word, na AS n, count(*) AS n_near, arg_min(b, struct_pack(m := -nb, w := encode(b))) AS near, max(nb) AS m FROM p GROUP BY a, na),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * v.n THEN near END AS form, CASE WHEN m >= 2 * v.n THEN m END AS form_n FROM v LEFT JOIN b ON v.word = b.word),
+r(word, z, form) AS (SELECT word, word, form FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON r.form = f.word)
+SELECT f.word, f.form, r.z AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n FROM f JOIN r ON r.word = f.word AND r.form IS NULL
+"""
+
+
+def op12_resample(spark, sf_dir):
+    x = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), most=1)
+    return x.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP12_SQL = f"""
+WITH {CRC_SQL},
+x AS (SELECT 's' AS kind, doc_id, text FROM documents UNION ALL SELECT 't', NULL, text FROM benchmark),
+w AS (SELECT kind, doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM x),
+n AS (SELECT kind, doc_id, w, count(*) AS n FROM w GROUP BY kind, doc_id, w),
+v AS (SELECT w, {crc_sql("w")} % 10000 AS bucket FROM (SELECT DISTINCT w FROM n), crc),
+f AS (SELECT kind, doc_id, bucket, sum(n) AS n FROM n JOIN v ON n.w = v.w GROUP BY kind, doc_id, bucket),
+c AS (SELECT bucket, sum(CASE WHEN kind = 's' THEN n ELSE 0 END)::DOUBLE AS s, sum(CASE WHEN kind = 't' THEN n ELSE 0 END)::DOUBLE AS t FROM f GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln(((t + 1) * ((SELECT sum(s) FROM c) + 10000)) / ((s + 1) * ((SELECT sum(t) FROM c) + 10000)))) AS BIGINT) AS gain FROM c),
+d AS (SELECT doc_id, sum(n) AS n, sum(n * gain) AS weight FROM f JOIN g ON f.bucket = g.bucket WHERE kind = 's' GROUP BY doc_id),
+q AS (SELECT documents.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+  CAST('0x' || left(sha256('2024:' || documents.doc_id), 8) AS BIGINT) AS h FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id),
+z AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM q),
+e AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM z WHERE n_features >= 20)
+SELECT z.doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM e) THEN rank END AS rank FROM z LEFT JOIN e ON z.doc_id = e.doc_id
+"""
+
+
+def op13_tokens(spark, sf_dir):
+    folder = shared_dir(spark)
+    tokens.write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    return tokens.read_tokens(spark, folder).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {"op11_spelling": op11_spelling, "op12_resample": op12_resample, "op13_tokens": op13_tokens, "op7_neighbours": op7_neighbours, "op2_decontaminate": op2_decontaminate, "op6_licenses": op6_licenses, "op9_language": op9_language, "op10_quality": op10_quality, "op1_ngram_join": op1_ngram_join, "op5_lm": op5_lm, "op3_substrings": op3_substrings, "op4_mix": op4_mix, "op8_lines": op8_lines}
+ORACLES = {"op11_spelling": OP11_SQL, "op12_resample": OP12_SQL, "op6_licenses": licenses.scan_sql(), "op1_ngram_join": OP1_SQL, "op5_lm": OP5_SQL, "op3_substrings": OP3_SQL, "op4_mix": OP4_SQL, "op8_lines": OP8_SQL}
