@@ -101,7 +101,10 @@ def review_order(s, d):
 
 # ---- taint and syntax over code
 
-FLOW = ["x = input('n')", "x = int(x)", "os.system(x)", "# eval(x)", "    eval(x)", "y = 1", "", "logger.info('%s' % x)"]
+FLOW = [
+    "x = input('n')", "x = int(x)", "y = f'{x}'", "y = escape(y)", "    z = 'a' + y", "os.system(x)", "# eval(x)", "    eval(y)", "", "logger.info('%s' % y)", 'cur.execute(f"{z}")', "x = y", "os.popen(y)", "self.w = z", "print(w)",
+    "subprocess.call(w)",
+]
 
 
 def flow_files(s, d):
@@ -109,15 +112,24 @@ def flow_files(s, d):
     return x.select(F.col("k").alias("file"), F.array_join(F.col("ls.line"), "\n").alias("text"))
 
 
-@query("taint_candidates", f"""WITH l AS (SELECT event_id // 24 AS k, CAST(row_number() OVER (PARTITION BY event_id // 24 ORDER BY event_id) AS INTEGER) AS n, {choose_sql(FLOW, 'event_id * 7919 + event_id // 7')} AS line FROM events),
-s AS (SELECT *, max(CASE WHEN line IN ('x = input(''n'')', 'x = int(x)') THEN n END) OVER (PARTITION BY k ORDER BY n) AS last FROM l),
-c AS (SELECT s.k, a.n AS source_line, s.n AS sink_line, CASE s.line WHEN 'os.system(x)' THEN 'shell_exec' WHEN '    eval(x)' THEN 'code_exec' ELSE 'log_inject' END AS sink_kind FROM s JOIN l a ON a.k = s.k AND a.n = s.last AND a.line = 'x = input(''n'')' WHERE s.line IN ('os.system(x)', '    eval(x)', 'logger.info(''%s'' % x)')),
-r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY sink_line) - 1 AS ord FROM c)
-SELECT CAST(k AS VARCHAR) AS file, CAST(ord AS INTEGER) AS ord, 'user_input' AS source_kind, source_line, sink_kind, sink_line, 0 AS hops, 'x' AS variable, CASE sink_kind WHEN 'log_inject' THEN 0.9 ELSE 1.0 END::DOUBLE AS confidence FROM r WHERE ord < 20""")
+# Variables hand on taint in a ring (x to y, y to x and z, z to w), so lines are folded one by one: each is a level of the recursion.
+@query("taint_candidates", f"""WITH RECURSIVE l AS (SELECT event_id // 24 AS k, CAST(row_number() OVER (PARTITION BY event_id // 24 ORDER BY event_id) AS INTEGER) AS n, {choose_sql(FLOW, 'event_id * 7919 + event_id // 7')} AS line FROM events),
+s(k, n, line, x, y, z, w) AS (SELECT DISTINCT k, 0, '', NULL::STRUCT(src INTEGER, hops VARCHAR[]), NULL::STRUCT(src INTEGER, hops VARCHAR[]), NULL::STRUCT(src INTEGER, hops VARCHAR[]), NULL::STRUCT(src INTEGER, hops VARCHAR[]) FROM l
+  UNION ALL SELECT s.k, l.n, trim(l.line),
+    CASE WHEN l.line LIKE 'x = input%' THEN {{'src': l.n, 'hops': CAST([] AS VARCHAR[])}} WHEN l.line = 'x = int(x)' THEN NULL WHEN l.line = 'x = y' AND y IS NOT NULL THEN {{'src': y.src, 'hops': list_append(y.hops, 'assign')}} ELSE x END,
+    CASE WHEN l.line = 'y = escape(y)' THEN NULL WHEN l.line LIKE 'y = f%' AND x IS NOT NULL THEN {{'src': x.src, 'hops': list_append(x.hops, 'fstring')}} ELSE y END,
+    CASE WHEN trim(l.line) LIKE 'z = %' AND y IS NOT NULL THEN {{'src': y.src, 'hops': list_append(y.hops, 'concat')}} ELSE z END,
+    CASE WHEN l.line LIKE 'self.w%' AND z IS NOT NULL THEN {{'src': z.src, 'hops': list_append(z.hops, 'assign')}} ELSE w END
+  FROM s JOIN l ON s.k = l.k AND l.n = s.n + 1),
+c(line, copy, kind, critical, variable) AS (VALUES ('os.system(x)', 1, 'shell_exec', 1, 'x'), ('eval(y)', 1, 'code_exec', 1, 'y'), ('logger.info(''%s'' % y)', 1, 'log_inject', 0, 'y'), ('cur.execute(f"{{z}}")', 1, 'sql_query', 1, 'z'), ('cur.execute(f"{{z}}")', 2, 'sql_query', 1, 'z'), ('os.popen(y)', 1, 'shell_exec', 1, 'y'), ('subprocess.call(w)', 1, 'shell_exec', 1, 'w')),
+f AS (SELECT s.*, c.*, CASE variable WHEN 'x' THEN x WHEN 'y' THEN y WHEN 'z' THEN z ELSE w END AS v FROM s JOIN c ON s.line = c.line),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n, copy) - 1 AS ord FROM f WHERE v IS NOT NULL)
+SELECT CAST(k AS VARCHAR) AS file, CAST(ord AS INTEGER) AS ord, 'user_input' AS source_kind, v.src AS source_line, kind AS sink_kind, n AS sink_line, CAST(len(v.hops) AS INTEGER) AS hops, array_to_string(v.hops, ',') AS hop_types, variable,
+  least(1.0::DOUBLE, round(CASE len(v.hops) WHEN 0 THEN 0.8 WHEN 1 THEN 0.7 ELSE 0.5 END::DOUBLE + 0.1 * critical + 0.1, 6)) AS confidence FROM r WHERE ord < 20""")
 def taint_candidates(s, d):
     from ..operators.taint import taint
 
-    return taint(flow_files(s, d)).select("file", "ord", "source_kind", "source_line", "sink_kind", "sink_line", "hops", "variable", F.round("confidence", 6).alias("confidence"))
+    return taint(flow_files(s, d)).select("file", "ord", "source_kind", "source_line", "sink_kind", "sink_line", "hops", "hop_types", "variable", F.round("confidence", 6).alias("confidence"))
 
 
 TREES = ["import os\nimport re\nre.x()\n", "try:\n    a()\nexcept:\n    pass\n", "try:\n    a()\nexcept E:\n    b()\n", "for x in y:\n    s += 'a'\n", "def f(:\n", "def g(a):\n" + "".join(f"    if a == {i}:\n        pass\n" for i in range(21))]

@@ -8,7 +8,6 @@ from siftline.operators import findings as O
 from siftline.operators import history as H
 from siftline.operators.responses import issues, parse_responses
 from siftline.operators.syntax import syntax_rules
-from siftline.operators.taint import fold
 from siftline.sources import readers
 
 CODE = '''import os
@@ -55,18 +54,6 @@ def test_syntax_rules(spark):
     assert got == {("unused_import", "a.py", 1), ("unused_import", "a.py", 2), ("bare_except", "a.py", 8), ("swallowed_exception", "a.py", 8), ("loop_string_concat", "loop.py", 3)}
 
 
-@pytest.mark.parametrize(
-    "code,hops",
-    [(["x = input('n')", "os.system(x)"], [0]), (["x = input('n')", "y = 'a' + x", "os.system(y)"], [1]), (["x = input('n')", "x = int(x)", "os.system(x)"], []), (["x = input('n')", "y = f'{x}'", "z = y", "eval(z)"], [2]), (["x = input('x')", "os.system(x)"], [1])],
-)
-def test_taint(code, hops):
-    assert [c[6] for c in fold(code)] == hops
-
-
-def test_taint_cap():
-    assert len(fold(["x = input('n')"] + ["os.system(x)"] * 30)) == 20
-
-
 FIELDS = "type string, file string, line int, dimension string, severity string, ord long"
 
 
