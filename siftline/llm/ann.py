@@ -150,10 +150,21 @@ class Graph:
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
-def lifted(x, top):
-    """Unit vectors, one dimension longer, whose cosine with (query, 0) orders as the inner product."""
-    rest = np.sqrt(np.maximum(top**2 - (x**2).sum(1), 0))
-    return (np.concatenate([x, rest[:, None]], 1) / top).astype(np.float32)
+def scaled(x):
+    """``x`` times a power of two, exactly, with the largest component between a half and one."""
+    return np.ldexp(x, -int(np.frexp(np.abs(x).max())[1]))
+
+
+def lifted(x):
+    """Unit vectors, one dimension longer, whose cosine with (query, 0) orders as the inner product.
+
+    The longest vector is the unit; rows come in bands of norm, so that none is
+    so much shorter that single precision would lose its direction.
+    """
+    x = scaled(x)
+    squares = (x**2).sum(1)
+    top = squares.max()
+    return (np.concatenate([x, np.sqrt(top - squares)[:, None]], 1) / np.sqrt(top)).astype(np.float32)
 
 
 def usable(rows: DataFrame, id: str, vector: str) -> DataFrame:
@@ -163,11 +174,18 @@ def usable(rows: DataFrame, id: str, vector: str) -> DataFrame:
     return x.groupBy("id").agg(F.min("v").alias("v"))
 
 
+def band(v: str):
+    """Binary logarithm of a vector's norm, rounded down; components are divided by the largest first, so no square overflows."""
+    top = F.array_max(F.transform(v, F.abs))
+    rest = F.aggregate(F.col(v), F.lit(0.0), lambda s, e: s + (e / top) * (e / top))
+    return F.floor(F.log2(top) + 0.5 * F.log2(rest)).cast("int")
+
+
 def top_neighbours(rows: DataFrame, queries: DataFrame, id: str = "vec_id", vector: str = "embedding", k: int = 20, ef: int = EF_SEARCH) -> DataFrame:
     """The k rows of largest inner product with each query, its own id apart, as found by search.
 
-    Rows are dealt to shards of about SHARD_ROWS by id; equal vectors of a shard
-    are one node with many ids.  Each shard's graph is kept as flat neighbour
+    Rows of one band of norms, a factor of two wide, are dealt to shards of about
+    SHARD_ROWS by id; equal vectors of a shard are one node with many ids.  Each shard's graph is kept as flat neighbour
     arrays in the shared folder, and blocks of queries meet every shard of their
     dimension; results are merged by rank.  Scores are inner products in double
     precision of the vectors as given, ties to the smaller id.  Vectors that
@@ -175,12 +193,18 @@ def top_neighbours(rows: DataFrame, queries: DataFrame, id: str = "vec_id", vect
     do null ids.  Returns query_id, rank (from 1), the id as ``vec_id``, score.
     """
     rows, queries = usable(rows, id, vector), usable(queries, id, vector)
-    size = {r["d"]: r["n"] for r in rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
-    shards = {d: max(1, math.ceil(n / SHARD_ROWS)) for d, n in size.items()}
+    sized = rows.groupBy(F.size("v").alias("d"), band("v").alias("band")).agg(F.count("*").alias("n")).orderBy("d", "band").collect()
+    # shards of a dimension are numbered through its bands: (first, number) by dimension and band, and all by dimension
+    bands, shards = {}, {}
+    for r in sized:
+        first = shards.get(r["d"], 0)
+        bands[f"{r['d']}:{r['band']}"] = (first, math.ceil(r["n"] / SHARD_ROWS))
+        shards[r["d"]] = first + math.ceil(r["n"] / SHARD_ROWS)
     n_blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    counts = F.create_map(*(F.lit(x) for d, s in shards.items() for x in (d, s))) if shards else F.lit(None).cast("map<int,int>")
-    deal = lambda x: x.withColumn("d", F.size("v")).withColumn("s", F.try_element_at(counts, F.col("d")))
-    placed = deal(rows).select("d", F.pmod(F.xxhash64("id"), F.col("s")).alias("shard"), "id", "v")
+    mapped = lambda table, kind: F.create_map(*(F.lit(x) for k, v in table.items() for x in (k, v))) if table else F.lit(None).cast(kind)
+    where = F.concat(F.size("v").cast("string"), F.lit(":"), band("v").cast("string"))
+    first, number = (F.try_element_at(mapped({k: v[i] for k, v in bands.items()}, "map<string,int>"), where) for i in (0, 1))
+    placed = rows.select(F.size("v").alias("d"), (first + F.pmod(F.xxhash64("id"), number)).alias("shard"), "id", "v")
 
     def build(table: pa.Table) -> pa.Table:
         x = np.array(table.column("v").combine_chunks().values).reshape(len(table), -1)
@@ -192,7 +216,7 @@ def top_neighbours(rows: DataFrame, queries: DataFrame, id: str = "vec_id", vect
         place[mixed] = np.arange(len(nodes))
         nodes, member = nodes[mixed], place[inverse.ravel()]
         by = np.argsort(member, kind="stable")
-        graph = Graph(lifted(nodes, np.sqrt((nodes**2).sum(1).max())))
+        graph = Graph(lifted(nodes))
         blob = lambda a, t: np.ascontiguousarray(a, t).tobytes()
         row = {"d": table.column("d")[0].as_py(), "shard": table.column("shard")[0].as_py(), "nodes": blob(nodes, "<f8"), "ids": blob(ids[order][by], "<i8"), "edge": blob(np.searchsorted(member[by], np.arange(len(nodes) + 1)), "<i4"), "sizes": graph.sizes, "links": [blob(g, "<i4") for g in graph.levels]}
         return pa.Table.from_pylist([row], index_arrow)
@@ -209,10 +233,11 @@ def top_neighbours(rows: DataFrame, queries: DataFrame, id: str = "vec_id", vect
         nodes = np.frombuffer(row["nodes"], "<f8").reshape(-1, row["d"])
         ids, edge = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["edge"], "<i4")
         levels = [np.frombuffer(b, "<i4").reshape(n + 1, -1) for n, b in zip(row["sizes"], row["links"])]
-        graph = Graph(lifted(nodes, np.sqrt((nodes**2).sum(1).max())), levels, row["sizes"])
+        graph = Graph(lifted(nodes), levels, row["sizes"])
         q = np.array(right.column("v").combine_chunks().values).reshape(len(right), -1)
         asked = np.array(right.column("id"))
-        unit = q / np.sqrt((q**2).sum(1))[:, None]
+        unit = q / np.abs(q).max(1)[:, None]
+        unit /= np.sqrt((unit**2).sum(1))[:, None]
         found, _ = graph.search(np.concatenate([unit, np.zeros((len(q), 1))], 1).astype(np.float32), max(ef, k + 1))
         out = [[], [], []]
         for i in range(len(q)):
@@ -230,7 +255,7 @@ def top_neighbours(rows: DataFrame, queries: DataFrame, id: str = "vec_id", vect
         return pa.Table.from_arrays([pa.array(np.concatenate(x), t.type) for x, t in zip(out, out_arrow)], schema=out_arrow)
 
     blocks = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    asked = deal(queries).where("s IS NOT NULL").select("d", "id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - F.lit(1).cast("long"))).alias("shard"))
+    asked = queries.withColumn("d", F.size("v")).withColumn("s", F.try_element_at(mapped(shards, "map<int,int>"), F.col("d"))).where("s IS NOT NULL").select("d", "id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - F.lit(1).cast("long"))).alias("shard"))
     found = blocks.groupBy("d", "shard", "block").cogroup(asked.groupBy("d", "shard", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
