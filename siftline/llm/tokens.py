@@ -21,13 +21,16 @@ from .common import col, drop_tables, shared_table
 
 #: White space as the tokenizer's pattern has it.
 WS = "\t-\r \x85\xa0  -     　"
-#: A piece starts where white space follows ink. No token of a byte-level pattern reaches over that place, so pieces can be encoded apart.
-PIECE = re.compile(f"[{WS}]*[^{WS}]+|[{WS}]+")
+#: Letters of Latin-1 that spell words, and what may be a letter too.
+LATIN, OTHER = "A-Za-zÀ-ÖØ-öø-ÿ", "ªµºĀ-\U0010ffff"
+#: Pieces that no token of a byte-level pattern reaches out of: a word, with a space before it, that ends where no letter
+#: follows; a line break before a word; or all ink up to white space, with the white space before it.
+PIECE = re.compile(f" ?[{LATIN}]++(?![{OTHER}])|\n(?= ?[{LATIN}])|[{WS}]*[^{WS}]+|[{WS}]+")
 BORDER = re.compile(f"(?<=[^{WS}])(?=[{WS}])")
 #: Pieces that the pattern takes as one word.
-WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+WORD = re.compile(f" ?[{LATIN}]+")
 #: Characters of a text handled at a time; pieces held, and the longest such.
-PART_CHARS, HELD_PIECES, HELD_CHARS = 4 << 20, 300_000, 48
+PART_CHARS, HELD_PIECES, HELD_CHARS = 4 << 20, 400_000, 48
 #: Documents, of at most so many bytes of text, that the dictionary is trained on, and its size.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 16 << 10, 64 << 10
 #: Compressed bytes of a shard, about.
@@ -65,31 +68,30 @@ class Encoder:
         self.by_piece = (
             model.get("type") == "BPE" and not model.get("dropout") and spec.get("normalizer") is None and not spec.get("truncation") and not spec.get("padding")
             and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
-            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(f"[{WS}]", t["content"]) for t in added)
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(f"[{WS}]|^[{LATIN}]", t["content"]) for t in added)
         )
-        self.plain_words = self.by_piece and not any(WORD.search(t["content"]) and not re.search(r"[^A-Za-z ]", t["content"]) for t in added)
 
     @staticmethod
     def put(width: int, ids) -> bytes:
         return array({2: "H", 4: "I"}[width], ids).tobytes()
 
     def ids_of(self, piece: str) -> bytes:
-        if self.plain_words and WORD.fullmatch(piece):
+        if WORD.fullmatch(piece):
             spelt = "".join([self.stands[b] for b in piece.encode()])
             return array(self.type, [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
         return array(self.type, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def pieces(self, text: str) -> bytes:
-        held, out = self.held, []
-        for piece in PIECE.findall(text):
-            ids = held.get(piece)
-            if ids is None:
-                ids = self.ids_of(piece)
-                if len(piece) <= HELD_CHARS:
-                    if len(held) >= HELD_PIECES:
-                        held.clear()
-                    held[piece] = ids
-            out.append(ids)
+        held, found = self.held, PIECE.findall(text)
+        out = list(map(held.get, found))
+        if None in out:
+            for i, piece in enumerate(found):
+                if out[i] is None:
+                    ids = out[i] = held.get(piece) or self.ids_of(piece)
+                    if len(piece) <= HELD_CHARS:
+                        if len(held) >= HELD_PIECES:
+                            held.clear()
+                        held[piece] = ids
         return b"".join(out)
 
     def __call__(self, text: str | None) -> bytes:
@@ -108,6 +110,16 @@ class Encoder:
         return b"".join(out) + self.end
 
 
+def sampled(docs: DataFrame) -> list[str]:
+    """Texts of about SAMPLE_DOCS documents of at most SAMPLE_BYTES, those of least hash of id and text; fewer if there aren't as many."""
+    size = F.octet_length("text")
+    short = docs.where((size > 0) & (size <= SAMPLE_BYTES))
+    n = short.count()
+    least = -(1 << 63) + min((1 << 64) - 1, (SAMPLE_DOCS << 64) // max(n, 1))
+    few = short.where(F.xxhash64("id", "text") <= F.lit(least))  # so that tasks send few to the driver
+    return [r["text"] for r in few.select("text").orderBy("text").limit(2 * SAMPLE_DOCS).collect()]
+
+
 def train_dictionary(samples: list[bytes]) -> bytes:
     """A zstandard dictionary of serialized id arrays; too few of them are its content themselves."""
     samples = [s for s in samples if s]
@@ -179,9 +191,8 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id:
     width = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     told = spark.sparkContext.broadcast(spelt)
     docs = docs.select(col(id).cast("long").alias("id"), col(text).alias("text"))
-    short = docs.where(F.octet_length("text").between(1, SAMPLE_BYTES)).orderBy(F.xxhash64("id", "text"), "id").limit(SAMPLE_DOCS).collect()
     encoder = Encoder(spelt, width, end_id)
-    dictionary = train_dictionary([encoder(r["text"]) for r in short])
+    dictionary = train_dictionary([encoder(x) for x in sampled(docs)])
     digest = hashlib.sha256(dictionary).digest()
     files, path = opened(folder)
     files.create_dir(path, recursive=True)
