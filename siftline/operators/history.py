@@ -55,6 +55,15 @@ def best_strategy(candidates: DataFrame, stats: DataFrame, key: str, fixer: str)
     return x.withColumn("place", F.row_number().over(order))
 
 
+def suggestions(history: DataFrame, keys: list[str], success: str, ord: str, least: int = 3) -> DataFrame:
+    """Keys with ``least`` successes or more: their successes so far, and of the record that brought the ``least``-th its order and the success rate up to it, which stays."""
+    x = running_mean(history.withColumn("_ok", F.col(success).cast("int")), keys, "_ok", ord)
+    good = F.round(F.col("mean") * F.col("samples")).cast("long")
+    first = F.min(F.when(good == least, F.struct(F.col(ord).alias("at"), F.col("mean").alias("rate"))))
+    x = x.groupBy(*keys).agg(F.max(good).alias("successes"), first.alias("_f")).where(F.col("successes") >= least)
+    return x.select(*keys, "successes", F.col("_f.at").alias("suggested_at"), F.bround("_f.rate", 6).alias("success_rate"))
+
+
 def mode(df: DataFrame, keys: list[str], value: str, ord: str) -> DataFrame:
     """The most frequent value of each key, of equals the first seen."""
     x = df.groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(ord).alias("first"))

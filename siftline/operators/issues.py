@@ -314,4 +314,5 @@ def targets(listed: DataFrame, default: str = ".") -> DataFrame:
     x = listed.where(F.coalesce("path", F.lit("")) != "").groupBy("path").agg(F.min("ord").alias("ord"))
     none = x.sparkSession.createDataFrame([(default, -1)], "path string, ord long")
     x = x.unionByName(none.join(x.limit(1).select(F.lit(default).alias("path"), F.lit(1).alias("_any")), "path", "left_anti"))
-    return x.orderBy("ord").select("path")
+    place = F.row_number().over(Window.orderBy("ord", "path"))
+    return x.select(place.alias("place"), "path").orderBy("place")

@@ -126,9 +126,9 @@ def files_per_rule(s, d):
     return doc_findings(s, d).groupBy("type").agg(F.countDistinct("file").alias("files"), F.count("*").alias("n"))
 
 
-@query("context_snippets", f"{FOUND} SELECT f.file, f.line, f.rule, string_agg(l.line, chr(10) ORDER BY l.line_no) AS snippet FROM found f JOIN lines l ON l.file = f.file AND l.line_no BETWEEN f.line - 3 AND f.line + 3 GROUP BY ALL")
+@query("context_snippets", f"{FOUND} SELECT f.file, f.line, f.rule, left(string_agg(l.line, chr(10) ORDER BY l.line_no), 500) AS snippet FROM found f JOIN lines l ON l.file = f.file AND l.line_no BETWEEN f.line - 3 AND f.line + 3 GROUP BY ALL")
 def context_snippets(s, d):
-    return O.snippets(doc_findings(s, d), doc_lines(s, d), 3)
+    return O.snippets(doc_findings(s, d), doc_lines(s, d), 3, 500)
 
 
 @query("lookback_absent", f"WITH {LINES}, n AS (SELECT *, max(contains(line, 'the')) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS near FROM lines) SELECT 'missing' AS type, 'low' AS severity, file, line_no AS line FROM n WHERE regexp_matches(stripped, '^[A-Z]') AND NOT coalesce(near, false)")
@@ -422,11 +422,13 @@ def best_strategy(s, d):
     return H.best_strategy(x.select("type", "fixer", F.substring("fixer", 4, 9).cast("int").alias("reg")).distinct(), stats, "type", "fixer").select("type", "fixer", "place")
 
 
-@query("relevant_experiences", f"WITH {EX} SELECT ord, (CASE WHEN success THEN 1 ELSE 0.5 END + CASE WHEN fixer = 'fix3' THEN 0.5 ELSE 0 END)::DOUBLE AS relevance FROM x WHERE type = 'error' ORDER BY 2 DESC, ord LIMIT 5")
+@query("relevant_experiences", f"""WITH {EX}, r AS (SELECT type, ord, round((CASE WHEN success THEN 1 ELSE 0.5 END + CASE WHEN fixer = 'fix3' THEN 0.5 ELSE 0 END + CASE WHEN ord % 4 = 1 THEN 0.3 ELSE 0 END)::DOUBLE, 6) AS relevance FROM x)
+SELECT type, ord, relevance FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY relevance DESC, ord) AS k FROM r) WHERE k <= 5""")
 def relevant_experiences(s, d):
-    x = experience(s, d).where("type = 'error'")
-    r = H.relevance(F.col("success"), F.col("fixer"), F.lit("fix3"), F.lit("a"), F.lit("b"))
-    return x.select("ord", r.alias("relevance")).orderBy(F.desc("relevance"), "ord").limit(5)
+    """The five records of each type that suit a Python file of the folder fix3 best."""
+    suffix = F.element_at(F.array(*map(F.lit, ["js", "py", "ts", ""])), (F.col("ord") % 4 + 1).cast("int"))
+    r = F.round(H.relevance(F.col("success"), F.col("fixer"), F.lit("fix3"), suffix, F.lit("py")), 6)
+    return H.tail(experience(s, d).select("type", "ord", r.alias("relevance")), 5, [F.desc("relevance"), F.col("ord")], ["type"])
 
 
 @query("running_mean", f"WITH {EX} SELECT ord, round(avg(value) OVER (PARTITION BY type, fixer ORDER BY ord ROWS UNBOUNDED PRECEDING), 10) AS mean, count(*) OVER (PARTITION BY type, fixer ORDER BY ord ROWS UNBOUNDED PRECEDING) AS samples FROM x")
@@ -453,11 +455,10 @@ def convergence(s, d):
     return H.converged(day, ["event_type"], "date", "score").withColumn("date", F.col("date").cast("string"))
 
 
-@query("skill_suggestions", f"WITH {EX}, s AS (SELECT *, row_number() OVER (PARTITION BY type, fixer ORDER BY ord) AS k FROM x WHERE success) SELECT type, fixer, max(k) AS successes, max(CASE WHEN k = 3 THEN ord END) AS suggested_at FROM s GROUP BY type, fixer HAVING max(k) >= 3")
+@query("skill_suggestions", f"""WITH {EX}, s AS (SELECT *, sum(CASE WHEN success THEN 1 ELSE 0 END) OVER w AS k, count(*) OVER w AS n FROM x WINDOW w AS (PARTITION BY type, fixer ORDER BY ord ROWS UNBOUNDED PRECEDING))
+SELECT type, fixer, CAST(max(k) AS BIGINT) AS successes, min(CASE WHEN k = 3 THEN ord END) AS suggested_at, round_even(arg_min(3 / n, ord) FILTER (k = 3), 6) AS success_rate FROM s GROUP BY type, fixer HAVING max(k) >= 3""")
 def skill_suggestions(s, d):
-    k = F.row_number().over(Window.partitionBy("type", "fixer").orderBy("ord"))
-    x = experience(s, d).where("success").withColumn("k", k).groupBy("type", "fixer").agg(F.max("k").alias("successes"), F.max(F.when(F.col("k") == 3, F.col("ord"))).alias("suggested_at"))
-    return x.where("successes >= 3")
+    return H.suggestions(experience(s, d), ["type", "fixer"], "success", "ord")
 
 
 @query("operation_caps", "WITH o AS (SELECT event_id, user_id, CASE event_type WHEN 'error' THEN 'delete_file' WHEN 'click' THEN 'git_push' WHEN 'view' THEN 'overwrite_file' ELSE 'read' END AS op FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, op ORDER BY event_id) AS place FROM o) SELECT event_id, place <= CASE op WHEN 'delete_file' THEN 3 WHEN 'git_push' THEN 1 WHEN 'overwrite_file' THEN 10 ELSE 1000000000 END AS allowed FROM r")

@@ -99,6 +99,51 @@ def review_order(s, d):
     return x.orderBy(B.S.rank(F.col("severity"), 9), "file", "line").limit(40)
 
 
+# ---- all line rules: lines of thirty-two events make a file
+
+CODE_LINES = [
+    'cur.execute(f"select {x} # ")', 'cur.execute("select %s # " % q)', "cur.execute(a + b)", "cur.execute(query)", "    os.system(cmd)", "run(c, shell=True)", 'password = "hunter # "', "key = 'sk-0123456789abcdefghijABCDEFGHIJ # '", "    eval(x)", " " * 24 + "deep = 1",
+    "# TODO later", "x = 1  # fixme", "y = '" + "z" * 120 + "'", 'host = "10.0.0.7:80"', 'host = "127.0.0.1"', "requests.get(u)", "requests.post(u, timeout=3)", 'v = os.environ["K"]', 'v = os.getenv("K") or "d"', 'password = "test_x"', "# eval(x)", "plain = 1", "",
+]
+CODE_TEXT = f"""cl AS (SELECT event_id // 32 AS k, event_id, replace({choose_sql(CODE_LINES, 'event_id * 7919 + event_id // 11')}, ' # ', CAST(event_id AS VARCHAR)) AS line FROM events),
+lines AS (SELECT CASE WHEN k % 9 = 0 THEN 'test_' ELSE 'f' END || k || '.py' AS file, CAST(row_number() OVER (PARTITION BY k ORDER BY event_id) AS INTEGER) AS line_no, line, trim(line) AS stripped FROM cl)"""
+CODE_FOUND = f"WITH {CODE_TEXT}, {B.rules_sql()}"
+
+
+def code_findings(s, d):
+    line = F.replace(choose(CODE_LINES, "event_id * 7919 + event_id DIV 11"), F.lit(" # "), F.col("event_id").cast("string"))
+    x = t(s, d, "events").groupBy(F.expr("event_id DIV 32").alias("k")).agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("ls"))
+    x = x.select(F.concat(F.when(F.col("k") % 9 == 0, "test_").otherwise("f"), F.col("k").cast("string"), F.lit(".py")).alias("file"), F.array_join("ls.line", "\n").alias("text"))
+    return O.scan_lines(O.source_lines(x, "file", "text"))
+
+
+@query("code_rules", f"{CODE_FOUND} SELECT * FROM found")
+def code_rules(s, d):
+    return code_findings(s, d)
+
+
+@query("code_project_score", f"{CODE_FOUND}, c AS (SELECT {B.COUNTS} FROM found) SELECT *, {B.SCORE} AS score FROM c")
+def code_project_score(s, d):
+    return O.project_score(code_findings(s, d))
+
+
+@query("code_file_scores", f"{CODE_FOUND}, c AS (SELECT file, {B.COUNTS} FROM found GROUP BY file) SELECT c.file, {', '.join(V.SEVERITIES)}, r.score FROM c JOIN (SELECT file, CAST(greatest(0, 100 - sum({B.sql_map(V.REVIEW_WEIGHTS, 'severity', '2')})) AS INTEGER) AS score FROM found GROUP BY file) r USING (file)")
+def code_file_scores(s, d):
+    f = code_findings(s, d)
+    counts = f.groupBy("file").agg(*(F.count_if(F.col("severity") == x).alias(x) for x in V.SEVERITIES))
+    return counts.join(O.review(f).select("file", "score"), "file")
+
+
+@query("code_dimension_scores", f"{CODE_FOUND}, {B.DIMENSIONS} SELECT * FROM dd")
+def code_dimension_scores(s, d):
+    return O.dimension_scores(code_findings(s, d))
+
+
+@query("code_overall_score", f"{CODE_FOUND}, {B.DIMENSIONS}, w(dimension, weight) AS (VALUES {', '.join(f'({k!r}, {v}::DOUBLE)' for k, v in V.DIMENSION_WEIGHTS.items())}) SELECT CAST(trunc(sum(coalesce(score, 100) * weight) / sum(weight)) AS INTEGER) AS overall, count_if(score < 100) AS below FROM w LEFT JOIN dd USING (dimension)")
+def code_overall_score(s, d):
+    return O.overall(O.dimension_scores(code_findings(s, d)))
+
+
 # ---- taint and syntax over code
 
 FLOW = [
@@ -108,12 +153,12 @@ FLOW = [
 
 
 def flow_files(s, d):
-    x = t(s, d, "events").withColumn("k", F.expr("event_id DIV 24")).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("event_id", choose(FLOW, "event_id * 7919 + event_id DIV 7").alias("line")))).alias("ls"))
+    x = t(s, d, "events").withColumn("k", F.expr("event_id DIV 24")).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("event_id", choose(FLOW, "(event_id * 40503 % 65536) DIV 64").alias("line")))).alias("ls"))
     return x.select(F.col("k").alias("file"), F.array_join(F.col("ls.line"), "\n").alias("text"))
 
 
 # Variables hand on taint in a ring (x to y, y to x and z, z to w), so lines are folded one by one: each is a level of the recursion.
-@query("taint_candidates", f"""WITH RECURSIVE l AS (SELECT event_id // 24 AS k, CAST(row_number() OVER (PARTITION BY event_id // 24 ORDER BY event_id) AS INTEGER) AS n, {choose_sql(FLOW, 'event_id * 7919 + event_id // 7')} AS line FROM events),
+@query("taint_candidates", f"""WITH RECURSIVE l AS (SELECT event_id // 24 AS k, CAST(row_number() OVER (PARTITION BY event_id // 24 ORDER BY event_id) AS INTEGER) AS n, {choose_sql(FLOW, '(event_id * 40503 % 65536) // 64')} AS line FROM events),
 s(k, n, line, x, y, z, w) AS (SELECT DISTINCT k, 0, '', NULL::STRUCT(src INTEGER, hops VARCHAR[]), NULL::STRUCT(src INTEGER, hops VARCHAR[]), NULL::STRUCT(src INTEGER, hops VARCHAR[]), NULL::STRUCT(src INTEGER, hops VARCHAR[]) FROM l
   UNION ALL SELECT s.k, l.n, trim(l.line),
     CASE WHEN l.line LIKE 'x = input%' THEN {{'src': l.n, 'hops': CAST([] AS VARCHAR[])}} WHEN l.line = 'x = int(x)' THEN NULL WHEN l.line = 'x = y' AND y IS NOT NULL THEN {{'src': y.src, 'hops': list_append(y.hops, 'assign')}} ELSE x END,
@@ -143,17 +188,22 @@ def syntax_findings(s, d):
     return syntax_rules(t(s, d, "events").select(F.col("event_id").alias("file"), choose(TREES, "event_id").alias("text")))
 
 
-@query("imports_changed", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'import b' ELSE 'from c import d' END AS added, CASE event_id % 3 WHEN 0 THEN 'import a' ELSE '' END AS removed FROM events")
+@query("imports_changed", """WITH x AS (SELECT event_id, ['import m' || event_id % 5, 'import k'] AS old, CASE WHEN event_id % 3 = 0 THEN ['import m' || user_id % 5, 'from p' || event_id % 4 || ' import q'] ELSE ['import m' || user_id % 5, 'import k'] END AS new FROM events)
+SELECT event_id, array_to_string(list_filter(new, lambda i: NOT list_contains(old, i)), ',') AS added, array_to_string(list_filter(old, lambda i: NOT list_contains(new, i)), ',') AS removed FROM x""")
 def imports_changed(s, d):
-    before = I.imports_of(F.lit("import a\nx = 1"))
-    after = I.imports_of(choose(["x = 2", "import a\n  import b\n", "import a\nfrom c import d\ny = from_(z)"], "event_id"))
+    n, u = F.col("event_id"), F.col("user_id")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    before = I.imports_of(text("import m", n % 5, "\nimport k\nx = import_all(", n, ")"))
+    after = I.imports_of(text("import m", u % 5, "\n", F.when(n % 3 == 0, text("  from p", n % 4, " import q\n")).otherwise("import k\n"), "y = from_(", n, ")"))
     trimmed = lambda xs: F.transform(xs, lambda x: F.trim(x))
     return t(s, d, "events").select("event_id", F.array_join(F.array_except(trimmed(after), trimmed(before)), ",").alias("added"), F.array_join(F.array_except(trimmed(before), trimmed(after)), ",").alias("removed"))
 
 
-@query("signatures_kept", "SELECT event_id, event_id % 3 <> 1 AS kept FROM events")
+@query("signatures_kept", "SELECT event_id, event_id % 7 = 0 OR event_id % 3 = user_id % 3 AS kept FROM events")
 def signatures_kept(s, d):
-    return t(s, d, "events").select("event_id", I.signature_kept(F.lit("def f(a):\n    pass"), choose(["def f(a):\n    return 1", "def f(a, b):\n    pass", "def g():\n    pass"], "event_id"), "f").alias("kept"))
+    head = lambda n, rest: F.concat(F.lit("def f(a"), n.cast("string"), F.lit(f"):\n    {rest}"))
+    n, u = F.col("event_id"), F.col("user_id")
+    return t(s, d, "events").select("event_id", I.signature_kept(head(n % 3, "pass"), F.when(n % 7 == 0, F.concat(F.lit("def g"), n.cast("string"), F.lit("():\n    pass"))).otherwise(head(u % 3, "return 1")), "f").alias("kept"))
 
 
 # ---- tool output, logs, task lists and caches
@@ -170,31 +220,49 @@ def lint_findings(s, d):
     return x.select("event_id", "type", "severity", "dimension", "file", "line", "suggestion", "scanner")
 
 
-@query("todo_tasks", "SELECT user_id, 't' || k AS task_id, CASE k WHEN 0 THEN '' ELSE 't0,t' || (k - 1) END AS depends, CASE k WHEN 1 THEN 500 ELSE 2000 END AS token_est, CASE k WHEN 2 THEN '' ELSE 'do ' || k END AS description FROM (SELECT DISTINCT user_id FROM events), range(3) r(k)")
+def todo_lists(s, d):
+    """Task lists of sixteen events each: done or open, with what an entry waits for, its tokens and its words, or without them."""
+    n = F.col("event_id")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    words = F.when(n % 7 == 0, "").when(n % 3 == 0, text("  描述: old\n  描述: do ", F.col("event_type"), "\n")).otherwise(text("  描述: do ", n, " \n"))
+    waits = F.when(n % 4 == 0, "  依赖: 无\n").when(n % 4 == 1, text("  依赖: t", n - 1, "\n")).when(n % 4 == 2, text("  依赖: t", n - 1, ",  t", n - 2, "\n")).otherwise("")
+    entry = F.when(n % 6 == 5, text("- [x] 任务ID: t", n, "\n")).otherwise(text("- [ ] 任务ID: t", n, "\n", words, waits, F.when(n % 5 == 0, text("  预估 token 量: ", 100 + n % 900, "\n")).otherwise("")))
+    x = t(s, d, "events").groupBy(F.expr("event_id DIV 16").alias("list")).agg(F.array_sort(F.collect_list(F.struct("event_id", entry.alias("e")))).alias("es"))
+    return x.select("list", F.concat(F.lit("# tasks\n"), F.array_join("es.e", "")).alias("text"))
+
+
+TODO = """td AS (SELECT event_id // 16 AS list, event_id, 't' || event_id AS task_id, CASE event_id % 4 WHEN 1 THEN 't' || (event_id - 1) WHEN 2 THEN 't' || (event_id - 1) || ',t' || (event_id - 2) ELSE '' END AS depends,
+  CASE WHEN event_id % 5 = 0 THEN 100 + event_id % 900 ELSE 2000 END AS token_est, CASE WHEN event_id % 7 = 0 THEN '' WHEN event_id % 3 = 0 THEN 'do ' || event_type ELSE 'do ' || event_id END AS description FROM events WHERE event_id % 6 <> 5)"""
+
+
+@query("todo_tasks", f"WITH {TODO} SELECT list, task_id, depends, CAST(token_est AS INTEGER) AS token_est, description FROM td")
 def todo_tasks(s, d):
-    text = "# list\n- [ ] 任务ID: t0\n  描述: do 0\n  依赖: 无\n- [x] 任务ID: done\n- [ ] 任务ID: t1\n  描述: do 1\n  依赖: t0, t0\n  预估 token 量: 500\n- [ ] 任务ID: t2\n  依赖: t0, t1\n"
-    x = tools.todo_tasks(t(s, d, "events").select("user_id").distinct().withColumn("text", F.lit(text)), ["user_id"])
-    return x.withColumn("depends", F.array_join("depends", ","))
+    return tools.todo_tasks(todo_lists(s, d), ["list"]).withColumn("depends", F.array_join("depends", ","))
 
 
-@query("pending_tasks", "SELECT event_id, 't' || (event_id % 4) AS task_id, CASE event_id % 4 WHEN 1 THEN 't0' ELSE '' END AS depends, CASE event_id % 4 WHEN 1 THEN 500 ELSE 2000 END AS token_est FROM events")
+@query("pending_tasks", f"WITH {TODO} SELECT event_id, 't' || event_id AS task_id, coalesce(depends, '') AS depends, CAST(coalesce(token_est, 2000) AS INTEGER) AS token_est, coalesce(description, '') AS description FROM (SELECT event_id FROM events WHERE event_id % 2 = 1) e LEFT JOIN td USING (event_id)")
 def pending_tasks(s, d):
-    lists = t(s, d, "events").select("event_id").withColumn("text", F.lit("- [ ] 任务ID: t1\n  依赖: t0\n  预估 token 量: 500\n- [ ] 任务ID: t2"))
-    ids = t(s, d, "events").select("event_id", F.concat(F.lit("t"), (F.col("event_id") % 4).cast("string")).alias("task_id"), F.lit(0).alias("ord"))
-    x = tools.pending(ids, tools.todo_tasks(lists, ["event_id"]), ["event_id"])
-    return x.select("event_id", "task_id", F.array_join("depends", ",").alias("depends"), "token_est")
+    ids = t(s, d, "events").where("event_id % 2 = 1").select(F.expr("event_id DIV 16").alias("list"), F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("task_id"), F.col("event_id").alias("ord"))
+    x = tools.pending(ids, tools.todo_tasks(todo_lists(s, d), ["list"]), ["list"])
+    return x.select(F.col("ord").alias("event_id"), "task_id", F.array_join("depends", ",").alias("depends"), "token_est", "description")
 
 
-@query("top_level_settings", "SELECT user_id, unnest(['name', 'paths', 'level']) AS key, unnest(['sift', NULL, NULL]) AS value, unnest(['', 'a,b', '']) AS items FROM (SELECT DISTINCT user_id FROM events)")
+@query("top_level_settings", """WITH u AS (SELECT user_id, count(*) AS n, max(event_id) AS top FROM events GROUP BY user_id)
+SELECT user_id, 'name' AS key, 'last' || n AS value, '' AS items FROM u UNION ALL SELECT user_id, 'paths', NULL, array_to_string(list_transform(range(user_id % 4), lambda i: 'p' || (user_id + i)), ',') FROM u
+UNION ALL SELECT user_id, 'level', NULL, '' FROM u UNION ALL SELECT user_id, 'size', CAST(top AS VARCHAR), '' FROM u""")
 def top_level_settings(s, d):
-    text = "# settings\nname: 'sift'\npaths:\n  - a\n  - 'b'\nlevel:\n  deep: 1\n"
-    x = tools.top_level(t(s, d, "events").select("user_id").distinct().withColumn("text", F.lit(text)), ["user_id"])
-    return x.withColumn("items", F.array_join("items", ","))
+    u = t(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("top"))
+    k = F.col("user_id")
+    items = F.when(k % 4 == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(k % 4 - 1, F.lit(0))), lambda i: F.concat(F.lit("  - '"), F.lit("p"), (k + i).cast("string"), F.lit("'\n"))), ""))
+    text = F.concat(F.lit("# of "), k.cast("string"), F.lit("\nname: 'first'\npaths:\n"), items, F.lit("\nlevel:\n  deep: 1\nsize: "), F.col("top").cast("string"), F.lit('\nname: "last'), F.col("n").cast("string"), F.lit('"\n'))
+    return tools.top_level(u.select("user_id", text.alias("text")), ["user_id"]).withColumn("items", F.array_join("items", ","))
 
 
-@query("number_settings", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 7 ELSE 0.8 END::DOUBLE AS auto FROM events")
+@query("number_settings", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id % 100 / 100 WHEN 1 THEN user_id ELSE 0.8 END::DOUBLE AS auto FROM events")
 def number_settings(s, d):
-    return t(s, d, "events").select("event_id", tools.number_setting(choose(["gate:\n  auto: 0.9\n", "auto = 7", "x: 1"], "event_id"), "auto", 0.8).alias("auto"))
+    n = F.col("event_id")
+    text = F.when(n % 4 == 0, F.concat(F.lit("gate:\n  auto: 0."), F.lpad((n % 100).cast("string"), 2, "0"), F.lit("\n"))).when(n % 4 == 1, F.concat(F.lit("auto = "), F.col("user_id").cast("string"))).when(n % 4 == 2, F.concat(F.lit("semiauto: "), n.cast("string"))).otherwise(F.concat(F.lit("auto: "), F.col("event_type")))
+    return t(s, d, "events").select("event_id", tools.number_setting(text, "auto", 0.8).alias("auto"))
 
 
 @query("run_rows", """WITH x AS (SELECT event_id, event_id % 3 AS k FROM events WHERE event_id % 5 <> 0), o AS (SELECT *, lpad(CAST(event_id AS VARCHAR), 9, '0') AS n FROM x ORDER BY event_id DESC LIMIT 60)

@@ -194,10 +194,12 @@ def run_progress(s, d):
 B.ORACLES["run_progress"] = "WITH c AS (SELECT conv_id, turn, max(role) AS role, max(CASE WHEN turn % 2 = 0 THEN length(text) END) AS n FROM conversations GROUP BY ALL) SELECT conv_id AS run_id, arg_max(role, turn) AS phase, arg_max(n, turn) AS chars FROM c GROUP BY conv_id"
 
 
-@query("dimension_summaries", "SELECT user_id AS run_id, CAST(k AS INTEGER) AS place, 'd' || k AS dimension, CAST(CASE WHEN k % 2 = 0 THEN user_id % 100 ELSE 0 END AS INTEGER) AS score, CAST(k AS INTEGER) AS issues, CASE WHEN k % 3 = 0 THEN 'd' || k ELSE 'label' END AS label FROM (SELECT DISTINCT user_id FROM events), range(9) r(k)")
+@query("dimension_summaries", """WITH c AS (SELECT user_id AS run_id, event_type || event_id % 3 AS name, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY name) - 1 AS place FROM c)
+SELECT run_id, CAST(place AS INTEGER) AS place, name AS dimension, CASE WHEN n % 2 = 0 THEN n % 100 ELSE 0 END AS score, n AS issues, CASE WHEN n % 3 = 0 THEN name ELSE 'has ' || n END AS label FROM p WHERE place < 9""")
 def dimension_summaries(s, d):
-    dims = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.struct(F.concat(F.lit("d"), k.cast("string")).alias("name"), F.when(k % 2 == 0, (F.col("run_id") % 100).cast("int")).alias("score"), k.alias("issue_count"), F.when(k % 3 != 0, "label").alias("label")))
-    return R.dimension_summary(t(s, d, "events").select(F.col("user_id").alias("run_id")).distinct().withColumn("dimensions", dims))
+    c = t(s, d, "events").groupBy(F.col("user_id").alias("run_id"), F.concat("event_type", (F.col("event_id") % 3).cast("string")).alias("name")).agg(F.count("*").alias("n"))
+    dim = F.struct("name", F.when(F.col("n") % 2 == 0, F.col("n") % 100).alias("score"), F.col("n").alias("issue_count"), F.when(F.col("n") % 3 != 0, F.concat(F.lit("has "), F.col("n").cast("string"))).alias("label"))
+    return R.dimension_summary(c.groupBy("run_id").agg(F.array_sort(F.collect_list(dim)).alias("dimensions")))
 
 
 @query("log_tail", "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 10")
@@ -299,10 +301,13 @@ def best_patterns(s, d):
     return E.best_patterns(issues, E.fix_patterns(x)).select("id", F.round("score", 6).alias("score"))
 
 
-@query("apply_patterns", """WITH x AS (SELECT event_id, event_id % 3 AS k FROM events) SELECT CAST(event_id AS VARCHAR) AS file, CASE k WHEN 0 THEN 'a = 2' || chr(10) || 'a = 1' ELSE 'a = 1' || chr(10) || 'a = 1' END AS text, k = 0 AS applied FROM x""")
+@query("apply_patterns", """WITH x AS (SELECT *, event_id % 3 = user_id % 3 AND event_id % 4 <> 1 AS applied, 'a' || (user_id % 3) || ' = 1' AS line FROM events)
+SELECT CAST(event_id AS VARCHAR) AS file, CASE WHEN applied THEN 'b' || event_id || ' = 2' ELSE line END || chr(10) || line AS text, applied FROM x""")
 def apply_patterns(s, d):
-    k = F.col("event_id") % 3
-    return E.apply_patterns(t(s, d, "events").select(F.col("event_id").cast("string").alias("file"), F.lit("a = 1\na = 1").alias("text"), F.when(k == 2, "b").otherwise("a = 1").alias("code_before"), F.when(k == 1, "(").otherwise("a = 2").alias("code_after")))
+    n = F.col("event_id")
+    line = lambda k: F.concat(F.lit("a"), (k % 3).cast("string"), F.lit(" = 1"))
+    own = line(F.col("user_id"))
+    return E.apply_patterns(t(s, d, "events").select(n.cast("string").alias("file"), F.concat(own, F.lit("\n"), own).alias("text"), line(n).alias("code_before"), F.when(n % 4 == 1, F.concat(F.lit("(b"), n.cast("string"))).otherwise(F.concat(F.lit("b"), n.cast("string"), F.lit(" = 2"))).alias("code_after")))
 
 
 @query("experience_overview", f"WITH {XP}, g AS (SELECT type, fixer, count(*) AS n, count_if(success) AS ok FROM xp GROUP BY ALL) SELECT CAST(sum(n) AS BIGINT) AS experiences, count(*) AS patterns, count_if(ok >= 3) AS suggestions FROM g")
@@ -394,9 +399,13 @@ def project_review(s, d):
 LISTS = " ".join(f"WHEN type IN ({listed(v)}) THEN '{k}'" for k, v in (("security", V.SECURITY_REVIEWS), ("performance", V.PERFORMANCE_REVIEWS), ("quality", V.QUALITY_REVIEWS)))
 
 
-@query("review_lists", f"WITH {FIND} SELECT CASE {LISTS} END AS list, count(*) AS n, count_if(severity = 'critical') AS critical FROM f GROUP BY 1")
+REVIEWED = [*V.SECURITY_REVIEWS, *V.PERFORMANCE_REVIEWS, *V.QUALITY_REVIEWS, "other"]
+
+
+@query("review_lists", f"""WITH f AS (SELECT {choose_sql(REVIEWED, 'event_id // 3')} AS type, value FROM events) SELECT CASE {LISTS} END AS list, type, count(*) AS n, count_if(value > 40) AS critical FROM f GROUP BY ALL""")
 def review_lists(s, d):
-    return finds(s, d).groupBy(I.review_lists(F.col("type")).alias("list")).agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "critical").alias("critical"))
+    x = t(s, d, "events").select(choose(REVIEWED, "event_id DIV 3").alias("type"), "value")
+    return x.groupBy(I.review_lists(F.col("type")).alias("list"), "type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 40).alias("critical"))
 
 
 FIXABLE = ["bare_except", "print_used", "sql_injection"]
@@ -506,32 +515,39 @@ def check_chains(s, d):
     return I.chain(t(s, d, "events").select("user_id", F.col("event_id").alias("ord"), choose(["syntax", "rescan", "import"], "event_id").alias("name"), ok.alias("passed"), F.when(ok, 0.05).otherwise(-0.3).alias("delta")), ["user_id"])
 
 
-@query("fix_checks", """WITH x AS (SELECT event_id AS fix, event_id % 5 = 0 AS broken, event_id % 3 = 0 AS remains, event_id % 2 = 0 AS about, event_id % 7 AS m FROM events)
+@query("fix_checks", """WITH x AS (SELECT event_id AS fix, value < 8 AS broken, user_id % 3 = 0 AS remains, event_id % 2 = 0 AS about, event_id % 7 AS m FROM events WHERE value IS NOT NULL)
 SELECT fix, 0 AS ord, 'syntax' AS name, NOT broken AS passed, CASE WHEN broken THEN -0.3 ELSE 0.05 END::DOUBLE AS delta FROM x UNION ALL SELECT fix, 1, 'rescan', NOT remains, CASE WHEN remains THEN -0.2 ELSE 0.15 END FROM x
 UNION ALL SELECT fix, 2, 'import', NOT about OR m <> 1, CASE WHEN NOT about OR m > 1 THEN 0 WHEN m = 0 THEN 0.1 ELSE -0.15 END FROM x""")
 def fix_checks(s, d):
     n = F.col("event_id")
-    x = t(s, d, "events").select(n.alias("fix"), F.when(n % 2 == 0, "unused_import").otherwise("dead_code").alias("type"), n.cast("string").alias("file"), F.lit("edit").alias("action"), F.when(n % 5 == 0, "def (").otherwise("a = 1").alias("text"))
-    remaining = x.where("fix % 3 = 0").select("type", "file")
+    text = F.concat(F.lit("def f"), n.cast("string"), F.when(F.col("value") < 8, "(").otherwise("():\n    return "), F.col("user_id").cast("string"))
+    x = t(s, d, "events").where("value IS NOT NULL").select(n.alias("fix"), F.when(n % 2 == 0, "unused_import").otherwise("dead_code").alias("type"), n.cast("string").alias("file"), F.lit("edit").alias("action"), text.alias("text"), "user_id")
+    remaining = x.where("user_id % 3 = 0").select("type", "file")
     imports = x.where("fix % 7 < 2").select("file", (F.col("fix") % 7 == 0).alias("ok"))
-    return I.checks(x, remaining, imports)
-
-
-TEXTS = ["import a\nimport b\nx = d.get('k', 'v')\n", "import a\nx = d.get('k', 'v')\n", "import a\nimport b\nx = d.get('k')\n", "import a\nimport b\nx = d.get('k', 'v')\n" + "y\n" * 30, "import b\nimport a\nimport c\nx = d.get('k', 'v')\n"]
+    return I.checks(x.drop("user_id"), remaining, imports)
 
 
-@query("over_modified", "SELECT event_id, CASE event_id % 5 WHEN 1 THEN 'imports lost' WHEN 2 THEN 'defaults lost' WHEN 3 THEN 'grown' END AS why FROM events")
+@query("over_modified", """WITH x AS (SELECT event_id, (event_id * 7) % 45 - event_id % 30 - CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS n FROM events)
+SELECT event_id, CASE WHEN n > 20 THEN 'grown' WHEN n < -10 THEN 'shrunk' WHEN event_id % 5 = 0 THEN 'defaults lost' WHEN event_id % 3 = 0 THEN 'imports lost' END AS why FROM x""")
 def over_modified(s, d):
-    x = t(s, d, "events").select("event_id", F.lit(TEXTS[0].replace("'", '"')).alias("before"), F.replace(choose(TEXTS, "event_id"), F.lit("'"), F.lit('"')).alias("after"))
-    return x.select("event_id", I.over_modified(F.col("before"), F.col("after")).alias("why"))
-
-
-AFTER = ["def f(a):\n    return 1\nx = 1", "def f(a, b):\n    return 1\nx = 1", "def f(a):\n    return 1", "def f(a:\n    return 1\nx"]
-
-
-@query("acceptance", "SELECT event_id AS change, event_id % 4 <> 1 AS signature_ok, event_id % 4 <> 3 AS syntax_ok, event_id % 4 <> 2 AS diff_ok, CASE WHEN event_id % 2 = 0 THEN true END AS test_ok, event_id % 4 = 0 AS passed, CASE WHEN event_id % 4 = 0 THEN '通过' WHEN event_id % 3 = 2 THEN '协调者接管' ELSE '打回重做' END AS action, event_id % 3 + CASE WHEN event_id % 4 = 0 THEN 0 ELSE 1 END AS rework FROM events")
+    n, u = F.col("event_id"), F.col("user_id")
+    imports = lambda first: F.transform(F.sequence(first, u % 4 + 1), lambda i: F.concat(F.lit("import m"), i.cast("string")))
+    text = lambda first, default, lines: F.array_join(F.concat(imports(first), F.array(default), F.array_repeat(F.lit("y"), lines.cast("int"))), "\n")
+    kept = F.concat(F.lit('x = d.get("k'), n.cast("string"), F.lit('", "v")'))
+    zero = F.lit(0).cast("long")
+    before, after = text(zero, kept, n % 30), text(F.when(n % 3 == 0, F.lit(1).cast("long")).otherwise(zero), F.when(n % 5 == 0, F.lit('x = d.get("k")')).otherwise(kept), n * 7 % 45)
+    return t(s, d, "events").select("event_id", I.over_modified(before, after).alias("why"))
+
+
+@query("acceptance", """WITH x AS (SELECT event_id AS change, event_id % 5 IN (2, 4) OR event_id % 2 = user_id % 2 AS signature_ok, event_id % 5 <> 2 AS syntax_ok, event_id % 5 NOT IN (1, 3) AS diff_ok, event_id % 3 AS rework FROM events)
+SELECT change, signature_ok, syntax_ok, diff_ok, CASE WHEN change % 2 = 0 THEN true END AS test_ok, signature_ok AND syntax_ok AND diff_ok AS passed, CASE WHEN signature_ok AND syntax_ok AND diff_ok THEN '通过' WHEN rework >= 2 THEN '协调者接管' ELSE '打回重做' END AS action,
+  rework + CASE WHEN signature_ok AND syntax_ok AND diff_ok THEN 0 ELSE 1 END AS rework FROM x""")
 def acceptance(s, d):
-    x = t(s, d, "events").select(F.col("event_id").alias("change"), F.lit("def f(a):\n    return 1").alias("before"), choose(AFTER, "event_id").alias("after"), F.when(F.col("event_id") % 2 == 1, "t.py").alias("test_file"), (F.col("event_id") % 3).alias("rework"))
+    n, u = F.col("event_id"), F.col("user_id")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    after = F.when(n % 5 == 0, text("def f(a", u % 2, "):\n    return ", n, "\nx = 1\ny = ", n)).when(n % 5 == 1, text("def f(a", u % 2, "):\n    return ", n, "\nx = 2")).when(n % 5 == 2, text("def f(a", n, ":\n    return 1"))
+    after = after.when(n % 5 == 3, text("def f(a", u % 2, "):\n    return 1", F.repeat(F.lit("\nx = 1"), 203))).otherwise(text("def g", n, "():\n    return 1"))
+    x = t(s, d, "events").select(n.alias("change"), text("def f(a", n % 2, "):\n    return 1\nx = 1").alias("before"), after.alias("after"), F.when(n % 2 == 1, "t.py").alias("test_file"), (n % 3).alias("rework"))
     return I.acceptance(x, ["f"])
 
 
@@ -540,10 +556,11 @@ def processed_fixes(s, d):
     return I.processed(finds(s, d).withColumn("success", F.col("severity") != "low")).groupBy("decision", "outcome").agg(F.count("*").alias("n"))
 
 
-@query("best_candidates", "SELECT user_id AS issue, arg_max(event_id, (round(0.5::DOUBLE * coalesce(CASE WHEN event_id % 9 > 0 THEN (event_id % 9) / 10 END, 0.5) + 0.5::DOUBLE * (1 - (event_id % 3 + 1) / 3), 9), -event_id)) AS ord FROM events WHERE event_id % 4 <> 0 GROUP BY user_id")
+@query("best_candidates", "SELECT user_id AS issue, arg_max(event_id, (round(0.5::DOUBLE * coalesce(CASE WHEN event_id % 9 > 0 THEN (event_id % 9) / 10 END, 0.5) + 0.5::DOUBLE * (1 - (event_id % 3 + 1) / (3 + user_id % 5)), 9), -event_id)) AS ord FROM events WHERE event_id % 4 <> 0 GROUP BY user_id")
 def best_candidates(s, d):
-    n = F.col("event_id")
-    x = t(s, d, "events").select(F.col("user_id").alias("issue"), n.alias("ord"), F.lit("a = 1\nb = 2\nc = 3").alias("text"), F.lit(1).alias("first"), (n % 3 + 1).cast("int").alias("last"), F.when(n % 4 == 0, "(").otherwise("z = 9").alias("replacement"), F.when(n % 9 > 0, (n % 9) / 10).alias("confidence"))
+    n, u = F.col("event_id"), F.col("user_id")
+    text = F.array_join(F.transform(F.sequence(F.lit(1), (u % 5 + 3).cast("int")), lambda i: F.concat(F.lit("v"), i.cast("string"), F.lit(" = "), u.cast("string"))), "\n")
+    x = t(s, d, "events").select(u.alias("issue"), n.alias("ord"), text.alias("text"), F.lit(1).alias("first"), (n % 3 + 1).cast("int").alias("last"), F.when(n % 4 == 0, F.concat(F.lit("f("), n.cast("string"))).otherwise(F.concat(F.lit("z = "), n.cast("string"))).alias("replacement"), F.when(n % 9 > 0, (n % 9) / 10).alias("confidence"))
     return I.best_candidates(x).select("issue", "ord")
 
 
@@ -575,12 +592,14 @@ def delegate_decisions(s, d):
     return x.select("o_orderkey", I.delegate_decision(F.lit("t"), choose(CATEGORY, "o_custkey"), F.lit(""), F.col("o_orderkey") % 3000, F.col("o_totalprice") / 100000, F.lit(5.0)).alias("delegate"))
 
 
-PATHS = ["src/a.py", "src/config.yaml", "etc/x", "src/../y", "tests/b.py"]
+PATH = "['src/', 'tests/', 'etc/', 'srcx/'][event_id % 4 + 1] || ['', '../', 'deep/', 'a..b/'][event_id // 4 % 4 + 1] || CASE WHEN user_id % 5 = 0 THEN 'config.yaml' ELSE event_type || event_id || '.py' END"
 
 
-@query("writable_paths", "SELECT event_id, event_id % 5 IN (0, 4) AS ok FROM events")
+@query("writable_paths", f"SELECT event_id, (starts_with(p, 'src/') OR starts_with(p, 'tests/')) AND NOT ends_with(p, '/config.yaml') AND NOT contains(p, '..') AS ok FROM (SELECT event_id, {PATH} AS p FROM events)")
 def writable_paths(s, d):
-    return t(s, d, "events").select("event_id", I.writable(choose(PATHS, "event_id"), ["src", "tests"], ["config.yaml"]).alias("ok"))
+    name = F.when(F.col("user_id") % 5 == 0, "config.yaml").otherwise(F.concat("event_type", F.col("event_id").cast("string"), F.lit(".py")))
+    path = F.concat(choose(["src/", "tests/", "etc/", "srcx/"], "event_id"), choose(["", "../", "deep/", "a..b/"], "event_id DIV 4"), name)
+    return t(s, d, "events").select("event_id", I.writable(path, ["src", "tests"], ["config.yaml"]).alias("ok"))
 
 
 @query("checked_rows", "SELECT event_id, CASE WHEN event_type = 'view' THEN 'event_type' WHEN user_id % 2 = 1 THEN 'parity' END AS bad FROM events")
@@ -589,9 +608,10 @@ def checked_rows(s, d):
     return I.checked(x, {"event_type": ["click", "purchase", "error", "signup"], "parity": ["0"]}).select("event_id", "bad")
 
 
-@query("scan_targets", "SELECT event_type AS path FROM events GROUP BY 1")
+@query("scan_targets", "SELECT CAST(row_number() OVER (ORDER BY min(event_id)) AS INTEGER) AS place, event_type || user_id AS path FROM events WHERE user_id % 4 <> 0 GROUP BY path")
 def scan_targets(s, d):
-    return I.targets(t(s, d, "events").select(F.col("event_type").alias("path"), F.col("event_id").alias("ord")))
+    path = F.when(F.col("user_id") % 4 != 0, F.concat("event_type", F.col("user_id").cast("string"))).when(F.col("event_id") % 2 == 0, "")
+    return I.targets(t(s, d, "events").select(path.alias("path"), F.col("event_id").alias("ord")))
 
 
 @query("priority_order", f"WITH {FIND}, x AS (SELECT *, {B.FP} AS fingerprint FROM f), y AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY {RANK}, ord) AS r FROM x), z AS (SELECT *, CASE {B.COMPLEX} WHEN 'simple' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS c FROM y WHERE r = 1) SELECT CAST(row_number() OVER (ORDER BY {RANK}, c, file, line, ord) AS INTEGER) AS place, ord FROM z ORDER BY 1 LIMIT 50")

@@ -7,22 +7,9 @@ from siftline.operators import experience as E
 from siftline.operators import findings as O
 from siftline.operators import issues as I
 from siftline.operators import rounds as R
-from siftline.operators import taint as T
 from siftline.sources import readers, tools
 
 
-def test_taint_lines():
-    found = T.fold(["# x = input()", "x = request.form['a']", "y, z = f'{x}', 1", 'w = "a" + x', "self.v = w", "# eval(w)", '"""eval(w)', "cur.execute(w + v)", "eval(1)"])
-    assert {(c[8], c[6]) for c in found if c[5] == 8} == {("w", 1), ("v", 2)}
-    kinds = [(c[1], c[3], c[9]) for c in found if c[8] == "w"]
-    assert kinds[0][:2] == ("http_body", "sql_query") and kinds[0][2] == pytest.approx(0.9) and len(kinds) == 2  # two patterns match
-    assert found[0][10].split("\n")[0] == "      1 | # x = input()" and ">>    2 | x = request" in found[0][10] and ">>    8 | cur" in found[0][10]
-    assert T.target("self.a = 1") == "self.a" and T.target("a, b = 1") == "a" and T.target("a: int = 1") == "a" and T.target("f(a)") is None
-    assert [T.hop_type(x) for x in ("f'{a}'", "a + b", "'%s' % a", "'{}'.format(a)", "a")] == ["fstring", "concat", "format", "format", "assign"]
-    assert len(T.fold(["x = input()"] + ["eval(x)"] * 50)) == T.MOST and T.fold([]) == []
-    assert T.fold(["x = input()", "y = int(x)", "eval(y)", "x = escape(x)", "eval(x)"]) == []
-
-
 def test_rules_that_look_ahead(spark):
     text = "def test_a():\n    # later\n    pass\nx = 1\ndef test_b():\n    f()\n    return\n        y()\nclass C:\n    z = 1\ndef _hidden():\n    a = 1\ndef shown():\n    '''doc'''\nimport os, sys\nfrom m import thing\nthing()\nthing()\n"
     lines = O.source_lines(spark.createDataFrame([("a", text), ("b", None), ("c", "")], "file string, text string"), "file", "text")
