@@ -68,14 +68,30 @@ def path_share(pattern: Column, file: Column) -> Column:
 
 
 def best_patterns(issues: DataFrame, patterns: DataFrame, least: float = 0.3) -> DataFrame:
-    """For each issue (id, type, file, description) the pattern of its type of the highest score, of equals the first: 0.4 path and 0.6 words shared."""
-    p = patterns.select("type", "pattern", "files", F.col("place").alias("p_place"), S.tokens(F.coalesce("code_before", F.lit(""))).alias("p_words"))
-    x = issues.select("id", "type", "file", S.tokens(F.coalesce("description", F.lit(""))).alias("words")).join(p, "type")
+    """For each issue (id, type, file, description) the pattern of its type of the highest score, of equals the first: 0.4 path and 0.6 words shared, ``least`` (0.3 or more) at least.
+
+    Not all patterns of a type are paired with its issues. What reaches 0.3 is of a
+    folder of the same name, and then the first such pattern or one that shares a
+    word; or a sixth of all its words are shared, and then one of its rarest: all but as
+    many as must be shared, less one.
+    """
+    folder = lambda p: F.try_element_at(F.split(p, "/"), F.lit(-2))
+    p = patterns.select("type", "pattern", "files", F.col("place").alias("p_place"), S.tokens(F.coalesce("code_before", F.lit(""))).alias("p_words"), folder(F.col("files")).alias("folder"))
+    x = issues.select("id", "type", "file", S.tokens(F.coalesce("description", F.lit(""))).alias("words"), folder(F.col("file")).alias("folder"))
+    spelt = x.select("id", "type", "folder", F.explode("words").alias("t"))
+    posts = p.select("type", "pattern", "folder", F.size("p_words").alias("n"), F.explode("p_words").alias("t"))
+    first = p.where("folder IS NOT NULL").groupBy("type", "folder").agg(F.min_by("pattern", "p_place").alias("pattern"))
+    often = posts.groupBy("type", "t").agg(F.count("*").alias("f"))
+    ranked = posts.join(often, ["type", "t"]).groupBy("type", "pattern").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("ts"), F.first("n").alias("n"))
+    rare = ranked.select("type", "pattern", F.explode(F.slice(F.col("ts.t"), F.lit(1), (F.col("n") - F.ceil(F.col("n") / 6) + 1).cast("int"))).alias("t"))
+    pair = lambda a, b, on: a.join(b, on).select("id", "type", "pattern")
+    pairs = pair(x, first, ["type", "folder"]).union(pair(spelt, posts, ["type", "folder", "t"])).union(pair(spelt, rare, ["type", "t"])).distinct()
+    x = pairs.join(x.drop("type", "folder"), "id").join(p.drop("folder"), ["type", "pattern"])
     shared = F.size(F.array_intersect("words", "p_words"))
     code = F.when((F.size("words") > 0) & (F.size("p_words") > 0), shared / (F.size("words") + F.size("p_words") - shared)).otherwise(0.0)
     x = x.withColumn("score", 0.4 * path_share(F.col("files"), F.col("file")) + 0.6 * code)
     x = x.groupBy("id").agg(F.max_by(F.struct("pattern", "score"), F.struct("score", -F.col("p_place"))).alias("b"))
-    return x.select("id", "b.pattern", "b.score").where(F.col("score") >= least)
+    return x.select("id", "b.pattern", "b.score").where(F.col("score") >= max(least, 0.3))
 
 
 def apply_patterns(files: DataFrame) -> DataFrame:

@@ -66,10 +66,15 @@ def empty_except(lines: DataFrame) -> DataFrame:
 
 
 def opening(lines: DataFrame, header: str, most: int) -> DataFrame:
-    """Header lines with the stripped lines of their body: the next ``most`` lines up to the first that is not deeper, the first of them whatever its depth."""
-    by = Window.partitionBy("file").orderBy("line_no").rowsBetween(1, most - 1)
-    near = F.collect_list(F.struct("stripped", "indent")).over(by)
-    x = lines.withColumn("_near", near).where(F.rlike("stripped", F.lit(header)))
+    """Header lines with the stripped lines of their body: the next ``most`` - 1 lines up to the first that is not deeper, the first of them whatever its depth.
+
+    Only lines that follow a header are joined and put in order.
+    """
+    heads = lines.where(F.rlike("stripped", F.lit(header)))
+    near = heads.select("file", F.col("line_no").alias("_h"), F.explode(F.sequence(F.col("line_no") + 1, F.col("line_no") + most - 1)).alias("line_no"))
+    near = near.join(lines.select("file", "line_no", "stripped", "indent"), ["file", "line_no"])
+    near = near.groupBy("file", F.col("_h").alias("line_no")).agg(F.array_sort(F.collect_list(F.struct("line_no", "stripped", "indent"))).alias("_near"))
+    x = heads.join(near, ["file", "line_no"], "left").withColumn("_near", F.coalesce("_near", F.array().cast(near.schema["_near"].dataType)))
     shallow = F.transform("_near", lambda l, i: F.when((i > 0) & (l["indent"] <= F.col("indent")), i).otherwise(F.lit(most)))
     return x.withColumn("body", F.slice(F.col("_near.stripped"), F.lit(1), F.least(F.coalesce(F.array_min(shallow), F.lit(0)), F.size("_near")))).drop("_near")
 

@@ -1,7 +1,5 @@
 """Experience, calibration, strategy ranking, trends, gates, logs, costs."""
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -36,16 +34,22 @@ def tail(df: DataFrame, n: int, order: list, keys: list[str] = ()) -> DataFrame:
     return x.where(F.col("_n") <= n).drop("_n")
 
 
-def running_mean(df: DataFrame, keys: list[str], value: str, ord: str, width: int = 4096) -> DataFrame:
-    """Rows with the mean of the values up to each and their number; sums of ranges of ``ord`` come first, so that no key is one task's work alone."""
+def running_sum(df: DataFrame, keys: list[str], value: str, ord: str, width: int = 4096) -> DataFrame:
+    """Rows with ``total``, the sum of the values up to each, and ``samples``, their number; sums of ranges of ``ord`` come first, so that no key is one task's work alone."""
     x = df.withColumn("_b", F.floor(F.col(ord) / width))
     heads = x.groupBy(*keys, "_b").agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select(*keys, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"))
+    zero = F.lit(0).cast(heads.schema["_s"].dataType)
+    heads = heads.select(*keys, "_b", F.coalesce(F.sum("_s").over(before), zero).alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"))
     upto = Window.partitionBy(*keys, "_b").orderBy(ord).rowsBetween(Window.unboundedPreceding, 0)
-    samples = F.count(value).over(upto) + F.col("_n")
     x = x.join(heads, [*keys, "_b"])
-    return x.withColumn("mean", (F.coalesce(F.sum(value).over(upto), F.lit(0.0)) + F.col("_s")) / F.nullif(samples, F.lit(0))).withColumn("samples", samples).drop("_b", "_s", "_n")
+    return x.withColumns({"total": F.coalesce(F.sum(value).over(upto), zero) + F.col("_s"), "samples": F.count(value).over(upto) + F.col("_n")}).drop("_b", "_s", "_n")
+
+
+def running_mean(df: DataFrame, keys: list[str], value: str, ord: str, width: int = 4096) -> DataFrame:
+    """Rows with the mean of the values up to each and their number, see ``running_sum``."""
+    x = running_sum(df, keys, value, ord, width)
+    return x.withColumn("mean", F.col("total") / F.nullif(F.col("samples"), F.lit(0))).drop("total").select(*df.columns, "mean", "samples")
 
 
 def best_strategy(candidates: DataFrame, stats: DataFrame, key: str, fixer: str) -> DataFrame:
@@ -57,10 +61,9 @@ def best_strategy(candidates: DataFrame, stats: DataFrame, key: str, fixer: str)
 
 def suggestions(history: DataFrame, keys: list[str], success: str, ord: str, least: int = 3) -> DataFrame:
     """Keys with ``least`` successes or more: their successes so far, and of the record that brought the ``least``-th its order and the success rate up to it, which stays."""
-    x = running_mean(history.withColumn("_ok", F.col(success).cast("int")), keys, "_ok", ord)
-    good = F.round(F.col("mean") * F.col("samples")).cast("long")
-    first = F.min(F.when(good == least, F.struct(F.col(ord).alias("at"), F.col("mean").alias("rate"))))
-    x = x.groupBy(*keys).agg(F.max(good).alias("successes"), first.alias("_f")).where(F.col("successes") >= least)
+    x = running_sum(history.withColumn("_ok", F.col(success).cast("int")), keys, "_ok", ord)
+    first = F.min(F.when(F.col("total") == least, F.struct(F.col(ord).alias("at"), (F.col("total") / F.col("samples")).alias("rate"))))
+    x = x.groupBy(*keys).agg(F.max("total").alias("successes"), first.alias("_f")).where(F.col("successes") >= least)
     return x.select(*keys, "successes", F.col("_f.at").alias("suggested_at"), F.bround("_f.rate", 6).alias("success_rate"))
 
 
@@ -147,13 +150,6 @@ def capped(ops: DataFrame, keys: list[str], order: list, caps: dict) -> DataFram
     return ops.withColumn("place", n).withColumn("allowed", F.col("place") <= S.lookup(caps, F.col("op"), F.lit(1 << 30)))
 
 
-def top_inner_product(vectors: DataFrame, query: list[float], id: str, vector: str, k: int = 3, least: float = 0.3) -> DataFrame:
-    """The ``k`` rows of largest inner product, of these those of ``least`` or more."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    dot = F.aggregate(F.zip_with(F.col(vector).cast("array<double>"), q, lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
-    return vectors.select(F.col(id), dot.alias("score")).orderBy(F.desc("score"), id).limit(k).where(F.col("score") >= least)
-
-
 #: Queries and rows that meet at a time.
 QUERY_BLOCK, ROW_BLOCK = 512, 4096
 
@@ -187,24 +183,3 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, id: str, vector:
     found = left.groupBy("d", "qb", "rb").cogroup(right.groupBy("d", "qb", "rb")).applyInArrow(meet, "vec_id long, neighbour long, score double")
     place = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "neighbour"))
     return found.withColumn("place", place).where((F.col("place") <= k) & (F.col("score") >= least)).drop("place")
-
-
-def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, level): 0 without dependencies, else one more than the deepest; raises on a cycle.
-
-    Each wave settles the nodes whose dependencies are all settled; edges to
-    unknown nodes are ignored.  The waves are as many as the longest chain; each
-    is checkpointed, so that its plan doesn't hold those before.
-    """
-    keep = (lambda x: x.checkpoint()) if nodes.sparkSession.sparkContext.getCheckpointDir() else (lambda x: x.persist())
-    e = keep(edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst").distinct())
-    left, settled, wave = keep(nodes.select("node").distinct()), [], 0
-    while left.take(1):
-        ready = keep(left.join(e.select(F.col("dst").alias("node")), "node", "left_anti"))
-        if not ready.take(1):
-            raise ValueError("the graph has a cycle")
-        settled.append(ready.withColumn("level", F.lit(wave)))
-        e = keep(e.join(ready.select(F.col("node").alias("src")), "src", "left_anti"))
-        left = keep(left.join(ready, "node", "left_anti"))
-        wave += 1
-    return reduce(DataFrame.union, settled) if settled else nodes.select("node", F.lit(0).alias("level"))

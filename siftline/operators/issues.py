@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import values as V
 from ..functions import scalars as S
+from .graphs import DEEPEST, walked
 from .syntax import parse
 
 
@@ -139,14 +140,10 @@ def ready(nodes: DataFrame, edges: DataFrame, status: DataFrame) -> DataFrame:
     return nodes.select("node").join(open_, "node", "left").select("node", F.coalesce("ok", F.lit(True)).alias("ready"))
 
 
-def blocked(edges: DataFrame, failed: DataFrame, levels: DataFrame) -> DataFrame:
-    """(node): the nodes behind failed ones; as many steps as there are levels (node, level)."""
-    found = failed.select("node").distinct()
-    wave = found
-    for _ in range(levels.agg(F.max("level")).first()[0] or 0):
-        wave = wave.join(edges.select(F.col("src").alias("node"), "dst"), "node").select(F.col("dst").alias("node")).distinct()
-        found = found.union(wave)
-    return found.distinct().join(failed.select("node"), "node", "left_anti")
+def blocked(edges: DataFrame, failed: DataFrame) -> DataFrame:
+    """(node): the nodes behind failed ones, by one recursive query over the edges (src, dst)."""
+    starts = failed.select("node").distinct()
+    return walked(starts, edges, DEEPEST).select("node").distinct().join(starts, "node", "left_anti")
 
 
 def batches(tasks: DataFrame, keys: list[str] = (), size: int = 3) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import values as V
 from ..functions import scalars as S
+from . import history as H
 
 
 def share(part: Column, whole: Column, places: int, empty: float = 0.0) -> Column:
@@ -57,10 +58,12 @@ def failure_keywords(rounds: DataFrame, keys: list[str] = ()) -> DataFrame:
 def capabilities(tasks: DataFrame, agent: str = "agent") -> DataFrame:
     """Agents by their tasks (success, tokens, failure, ord): tasks, successes, rate to 2 places, mean tokens, and failures in order of first sight."""
     ok = F.count_if(F.coalesce("success", F.lit(False)))
-    seen = F.array_sort(F.collect_list(F.when(~F.coalesce("success", F.lit(False)) & (F.coalesce("failure", F.lit("")) != ""), F.struct("ord", "failure"))))
-    x = tasks.groupBy(F.col(agent).alias("agent")).agg(F.count("*").alias("tasks"), ok.alias("successes"), F.bround(F.avg(F.coalesce("tokens", F.lit(0))), 0).alias("mean_tokens"), seen.alias("seen"))
+    failed = tasks.where(~F.coalesce("success", F.lit(False)) & (F.coalesce("failure", F.lit("")) != "")).groupBy(F.col(agent).alias("_a"), "failure").agg(F.min("ord").alias("ord"))
+    seen = failed.groupBy("_a").agg(F.array_sort(F.collect_list(F.struct("ord", "failure"))).alias("seen"))
+    x = tasks.groupBy(F.col(agent).alias("agent")).agg(F.count("*").alias("tasks"), ok.alias("successes"), F.bround(F.avg(F.coalesce("tokens", F.lit(0))), 0).alias("mean_tokens"))
+    x = x.join(seen, F.col("agent").eqNullSafe(F.col("_a")), "left")
     rate = F.bround(F.col("successes") / F.col("tasks"), 2)
-    return x.select("agent", "tasks", "successes", rate.alias("success_rate"), "mean_tokens", F.array_join(F.array_distinct(F.col("seen.failure")), ", ").alias("failures"))
+    return x.select("agent", "tasks", "successes", rate.alias("success_rate"), "mean_tokens", F.coalesce(F.array_join("seen.failure", ", "), F.lit("")).alias("failures"))
 
 
 def best_agents(agents: DataFrame, kinds: list[str], default: str = "agent-coder") -> DataFrame:
@@ -78,9 +81,9 @@ def best_agents(agents: DataFrame, kinds: list[str], default: str = "agent-coder
 
 def calibration_as_of(records: DataFrame, keys: list[str], success: str, order: str, least: int = 3) -> DataFrame:
     """Records with the calibrated rate that held right after each; null before ``least`` of them."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rate = F.greatest(F.lit(0.1), F.least(F.lit(0.99), F.avg(F.col(success).cast("int")).over(w)))
-    return records.withColumn("calibrated", F.when(F.count("*").over(w) >= least, F.bround(rate, 3)))
+    x = H.running_sum(records.withColumn("_ok", F.col(success).cast("int")), keys, "_ok", order)
+    rate = F.greatest(F.lit(0.1), F.least(F.lit(0.99), F.col("total") / F.col("samples")))
+    return x.withColumn("calibrated", F.when(F.col("samples") >= least, F.bround(rate, 3))).select(*records.columns, "calibrated")
 
 
 def rounds_until(scores: DataFrame, keys: list[str], converged: str, number: str, most: int = 15) -> DataFrame:
@@ -180,8 +183,9 @@ def text_report(timer: DataFrame, rounds: DataFrame, tasks: DataFrame, agents: D
     by severity; categories: category, n (the five most frequent show).
     """
     bar, rule = "=" * 60, lambda t: f"─── {t} ───"
-    last = F.reverse(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("round", "start", "seconds")))), 1, 5))
-    shown = rounds.groupBy(key).agg(F.transform(last, lambda r: F.format_string("  Round %3d | %s | %8.3fs", r["round"], r["start"], r["seconds"])).alias("rounds"), F.count("*").alias("n_rounds"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("round"), F.desc("start"), F.desc("seconds")))
+    last = F.array_sort(F.collect_list(F.struct("round", "start", "seconds")))
+    shown = rounds.withColumn("_p", place).where(F.col("_p") <= 5).groupBy(key).agg(F.transform(last, lambda r: F.format_string("  Round %3d | %s | %8.3fs", r["round"], r["start"], r["seconds"])).alias("rounds"))
     team = agents.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("agent", "completed", "failed", "skipped", "total"))), lambda a: F.format_string("  %-15s %5d %5d %5d %5d", *(a[c] for c in ("agent", "completed", "failed", "skipped", "total")))).alias("agents"))
     most = categories.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "category"))), 1, 5).alias("c"))
     most = most.select(key, F.transform("c", lambda c: F.format_string("    %-20s: %d", c["category"], -c["m"])).alias("categories"))

@@ -9,6 +9,7 @@ from ..operators import calls as C
 from ..operators import experience as E
 from ..operators import findings as O
 from ..operators import fixers as X
+from ..operators import graphs as G
 from ..operators import history as H
 from ..operators import issues as I
 from ..operators import projects as P
@@ -584,7 +585,7 @@ def vector_top_k_all(s, d):
 def dag_levels(s, d):
     nodes = t(s, d, "nation").select(F.col("n_nationkey").alias("node"))
     edges = nodes.select(F.col("node").alias("src"), F.explode(F.array(2 * F.col("node") + 1, 2 * F.col("node") + 2)).alias("dst"))
-    return H.levels(edges, nodes)
+    return G.levels(nodes, edges)
 
 
 @query("batch_plan", "WITH x AS (SELECT o_orderkey, CASE o_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'a' WHEN 2 THEN 'a,b' ELSE o_orderpriority END AS g FROM orders), r AS (SELECT o_orderkey, g, row_number() OVER (PARTITION BY g ORDER BY o_orderkey) AS k FROM x) SELECT o_orderkey, CAST(ceil(k / 3) AS BIGINT) AS batch FROM r")

@@ -153,8 +153,8 @@ def target_totals(s, d):
 
 @query("lines_written", "SELECT event_id, CAST(sum(event_id % 50) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS written FROM events")
 def lines_written(s, d):
-    x = H.running_mean(t(s, d, "events").withColumn("n", F.col("event_id") % 50), ["user_id"], "n", "event_id")
-    return x.select("event_id", F.round(F.col("mean") * F.col("samples")).cast("long").alias("written"))
+    x = H.running_sum(t(s, d, "events").withColumn("n", F.col("event_id") % 50), ["user_id"], "n", "event_id")
+    return x.select("event_id", F.col("total").alias("written"))
 
 
 @query("category_top", "SELECT event_type AS category, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, 1 LIMIT 5")
@@ -503,7 +503,7 @@ def ready_nodes(s, d):
 def blocked_nodes(s, d):
     nodes, edges = dag(s, d)
     known = edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
-    return I.blocked(known, nodes.where("status = 'failed'"), H.levels(edges, nodes.select("node")))
+    return I.blocked(known, nodes.where("status = 'failed'"))
 
 
 CH = "c AS (SELECT user_id, event_id AS ord, (['syntax', 'rescan', 'import'])[event_id % 3 + 1] AS name, value >= 5 AS passed, CASE WHEN value >= 5 THEN 0.05 ELSE -0.3 END AS delta FROM events)"

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import scalars as S
 from siftline.operators import findings as O
+from siftline.operators import graphs as G
 from siftline.operators import history as H
 from siftline.operators.responses import issues, parse_responses
 from siftline.operators.syntax import syntax_rules
@@ -116,9 +117,9 @@ def test_approvals_and_feedback(spark):
 def test_levels(spark):
     nodes = spark.createDataFrame([(i,) for i in range(5)], "node int")
     edges = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 3), (9, 4)], "src int, dst int")
-    assert {r.node: r.level for r in H.levels(edges, nodes).collect()} == {0: 0, 1: 1, 2: 1, 3: 2, 4: 0}
-    with pytest.raises(ValueError):
-        H.levels(spark.createDataFrame([(0, 1), (1, 0)], "src int, dst int"), nodes)
+    assert {r.node: r.level for r in G.levels(nodes, edges).collect()} == {0: 0, 1: 1, 2: 1, 3: 2, 4: 0}
+    with pytest.raises(Exception, match="cycle"):
+        G.levels(nodes, spark.createDataFrame([(0, 1), (1, 0)], "src int, dst int")).collect()
 
 
 def test_calibration_needs_samples(spark):
