@@ -1,3 +1,3 @@
 """Queries by name; importing the package registers all of them."""
 
-from . import bindings, sources, state, workflow  # noqa: F401
+from . import bindings, lookups, sources, state, workflow  # noqa: F401

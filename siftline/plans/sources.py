@@ -110,11 +110,15 @@ lines AS (SELECT CASE WHEN k % 9 = 0 THEN 'test_' ELSE 'f' END || k || '.py' AS
 CODE_FOUND = f"WITH {CODE_TEXT}, {B.rules_sql()}"
 
 
-def code_findings(s, d):
+def code_lines(s, d):
     line = F.replace(choose(CODE_LINES, "event_id * 7919 + event_id DIV 11"), F.lit(" # "), F.col("event_id").cast("string"))
     x = t(s, d, "events").groupBy(F.expr("event_id DIV 32").alias("k")).agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("ls"))
     x = x.select(F.concat(F.when(F.col("k") % 9 == 0, "test_").otherwise("f"), F.col("k").cast("string"), F.lit(".py")).alias("file"), F.array_join("ls.line", "\n").alias("text"))
-    return O.scan_lines(O.source_lines(x, "file", "text"))
+    return O.source_lines(x, "file", "text")
+
+
+def code_findings(s, d):
+    return O.scan_lines(code_lines(s, d))
 
 
 @query("code_rules", f"{CODE_FOUND} SELECT * FROM found")
