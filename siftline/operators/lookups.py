@@ -72,3 +72,49 @@ def metrics_files(spark: SparkSession, folder: str, pattern: str = "round-*.json
     x = spark.read.schema(METRICS).option("multiLine", True).json(f"{folder}/{pattern}").select("*", F.col("_metadata.file_path").alias("path")).where("_corrupt_record IS NULL")
     x = x.select("path", F.coalesce("timer.round_num", "summary.last_round").alias("round_num"), F.col("summary.generated_at").alias("timestamp"), F.coalesce("tasks.summary.total", F.lit(0)).alias("task_count"))
     return x.orderBy("path")
+
+
+def history_figures(rounds: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Rounds (result, lines_added, lines_removed, score_before, score_after): number, successes with their percentage, failures, sums of lines, and mean scores of the rounds that have one."""
+    n, ok = F.count("*"), F.count_if(F.col("result") == "success")
+    scored = F.col("score_before").isNotNull()
+    mean = lambda c: F.bround(F.sum(F.when(scored, F.coalesce(c, F.lit(0)))) / F.nullif(F.count_if(scored), F.lit(0)), 0)
+    return rounds.groupBy(*keys).agg(
+        n.alias("total"), ok.alias("success"), F.bround(ok / F.greatest(n, F.lit(1)) * 100, 0).alias("percent"), F.count_if(F.col("result") == "failed").alias("failed"),
+        F.coalesce(F.sum("lines_added"), F.lit(0)).alias("added"), F.coalesce(F.sum("lines_removed"), F.lit(0)).alias("removed"), mean(F.col("score_before")).alias("score_before"), mean(F.col("score_after")).alias("score_after"),
+    )
+
+
+def task_figures(tasks: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Tasks by status: completed, pending (all others), total, and the percentage completed to 1 place, 0 without tasks."""
+    n, done = F.count("*"), F.count_if(F.col("status") == "completed")
+    return tasks.groupBy(*keys).agg(done.alias("completed_tasks"), (n - done).alias("pending_tasks"), n.alias("total_tasks"), F.bround(done / F.greatest(n, F.lit(1)) * 100, 1).alias("success_rate"))
+
+
+def sub_agent_rate(tasks: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Share of completed among completed and failed tasks, 0 without any."""
+    done, failed = F.count_if(F.col("status") == "completed"), F.count_if(F.col("status") == "failed")
+    return tasks.groupBy(*keys).agg(F.coalesce(F.try_divide(done.cast("double"), done + failed), F.lit(0.0)).alias("rate"))
+
+
+def feedback_figures(marks: DataFrame, least: int = 2) -> DataFrame:
+    """Of suppressed patterns (marks): how many are active, with ``least`` marks or more, and how many pending, with fewer but some."""
+    return marks.agg(F.count_if(F.col("marks") >= least).alias("active_suppressions"), F.count_if((F.col("marks") > 0) & (F.col("marks") < least)).alias("pending_suppressions"))
+
+
+def pending_items(states: DataFrame) -> DataFrame:
+    """Approval items that wait for a decision; replied ones don't."""
+    return states.where("status = 'pending'")
+
+
+def task_types(tasks: DataFrame, registry: DataFrame, forbidden: DataFrame) -> DataFrame:
+    """Tasks (id, type, description) with their type's definition from the registry (id, definition), and the reason of the first forbidden entry (place, reason, examples) one of whose examples the description holds, whatever the case.
+
+    The forbidden entries are a configuration's few: their examples are looked
+    for in one pass over the tasks, without a join.
+    """
+    known = O.first_by(registry, ["id"], [F.col("place")]).select(F.col("id").alias("type"), "definition")
+    rules = forbidden.orderBy("place").collect()
+    low = F.lower(F.coalesce("description", F.lit("")))
+    reason = F.coalesce(*(F.when(F.contains(low, F.lit(e.lower())), F.lit(r["reason"])) for r in rules for e in r["examples"] or [] if e is not None), F.lit(None).cast("string"))
+    return tasks.join(known, "type", "left").withColumn("forbidden", reason)
