@@ -22,6 +22,8 @@ SENTENCES = {
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd-names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-university": "neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-regents": "this software is provided by the regents and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     "bsd-as-is": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     "apache-grant": "licensed under the apache license version 2 0 the license",
     "apache-notice": "licensed under the apache license version 2 0",
@@ -53,7 +55,9 @@ RULES = [
     ("MIT", ["mit-grant", "mit-keep", "as-is", "mit-liability"]),
     ("ISC", ["isc-grant", "isc-as-is"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-as-is"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-university", "bsd-regents"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is"]),
+    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-regents"]),
     ("Apache-2.0", ["apache-notice"]),
     ("Apache-2.0", ["apache-grant", "apache-comply", "apache-copy", "apache-as-is", "apache-limits"]),
     ("GPL-2.0", ["gpl2-notice"]),
@@ -66,11 +70,28 @@ RULES = [
     ("Zlib", ["zlib-as-is", "zlib-liability"]),
     ("CC0-1.0", ["cc0"]),
 ]
+# Names under which statements of use know a licence.
+NAMED = {
+    "MIT": ["mit license"], "ISC": ["isc license"], "BSD-3-Clause": ["bsd 3 clause license", "3 clause bsd license"], "BSD-2-Clause": ["bsd 2 clause license", "2 clause bsd license"],
+    "Apache-2.0": ["apache license 2 0", "apache license version 2 0", "apache 2 0 license"], "MPL-2.0": ["mozilla public license 2 0", "mozilla public license version 2 0", "mozilla public license v 2 0"],
+    "GPL-2.0": ["gnu general public license v2 0", "gnu general public license version 2", "gnu gpl v2"], "GPL-3.0": ["gnu general public license v3 0", "gnu general public license version 3", "gnu gpl v3"],
+    "Unlicense": ["unlicense"], "BSL-1.0": ["boost software license 1 0"], "Zlib": ["zlib license"], "CC0-1.0": ["cc0 1 0 universal public domain dedication"],
+}
+# What the letters of a Creative Commons licence and its versions are called in its deed.
+TERMS_OF_CC = {"BY": "attribution", "SA": "sharealike", "ND": "noderivatives", "NC": "noncommercial"}
+PORT_OF_CC = {"1.0": "generic", "2.0": "generic", "2.5": "generic", "3.0": "unported", "4.0": "international"}
+# What a statement of use may start and end with, besides the licence: "This project is distributed under the X - see the LICENSE file for details".
+SUBJECT = "^(this (project|software|program|code|library|package|repository|work|content|site|page|article|file|document) is )?((made )?available|licensed|released|distributed|provided) under (the terms of )?(the|a|an) "
+OUTLOOK = "( international license)? (see|refer to) (the )?(accompanying )?(license|copying)( md| txt| rst)?( file)?( for (the )?(more |full )?(details|information|license text|license))?$"
+
 for kind in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND"):
     for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
         name = f"cc-{kind}-{version}".lower()
         SENTENCES[name] = f"licensed under cc {kind} {version}".lower().replace("-", " ").replace(".", " ")
         RULES.append((f"CC-{kind}-{version}", [name]))
+        terms = " ".join(TERMS_OF_CC[x] for x in kind.split("-"))
+        terms = terms if version == "4.0" else terms.replace("noderivatives", "noderivs")
+        NAMED[f"CC-{kind}-{version}"] = [f"creative commons {terms} {version.replace('.', ' ')} {PORT_OF_CC[version]} license", f"creative commons {terms} {version.replace('.', ' ')} license"]
 
 # Notices of the same frame as GPL's, as (identifier, licence, what is licensed, name, version).
 FRAMED = [
@@ -78,11 +99,14 @@ FRAMED = [
     ("lgpl3", "LGPL-3.0-or-later", "library", "GNU Lesser General Public License", "3"),
     ("agpl3", "AGPL-3.0-or-later", "program", "GNU Affero General Public License", "3"),
 ]
-#: Where sentences end: closing marks before white space, or an empty line.
-END = r"[.!?;]+\s+|\n[ \t\r]*\n"
+#: Where sentences end: closing marks before white space, a colon at the end of a line, or an empty line.
+END = r"[.!?;]+\s+|:[ \t\r]*\n|\n[ \t\r]*\n"
 #: Where a part that isn't known is cut further: a line without letters and digits, as in comments.
 MARKS = r"\n[^\p{L}\p{N}\n]*\n"
 
+#: What numbers an item of a list.
+ITEM = "^([0-9]{1,2}|[a-z]) "
+
 TERMS = "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"
 LATER = "version {} of the License, or (at your option) any later version"
 # Published wordings that SENTENCES lacks, or that END cuts; the cut ones count where all their pieces follow each other.
@@ -118,16 +142,39 @@ for i, licence, what, name, n in FRAMED:
     OTHER_RULES.append((licence, [f"{i}-free", hope, f"{i[:4]}-details"]))
 
 
+# a statement of use, without its subject, verb and outlook, and the identifier line of a file
+for licence, names in NAMED.items():
+    for n in names:
+        SENTENCES[f"use-{licence.lower()}-{names.index(n)}"] = f"under {n}"
+        RULES.append((licence, [f"use-{licence.lower()}-{names.index(n)}"]))
+for licence in dict.fromkeys(x for x, _ in RULES):
+    for i, suffix in enumerate(["", " only"] if licence in ("GPL-2.0", "GPL-3.0") else [""]):
+        SENTENCES[f"spdx-{licence.lower()}-{i}"] = "spdx license identifier " + re.sub("[^a-z0-9]+", " ", licence.lower()) + suffix
+        RULES.append((licence, [f"spdx-{licence.lower()}-{i}"]))
+RULES.sort(key=lambda r, first={x: i for i, x in reversed(list(enumerate(x for x, _ in RULES)))}: first[r[0]])
+
+
 def normalised(s: Column) -> Column:
     """Lower case, every run of other characters than a-z and 0-9 one space, none at the ends."""
     return F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
 
 
+def lookups(sentences: dict | None = None, rules: list | None = None):
+    """(code of each known text, pieces of the wordings that END cuts, rules in order); a piece's code is its text behind a plus sign."""
+    wordings = [(i, pieces(w)) for i, w in WORDINGS] if sentences is None else []
+    if rules is None:
+        rules = [x for k, (licence, seq) in enumerate(RULES) for x in ((licence, seq), *((a, b) for a, b in OTHER_RULES if a == licence and licence not in (r for r, _ in RULES[:k])))]
+    cuts = [(i, ["+" + x for x in w]) for i, w in wordings if len(w) > 1]
+    codes = {x[1:]: x for _, w in cuts for x in w} | {w[0]: i for i, w in wordings if len(w) == 1} | {s: i for i, s in (sentences or SENTENCES).items()}
+    return codes, cuts, rules
+
+
 def scan(docs: DataFrame, text: str = "text", sentences: dict | None = None, rules: list | None = None) -> DataFrame:
     """Add sentence_ids and licences (arrays of strings) to ``docs``, replacing columns so named.
 
     A text is cut into sentences (see END) and each is normalised; a sentence
-    that is known as a whole, list numbers aside, gives its identifier, else
+    that is known as a whole, list numbers and letters aside, or as a statement
+    of use, which SUBJECT starts and OUTLOOK may end, gives its identifier, else
     it is cut at lines without letters and digits, and of what isn't known as a
     whole each line is looked up.  A sentence of WORDINGS that END cuts is known
     where its pieces follow each other.  Unknown sentences drop out, and a rule
@@ -137,14 +184,13 @@ def scan(docs: DataFrame, text: str = "text", sentences: dict | None = None, rul
     nothing is shuffled, and repeated rows are scanned alike.  ``sentences``
     and ``rules`` of one's own come without WORDINGS and OTHER_RULES.
     """
-    wordings = [(i, pieces(w)) for i, w in WORDINGS] if sentences is None else []
-    if rules is None:
-        rules = [x for licence, seq in RULES for x in ((licence, seq), *((a, b) for a, b in OTHER_RULES if a == licence))]
-    cuts = [(i, ["+" + x for x in w]) for i, w in wordings if len(w) > 1]
-    # a piece's code is its text behind a plus sign
-    codes = {x[1:]: x for _, w in cuts for x in w} | {w[0]: i for i, w in wordings if len(w) == 1} | {s: i for i, s in (sentences or SENTENCES).items()}
+    codes, cuts, rules = lookups(sentences, rules)
     known = F.map_from_arrays(F.array(*map(F.lit, codes)), F.array(*map(F.lit, codes.values())))
-    lookup = lambda s: let(normalised(s), lambda n: F.when(n != "", F.coalesce(F.try_element_at(known, n), F.try_element_at(known, F.regexp_replace(n, "^[0-9]{1,2} ", "")), F.lit("?"))))
+
+    def lookup(s):
+        use = lambda n: F.when(F.rlike(n, F.lit(SUBJECT)), F.try_element_at(known, F.regexp_replace(F.regexp_replace(n, SUBJECT, "under "), OUTLOOK, "")))
+        item = lambda n: F.when(F.rlike(n, F.lit(ITEM)), F.try_element_at(known, F.regexp_replace(n, ITEM, "")))
+        return let(normalised(s), lambda n: F.when(n != "", F.coalesce(F.try_element_at(known, n), item(n), use(n), F.lit("?"))))
 
     def units(s, deeper):
         """Codes of a text that is known as a whole, else of what it is cut into; ? is unknown, null blank."""
@@ -173,22 +219,33 @@ def scan(docs: DataFrame, text: str = "text", sentences: dict | None = None, rul
     return x.withColumn("licences", F.when(F.size("sentence_ids") > 0, F.array_distinct(F.array_compact(held))).otherwise(F.array().cast("array<string>")))
 
 
-def scan_sql() -> str:
-    """The same for DuckDB, over ``documents``: doc_id, n_sentences, licences joined by commas."""
+def scan_sql(table: str = "documents") -> str:
+    """The same for DuckDB, from the same tables: doc_id, n_sentences, licences joined by commas, of ``table`` (doc_id, text)."""
     quote = lambda s: "'" + s + "'"
-    known = ", ".join(f"({quote(s)}, {quote(i)})" for i, s in SENTENCES.items())
-    rules = ", ".join(f"({n}, {quote(licence)}, '|{'|'.join(seq)}|')" for n, (licence, seq) in enumerate(RULES))
+    codes, cuts, rules = lookups()
+    known = f"MAP {{{', '.join(f'{quote(s)}: {quote(i)}' for s, i in codes.items())}}}"
+    held = ", ".join(f"CASE WHEN contains(ids, '|{'|'.join(seq)}|') THEN {quote(licence)} END" for licence, seq in rules)
+    whole = " ".join(f"WHEN list_slice(us, i, i + {len(w) - 1}) = [{', '.join(map(quote, w))}] THEN {quote(i)}" for i, w in cuts)
+    space = lambda p: p.replace(r"\s", r"[ \t\r\n\f\v]")
     norm = lambda s: f"trim(regexp_replace(lower({s}), '[^a-z0-9]+', ' ', 'g'))"
-    end = END.replace(r"\s", r"[ \t\r\n\f\v]")
+
+    def coded(rows, place):
+        """``rows`` (doc_id, part, places) with the code of each part: null if blank, ? if unknown."""
+        look = lambda n: f"map_extract(t.known, {n})[1]"
+        use = f"CASE WHEN regexp_matches(n, '{SUBJECT}') THEN {look(f"regexp_replace(regexp_replace(n, '{SUBJECT}', 'under '), '{OUTLOOK}', '')")} END"
+        item = f"CASE WHEN regexp_matches(n, '{ITEM}') THEN {look(f"regexp_replace(n, '{ITEM}', '')")} END"
+        return f"SELECT doc_id, part, {place}, CASE WHEN n <> '' THEN coalesce({look('n')}, {item}, {use}, '?') END AS code FROM (SELECT *, {norm('part')} AS n FROM ({rows})) x, t"
+
+    cut = lambda rows, pattern, place: f"SELECT doc_id, {place}, unnest(x) AS part, generate_subscripts(x, 1) AS k FROM (SELECT *, string_split_regex(part, '{pattern}') AS x FROM {rows})"
     return f"""
-WITH k(s, id) AS (VALUES {known}), r(n, licence, seq) AS (VALUES {rules}),
-p AS (SELECT doc_id, part, row_number() OVER (PARTITION BY doc_id) AS o FROM (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '{end}')) AS part FROM documents)),
-w AS (SELECT p.*, coalesce(a.id, b.id) AS id FROM p LEFT JOIN k a ON a.s = {norm('part')} LEFT JOIN k b ON b.s = regexp_replace({norm('part')}, '^[0-9]{{1,2}} ', '')),
-l AS (SELECT doc_id, o, generate_subscripts(string_split(part, chr(10)), 1) AS i, unnest(string_split(part, chr(10))) AS line FROM w WHERE id IS NULL AND contains(part, chr(10))),
-f AS (SELECT doc_id, o, 0 AS i, id FROM w WHERE id IS NOT NULL UNION ALL
-      SELECT l.doc_id, o, i, coalesce(a.id, b.id) FROM l LEFT JOIN k a ON a.s = {norm('line')} LEFT JOIN k b ON b.s = regexp_replace({norm('line')}, '^[0-9]{{1,2}} ', '') WHERE coalesce(a.id, b.id) IS NOT NULL),
-s AS (SELECT doc_id, count(*) AS n, '|' || string_agg(id, '|' ORDER BY o, i) || '|' AS seq FROM f GROUP BY doc_id),
-m AS (SELECT doc_id, licence, min(r.n) AS n FROM s JOIN r ON contains(s.seq, r.seq) GROUP BY doc_id, licence)
-SELECT documents.doc_id, CAST(coalesce(max(s.n), 0) AS INTEGER) AS n_sentences, coalesce(string_agg(m.licence, ',' ORDER BY m.n), '') AS licences
-FROM documents LEFT JOIN s ON s.doc_id = documents.doc_id LEFT JOIN m ON m.doc_id = documents.doc_id GROUP BY documents.doc_id
+WITH t AS (SELECT {known} AS known), d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS part FROM {table}),
+a AS ({coded(f"SELECT row AS doc_id, part, k AS o1 FROM ({cut('d', space(END), 'row')})", 'o1')}),
+b AS ({coded(f"SELECT doc_id, part, o1, k AS o2 FROM ({cut("(SELECT * FROM a WHERE code = '?' AND contains(part, chr(10)))", MARKS, 'o1')})", 'o1, o2')}),
+c AS ({coded(f"SELECT doc_id, part, o1, o2, k AS o3 FROM ({cut("(SELECT * FROM b WHERE code = '?' AND contains(part, chr(10)))", chr(92) + 'n', 'o1, o2')})", 'o1, o2, o3')}),
+u AS (SELECT doc_id, o1, 0 AS o2, 0 AS o3, code FROM a WHERE NOT (code = '?' AND contains(part, chr(10))) UNION ALL SELECT doc_id, o1, o2, 0, code FROM b WHERE NOT (code = '?' AND contains(part, chr(10))) UNION ALL SELECT doc_id, o1, o2, o3, code FROM c),
+l AS (SELECT doc_id, list(code ORDER BY o1, o2, o3) AS us FROM u WHERE code IS NOT NULL GROUP BY doc_id),
+j AS (SELECT doc_id, list_filter(list_transform(us, lambda code, i: CASE WHEN starts_with(code, '+') THEN CASE {whole} END WHEN code <> '?' THEN code END), lambda code: code IS NOT NULL) AS ids FROM l),
+r AS (SELECT doc_id, len(ids) AS n, '|' || array_to_string(ids, '|') || '|' AS ids FROM j)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_sentences, coalesce((SELECT string_agg(x, ',' ORDER BY k) FROM (SELECT x, min(k) AS k FROM (SELECT unnest([{held}]) AS x, generate_subscripts([{held}], 1) AS k) WHERE x IS NOT NULL GROUP BY x)), '') AS licences
+FROM d LEFT JOIN r ON r.doc_id = d.row
 """
