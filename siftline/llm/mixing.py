@@ -1,5 +1,7 @@
 """Mixing sources to target weights by weighted fair queueing."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ WEIGHTS = (3, 1, 2)
 BUCKET_DIGITS = 3
 #: Ranges of finish in a unit of virtual time; the last one up to 2 holds all behind.
 RANGES = 1 << 12
+#: Words of one copy that become rows of their own, at most.
+WORD_ROWS = 4096
 
 
 def source_targets(sizes: DataFrame, source: str, size: str, weights=WEIGHTS, share: float = 1.5, repeats: float = 2.0) -> DataFrame:
@@ -45,24 +49,54 @@ def whole_words(x: Column) -> Column:
     return F.floor(x).cast("long")
 
 
+def in_ranges(queue: DataFrame, low: float, step: float, n: int) -> DataFrame:
+    """Rows of ``queue`` with the range of finish, counted from ``low`` in ``step``; the last one, ``n``, holds all behind.
+
+    A split copy becomes a row for each range in which some of its words finish.
+    The words that finish before v are those whose end lies before v * target,
+    so their number is had without counting them.
+    """
+    at = lambda finish: F.greatest(F.lit(0), F.least(F.floor((finish - low) / step), F.lit(n))).cast("int")
+    first, last = at((F.col("begin") + 1) / F.col("target")), at(F.col("finish"))
+    upto = lambda r: F.when(r <= first, F.lit(0).cast("long")).when(r > last, F.col("size")).otherwise(F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.ceil((low + r * step) * F.col("target") - F.col("begin")).cast("long") - 1)))
+    part = lambda r: F.struct(r.alias("range"), (F.col("begin") + upto(r)).alias("begin"), (upto(r + 1) - upto(r)).alias("size"))
+    parts = F.when(F.col("split"), F.transform(F.sequence(first, last), part)).otherwise(F.array(F.struct(last.alias("range"), "begin", "size")))
+    x = queue.select("name", "none", "target", "split", F.explode(parts).alias("q")).select("name", "none", "target", "split", "q.*").where("size > 0")
+    return x.withColumn("finish", (F.col("begin") + F.col("size")) / F.col("target"))
+
+
 def cut_at_budget(queue: DataFrame, budget: int) -> DataFrame:
     """(name, none, served): words of each source in the global order by finish up to ``budget`` words.
 
-    ``queue`` has name, none, begin, size and finish, a row a copy.  It is
+    ``queue`` has name, none, begin, size, target, finish and split, a row a
+    copy; a split copy's words each have their own place in the order.  It is
     sorted by ranges of finish: totals of the ranges, one row each, are summed
     up; ranges that end within the budget are served whole, those behind it
     not, and only the range in which it ends is sorted and summed row by row.
+    While split copies have more than WORD_ROWS words in that range, it is parted
+    into ranges itself, so no copy becomes more rows than that, however long.
     """
-    x = queue.withColumn("range", F.least(F.floor(F.col("finish") * RANGES), F.lit(2 * RANGES)).cast("int"))
-    upto = F.sum("words").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
-    ranges = x.groupBy("range").agg(F.sum("size").alias("words")).withColumn("upto", upto)
-    cut = ranges.where(F.col("upto") > budget).orderBy("range").first()
-    if cut is None:
-        return x.groupBy("name", "none").agg(F.sum("size").alias("served"))
-    order = Window.partitionBy("range").orderBy("finish", "none", "name", "begin").rowsBetween(Window.unboundedPreceding, 0)
-    last = x.where(F.col("range") == cut["range"]).withColumn("upto", F.sum("size").over(order) + (cut["upto"] - cut["words"]))
-    last = last.select("name", "none", served(F.col("upto") - F.col("size"), F.col("size"), F.lit(budget)).alias("size"))
-    return x.where(F.col("range") < cut["range"]).select("name", "none", "size").union(last).groupBy("name", "none").agg(F.sum("size").alias("served"))
+    low, step, n, sold, left = 0.0, 1.0 / RANGES, 2 * RANGES, [], budget
+    rows = queue
+    while True:
+        x = in_ranges(rows, low, step, n)
+        upto = F.sum("words").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
+        ranges = x.groupBy("range").agg(F.sum("size").alias("words"), F.max(F.when(F.col("split"), F.col("size"))).alias("longest")).withColumn("upto", upto)
+        cut = ranges.where(F.col("upto") > left).orderBy("range").first()
+        sold.append((x if cut is None else x.where(F.col("range") < cut["range"])).select("name", "none", "size"))
+        if cut is None:
+            break
+        rows, left = x.where(F.col("range") == cut["range"]).drop("range"), left - (cut["upto"] - cut["words"])
+        if (cut["longest"] or 0) > WORD_ROWS and cut["range"] < n:
+            low, step, n = low + cut["range"] * step, step / RANGES, RANGES
+            continue
+        words = F.when(F.col("split"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("size") - 1), lambda k: F.struct((F.col("begin") + k).alias("begin"), F.lit(1).cast("long").alias("size")))).otherwise(F.array(F.struct("begin", "size")))
+        last = rows.select("name", "none", "target", F.explode(words).alias("q")).select("name", "none", "q.*", ((F.col("q.begin") + F.col("q.size")) / F.col("target")).alias("finish"), F.lit(0).alias("one"))
+        order = Window.partitionBy("one").orderBy("finish", "none", "name", "begin").rowsBetween(Window.unboundedPreceding, 0)
+        last = last.withColumn("upto", F.sum("size").over(order))
+        sold.append(last.select("name", "none", served(F.col("upto") - F.col("size"), F.col("size"), F.lit(left)).alias("size")))
+        break
+    return reduce(DataFrame.union, sold).groupBy("name", "none").agg(F.sum("size").alias("served"))
 
 
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = 1.5, repeats: int = 2, seed: str = "mix") -> DataFrame:
@@ -73,8 +107,8 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     words queued in its source up to its end, divided by the source's target.
     All copies are sorted by finish over all sources and the order is cut where
     its words reach the total budget, the whole words of all targets.  A copy
-    that virtual time 1 finds in service is queued word by word, each with its
-    finish, so that the cut leaves every source within a word of its target.
+    that virtual time 1 finds in service is queued word by word: its words finish at
+    even distances, so that the cut leaves every source within a word of its target.
     Rows come range-sorted by ``finish``, that of the first copy.
 
     Adds to the columns of ``docs``: size, source_size, target, taken (words
@@ -109,9 +143,7 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     x = x.select(F.col(name).alias("name"), F.col(none).alias("none"), F.col(target).alias("target"), F.col(size).alias("size"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda k: F.col(before) + F.col(pre) + k * F.col(total))).alias("begin"))
     end = F.col("begin") + F.col("size")
     split = (F.col("begin") < F.col("target")) & (end > F.col("target"))
-    one = F.transform(F.sequence(F.lit(1).cast("long"), F.col("size")), lambda k: F.struct((F.col("begin") + k - 1).alias("begin"), F.lit(1).cast("long").alias("size")))
-    x = x.where("target > 0").select("name", "none", "target", F.explode(F.when(split, one).otherwise(F.array(F.struct("begin", "size")))).alias("q"))
-    x = shared_table(x.select("name", "none", "q.begin", "q.size", ((F.col("q.begin") + F.col("q.size")) / F.col("target")).alias("finish")))
+    x = shared_table(x.where("target > 0").select("name", "none", "target", "begin", "size", (end / F.col("target")).alias("finish"), split.alias("split")))
     budget = targets.agg(F.sum(whole_words(F.col(target)))).first()[0] or 0
     sold = shared_table(cut_at_budget(x, budget))
     drop_tables(x)
