@@ -600,12 +600,12 @@ def status_cube(s, d):
     return t(s, d, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("approval_states", """WITH e AS (SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'queue' WHEN length(text) % 3 = 0 THEN 'reply' WHEN length(text) % 3 = 1 THEN 'approve' ELSE 'expire' END AS op FROM conversations),
+@query("approval_states", """WITH e AS (SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'queue' WHEN length(text) % 4 = 0 THEN 'reply' WHEN length(text) % 4 = 1 THEN 'approve' WHEN length(text) % 4 = 2 THEN 'reject' ELSE 'expire' END AS op FROM conversations),
 l AS (SELECT conv_id, list(op ORDER BY turn, op) AS ops, count(*) AS n_events FROM e GROUP BY conv_id)
-SELECT conv_id AS id, list_reduce(list_prepend('', ops), lambda s, o: CASE WHEN s = '' AND o = 'queue' THEN 'pending' WHEN s = 'pending' AND o = 'approve' THEN 'approved' WHEN s IN ('pending', 'replied') AND o = 'reply' THEN 'replied' WHEN s IN ('pending', 'replied') AND o = 'expire' THEN 'expired' ELSE s END) AS status, n_events FROM l""")
+SELECT conv_id AS id, list_reduce(list_prepend('', ops), lambda s, o: CASE WHEN s = '' AND o = 'queue' THEN 'pending' WHEN s = 'pending' AND o = 'approve' THEN 'approved' WHEN s = 'pending' AND o = 'reject' THEN 'rejected' WHEN s IN ('pending', 'replied') AND o = 'reply' THEN 'replied' WHEN s IN ('pending', 'replied') AND o = 'expire' THEN 'expired' ELSE s END) AS status, n_events FROM l""")
 def approval_states(s, d):
-    n = F.length("text") % 3
-    op = F.when(F.col("turn") == 0, "queue").when(n == 0, "reply").when(n == 1, "approve").otherwise("expire")
+    n = F.length("text") % 4
+    op = F.when(F.col("turn") == 0, "queue").when(n == 0, "reply").when(n == 1, "approve").when(n == 2, "reject").otherwise("expire")
     x = H.approvals(t(s, d, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("at"), F.lit(0).alias("ord"), op.alias("op")))
     return x.withColumn("status", F.coalesce("status", F.lit("")))
 
