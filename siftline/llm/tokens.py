@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 from .common import col, drop_tables, shared_table
 
 #: White space as the tokenizer's pattern has it.
-WS = "\t-\r \x85\xa0  -     　"
+WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters of Latin-1 that spell words, and what may be a letter too.
 LATIN, OTHER = "A-Za-zÀ-ÖØ-öø-ÿ", "ªµºĀ-\U0010ffff"
 #: Pieces that no token of a byte-level pattern reaches out of: a word, with a space before it, that ends where no letter
