@@ -1,6 +1,5 @@
 """Operators of rounds, experience, issues and sources on small fixtures, with the odd cases."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from siftline.operators import experience as E
