@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from .. import values as V
 
 LINT = "array<struct<code:string,filename:string,message:string,location:struct<row:int>,row:int,fix:struct<message:string>>>"
-#: Names of folders and files by what they tell about a project.
+# Names of folders and files by what they tell about a project.
 SOURCE_DIRS = ["src", "lib", "core", "internal", "app", "apps"]
 DOC_DIRS = ["docs", "doc", "documentation"]
 BUILD_FILES = ["dockerfile", "docker-compose.yml", "docker-compose.yaml", "makefile", "cmakelists.txt", "build.sh", "tox.ini", "setup.py", "pyproject.toml", "requirements.txt", "package.json", "go.mod", "cargo.toml", "pom.xml"]
@@ -16,11 +16,11 @@ CI_FILES = ["azure-pipelines.yml", ".gitlab-ci.yml", "circleci"]
 
 def lint_findings(outputs: DataFrame, text: str = "text") -> DataFrame:
     """Findings of a linter's JSON output, one row of text a run (key columns stay); only rules that are known here."""
-    rules = outputs.sparkSession.createDataFrame([(k, *v) for k, v in V.LINT_RULES.items()], "code string, type string, severity string, dimension string")
+    rules = F.create_map(*(x for k, (a, b, c) in V.LINT_RULES.items() for x in (F.lit(k), F.struct(F.lit(a).alias("type"), F.lit(b).alias("severity"), F.lit(c).alias("dimension")))))
     keys = [c for c in outputs.columns if c != text]
-    x = outputs.select(*keys, F.posexplode(F.from_json(text, LINT)).alias("ord", "i")).select(*keys, "ord", F.col("i.code").alias("code"), F.col("i.filename").alias("file"), F.coalesce("i.location.row", "i.row", F.lit(0)).alias("line"), F.coalesce("i.fix.message", F.lit("")).alias("suggestion"))
-    x = x.join(F.broadcast(rules), "code")
-    return x.select(*keys, "ord", "type", "severity", "dimension", "file", "line", "suggestion", F.lit(0.95).alias("confidence"), F.concat(F.lit("ruff/"), "code").alias("scanner"))
+    x = outputs.select(*keys, F.posexplode(F.from_json(text, LINT)).alias("ord", "i")).withColumn("_r", F.try_element_at(rules, F.col("i.code"))).where("_r IS NOT NULL")
+    line, suggestion = F.coalesce("i.location.row", "i.row", F.lit(0)), F.coalesce("i.fix.message", F.lit(""))
+    return x.select(*keys, "ord", "_r.*", F.col("i.filename").alias("file"), line.alias("line"), suggestion.alias("suggestion"), F.lit(0.95).alias("confidence"), F.concat(F.lit("ruff/"), "i.code").alias("scanner"))
 
 
 def todo_tasks(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
