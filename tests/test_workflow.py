@@ -36,6 +36,27 @@ def test_similar_items_by_rare_words(spark):
     assert {(r.doc_id, r.item_id, round(r.score, 3)) for r in E.most_similar(docs, items, 0.3).collect()} == {(1, 1, 0.667), (2, 1, 0.5), (5, 1, 0.333)}
 
 
+def test_best_candidates(spark):
+    seven = "\n".join(["v = 1"] * 7)
+    rows = [
+        ("tie", 2, seven, 1, 3, "x = 1", 0.2), ("tie", 1, seven.replace("v", "w") + "\nw = 2\nw = 3", 1, 1, "x = 1", None), ("tie", 3, seven, 1, 1, "x = 1", -0.1),
+        ("near", 1, "v = 1\nv = 1\nv = 1", 1, 1, "x = 1", 0.3), ("near", 2, "v = 1\nv = 1\nv = 1\nv = 1\nv = 1\nv = 1", 1, 2, "x = 1", 0.3),
+        ("odd", 1, "v = 1", None, 1, "x = 1", 0.9), ("odd", 2, "v = 1", 1, 2, "x = 1", 0.9), ("odd", 3, "v = 1", 1, 1, "f(", 0.9), ("odd", 4, "v = 1", 1, 1, "v = 1", 0.9), ("odd", 5, "v = 1", 1, 1, "", 0.9),
+        ("odd", 6, "v = 1", 1, 1, None, 0.9), ("odd", 7, None, 1, 1, "x = 1", float("nan")), ("odd", 8, "v = 1\n", 2, 2, "x = 1", None), ("none", 1, "v = 1", 0, 1, "x = 1", 0.9),
+    ]
+    x = spark.createDataFrame(rows, "issue string, ord long, text string, first int, last int, replacement string, confidence double")
+    assert {r.issue: (r.ord, round(r.score, 6)) for r in I.best_candidates(x).collect()} == {"tie": (1, 0.694444), "near": (1, 0.483333), "odd": (8, 0.5)}
+
+
+def test_best_candidates_that_tie(spark):
+    # two equal scores whose doubles differ in the last bit, the smaller one first
+    found = [(c, n, k) for n in (3, 4, 5, 6, 7) for k in (1, 2, 3) for c in range(1, 9) if k <= n]
+    score = lambda c, n, k: 0.5 * (c / 10) + 0.5 * (1 - k / n)
+    pair = next((a, b) for a in found for b in found if score(*a) < score(*b) and abs(score(*a) - score(*b)) < 1e-12)
+    rows = [("bits", i, "\n".join(["v = 1"] * n), 1, k, "x = 1", c / 10) for i, (c, n, k) in enumerate(pair)]
+    assert I.best_candidates(spark.createDataFrame(rows, "issue string, ord long, text string, first int, last int, replacement string, confidence double")).first().ord == 0
+
+
 def test_chains_and_guards(spark):
     rows = [("a", "syntax", False, -0.3, 0), ("a", "rescan", True, 0.15, 1), ("b", "syntax", True, 0.05, 0), ("b", "rescan", False, -0.2, 1), ("b", "import", True, 0.1, 2)]
     got = {r.fix: (r.total_delta, r.passed, r.rollback, r.checks) for r in I.chain(spark.createDataFrame(rows, "fix string, name string, passed boolean, delta double, ord int"), ["fix"]).collect()}
