@@ -174,6 +174,17 @@ def log_tail(lines: DataFrame, wanted: int, order: str = "line_no") -> DataFrame
     return lines.orderBy(F.desc(order)).limit(max(10, min(200, wanted))).orderBy(order)
 
 
+def timer_totals(rounds: DataFrame, key: str) -> DataFrame:
+    """(key, total_rounds, total_seconds, mean_seconds): rounds (round, start, seconds) of each project, the seconds to 3 places.
+
+    Seconds are added in the order of rounds: a mean that lies halfway goes by the
+    last bits of its sum, which another order changes.
+    """
+    so_far = F.sum("seconds").over(Window.partitionBy(key).orderBy("round", "start", "seconds").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    x = rounds.select(key, F.struct("round", "start", "seconds").alias("at"), "seconds", so_far.alias("sum")).groupBy(key).agg(F.count("*").alias("total_rounds"), F.max_by("sum", "at").alias("sum"), F.count("seconds").alias("n"))
+    return x.select(key, "total_rounds", F.bround("sum", 3).alias("total_seconds"), F.bround(F.try_divide("sum", "n"), 3).alias("mean_seconds"))
+
+
 def text_report(timer: DataFrame, rounds: DataFrame, tasks: DataFrame, agents: DataFrame, issues: DataFrame, categories: DataFrame, key: str) -> DataFrame:
     """(key, report): the text report of each project, from tables of one row a project but for rounds, agents and categories.
 

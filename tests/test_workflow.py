@@ -1,11 +1,15 @@
 """Operators of rounds, experience, issues and sources on small fixtures, with the odd cases."""
 
+from datetime import datetime
+
+import duckdb
 from pyspark.sql import functions as F
 
 from siftline.operators import experience as E
 from siftline.operators import findings as O
 from siftline.operators import issues as I
 from siftline.operators import rounds as R
+from siftline.plans import workflow
 from siftline.sources import readers, tools
 
 
@@ -96,3 +100,18 @@ def test_entry_tells_missing_modules_from_broken_ones():
     import __spark_entry__ as entry
 
     assert not entry.present("siftline.nothing") and entry.present("siftline.plans")
+
+
+def test_mean_of_rounds_in_any_order(spark, tmp_path):
+    """A mean halfway between two thousandths, whose sum's last bits hang on the order of the rows in the files."""
+    values = [70.51, 177.9, 153.65, 116.59, 84.89, 60.03, 177.47, 68.1]
+    rows = [(i, datetime(2024, 1, 1, 0, 0, i), 7, "purchase", v) for i, v in enumerate(values)]
+    got = {}
+    for name, xs in (("up", rows), ("down", rows[::-1])):
+        spark.createDataFrame(xs, "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/{name}/events.parquet")
+        got[name] = workflow.text_reports(spark, f"{tmp_path}/{name}").first().digest
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/up/events.parquet/*.parquet')")
+    assert got["up"] == got["down"] == con.execute(workflow.REPORT).fetchone()[1]
+    timer = R.timer_totals(spark.createDataFrame([(1, 1, 0, None), (1, 2, 0, 0.5), (2, 1, 0, None)], "k int, round long, start int, seconds double"), "k").orderBy("k").collect()
+    assert [tuple(r) for r in timer] == [(1, 2, 0.5, 0.5), (2, 1, None, None)]
