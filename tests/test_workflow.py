@@ -9,7 +9,7 @@ from siftline.operators import experience as E
 from siftline.operators import findings as O
 from siftline.operators import issues as I
 from siftline.operators import rounds as R
-from siftline.plans import workflow
+from siftline.plans import bindings, workflow
 from siftline.sources import readers, tools
 
 
@@ -115,3 +115,14 @@ def test_mean_of_rounds_in_any_order(spark, tmp_path):
     assert got["up"] == got["down"] == con.execute(workflow.REPORT).fetchone()[1]
     timer = R.timer_totals(spark.createDataFrame([(1, 1, 0, None), (1, 2, 0, 0.5), (2, 1, 0, None)], "k int, round long, start int, seconds double"), "k").orderBy("k").collect()
     assert [tuple(r) for r in timer] == [(1, 2, 0.5, 0.5), (2, 1, None, None)]
+
+
+def test_whole_snippets(spark, tmp_path):
+    lines = [f"{i} " + "x" * 300 for i in range(9)]
+    lines[4] = "print('a')" + " " * 700 + "# b"
+    spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.line: r.snippet for r in bindings.context_snippets(spark, str(tmp_path)).collect()}
+    assert got[5] == "\n".join(lines[1:8])
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert {(r[1], r[3]) for r in con.execute(bindings.ORACLES["context_snippets"]).fetchall()} == set(got.items())
