@@ -7,6 +7,7 @@ import re
 import struct
 import uuid
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,19 +50,39 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class Held(dict):
+    """Ids of pieces of text, as bytes; a new piece is encoded, and held if it is short."""
+
+    def __init__(self, tokenizer: Tokenizer, type: str):
+        super().__init__()
+        self.tokenizer, self.type, self.stands = tokenizer, type, byte_characters()
+
+    def __missing__(self, piece: str) -> bytes:
+        if WORD.fullmatch(piece):
+            spelt = piece.replace(" ", self.stands[32]) if piece.isascii() else "".join([self.stands[b] for b in piece.encode()])
+            ids = [t.id for t in self.tokenizer.model.tokenize(spelt)]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        out = array(self.type, ids).tobytes()
+        if len(piece) <= HELD_CHARS:
+            if len(self) >= HELD_PIECES:
+                self.clear()
+            self[piece] = out
+        return out
+
+
 class Encoder:
     """Ids of whole texts, as bytes, little-endian.
 
     A byte-level BPE without normaliser is asked for each distinct piece of
-    text once a task; any other tokenizer for each text.
+    text once while it is held; any other tokenizer for each text.
     """
 
     def __init__(self, vocabulary: str, width: int, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.type, self.end = {2: "H", 4: "I"}[width], self.put(width, [end_id])
-        self.width, self.held = width, {}
-        self.stands = {b: c for b, c in byte_characters().items()}
+        self.width, self.held = width, Held(self.tokenizer, self.type)
         spec = json.loads(vocabulary)
         split, model = spec.get("pre_tokenizer") or {}, spec["model"]
         added = spec.get("added_tokens") or []
@@ -75,24 +96,8 @@ class Encoder:
     def put(width: int, ids) -> bytes:
         return array({2: "H", 4: "I"}[width], ids).tobytes()
 
-    def ids_of(self, piece: str) -> bytes:
-        if WORD.fullmatch(piece):
-            spelt = "".join([self.stands[b] for b in piece.encode()])
-            return array(self.type, [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
-        return array(self.type, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
-
     def pieces(self, text: str) -> bytes:
-        held, found = self.held, PIECE.findall(text)
-        out = list(map(held.get, found))
-        if None in out:
-            for i, piece in enumerate(found):
-                if out[i] is None:
-                    ids = out[i] = held.get(piece) or self.ids_of(piece)
-                    if len(piece) <= HELD_CHARS:
-                        if len(held) >= HELD_PIECES:
-                            held.clear()
-                        held[piece] = ids
-        return b"".join(out)
+        return b"".join(map(self.held.__getitem__, PIECE.findall(text)))
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -110,6 +115,12 @@ class Encoder:
         return b"".join(out) + self.end
 
 
+@lru_cache(maxsize=1)
+def encoder_of(vocabulary: str, width: int, end_id: int) -> Encoder:
+    """The encoder of a Python worker, kept with the pieces it holds for the tasks that follow."""
+    return Encoder(vocabulary, width, end_id)
+
+
 def sampled(docs: DataFrame) -> list[str]:
     """Texts of about SAMPLE_DOCS documents of at most SAMPLE_BYTES, those of least hash of id and text; fewer if there aren't as many."""
     size = F.octet_length("text")
@@ -200,7 +211,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id:
         out.write(dictionary)
 
     def encode(batches):
-        encoder = Encoder(told.value, width, end_id)
+        encoder = encoder_of(told.value, width, end_id)
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared(dictionary), write_checksum=True)
         for batch in batches:
             n, frames = [], []

@@ -112,3 +112,18 @@ def test_empty_table(spark):
     assert tokens.write_tokens(none, folder, BPE, 2).count() == 0
     assert tokens.read_tokens(spark, folder).count() == 0
     assert tokens.find_tokens(spark, folder, spark.createDataFrame([(1,)], "doc_id long")).count() == 0
+
+
+def test_pieces_are_asked_for_once(monkeypatch):
+    """An encoder stays with its worker, asks for a piece while it holds it no more, and gives what the tokenizer gives, also where it drops pieces."""
+    with open(BPE, encoding="utf-8") as f:
+        spelt = f.read()
+    encoder, plain = tokens.encoder_of(spelt, 2, 2), Tokenizer.from_file(BPE)
+    assert tokens.encoder_of(spelt, 2, 2) is encoder
+    want = [tokens.Encoder.put(2, [*plain.encode(t or "", add_special_tokens=False).ids, 2]) for t in corpus()]
+    assert [encoder(t) for t in corpus()] == want
+    n = len(encoder.held)
+    assert [encoder(t) for t in corpus()] == want and len(encoder.held) == n > 0 and max(map(len, encoder.held)) <= tokens.HELD_CHARS
+    monkeypatch.setattr(tokens, "HELD_PIECES", 3)
+    few = tokens.Encoder(spelt, 2, 2)
+    assert [few(t) for t in corpus()] == want and len(few.held) <= 3
